@@ -28,17 +28,25 @@ def json_or_empty(c, empty: str = "{}") -> Column:
 
 
 def is_json(c) -> Column:
-    """True where the text is well-formed JSON (a literal null included)."""
-    return F.try_parse_json(_col(c)).isNotNull()
+    """True where the text is one well-formed JSON value (a literal null included).
+
+    The parser stops after the first value and ignores what follows. Read once as the only item
+    of a list and once as the only member of an object, text with anything after its first
+    value breaks one of the two.
+    """
+    value = _col(c)
+    as_item = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit("}")))
+    return as_item.isNotNull() & as_member.isNotNull()
 
 
 def json_parse_or(c, ddl: str, default: Column | None = None) -> Column:
     """Parse to ``ddl``; empty or malformed text gives the default, a valid null stays NULL."""
     value = _col(c)
     fallback = F.lit(None).cast(ddl) if default is None else default
-    good = is_json(value)
-    not_null = ~F.coalesce(F.is_variant_null(F.try_parse_json(value)), F.lit(False))
-    return F.when(~good, fallback).when(not_null, F.from_json(value, ddl))
+    is_null = F.btrim(value, F.lit(" \t\r\n")) == "null"
+    return F.when(~is_json(value) | value.isNull(), fallback).when(
+        ~is_null, F.from_json(value, ddl))
 
 
 def capture_fields(payload) -> Column:

@@ -70,8 +70,9 @@ def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
     if strict:
         ends = hits.filter(F.col("event_type") == REFUNDED).groupBy("payment_id").agg(
             F.min(at).alias("_end"))
-        hits = hits.join(ends, "payment_id", "left").filter(
-            F.col("_end").isNull() | (at <= F.col("_end")))
+        over = payments.filter("status = 'refunded'").select(F.col("id").alias("payment_id"))
+        hits = (hits.join(over, "payment_id", "left_anti").join(ends, "payment_id", "left")
+                .filter(F.col("_end").isNull() | (at <= F.col("_end"))))
     state = F.lit(None).cast("string")
     for kind, status in STATUS_OF.items():
         state = F.when(F.col("event_type") == kind, F.lit(status)).otherwise(state)

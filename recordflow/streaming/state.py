@@ -33,6 +33,7 @@ class StateTable:
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
         base = rows.filter("full").agg(F.max("batch")).first()[0]
+        base = SEED if base is None else base  # an empty seed leaves no file behind
         rows = rows.filter((F.col("batch") >= base) & (F.col("full") | (F.col("batch") > base)))
         rest = [f.name for f in self.schema.fields if f.name not in self.keys]
         return (rows.groupBy(*self.keys)
