@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.operators.number import numbered, running_sum
+from recordflow.operators.number import BLOCK, numbered, running_sum
 from recordflow.operators.select import active
 from recordflow.session import materialize
 
@@ -28,11 +28,11 @@ def taken_slugs(projects: DataFrame, slug: str = "slug", taken: str = "all") ->
 
 
 def dedupe_slugs(df: DataFrame, slug: str, order: str, existing: DataFrame | None = None,
-                 name: str = "unique_slug") -> DataFrame:
+                 name: str = "unique_slug", block: int = BLOCK) -> DataFrame:
     """Adds the unique slug of each row. ``order`` is a unique integer, the insertion order;
     ``existing`` holds one column of slugs taken beforehand. Slugs are not NULL."""
     spark = df.sparkSession
-    rows = numbered(df, [slug], order, "_n")
+    rows = numbered(df, [slug], order, "_n", block)
     first = df.groupBy(F.col(slug).alias("own")).agg(F.min(order).alias("since"))
     taken = spark.createDataFrame([], "own string") if existing is None else (
         existing.toDF("own").filter(F.col("own").isNotNull()).distinct())
@@ -54,20 +54,20 @@ def dedupe_slugs(df: DataFrame, slug: str, order: str, existing: DataFrame | Non
                 .drop("_n", "_shift"))
 
     rivals = _settle(rivals, rows.select(F.col(slug).alias("own"), F.col("_n"),
-                                         F.col(order).alias("at")), taken)
+                                         F.col(order).alias("at")), taken, block)
     lost = _losers(rivals, taken)
     placed = (rows.join(lost.select(F.col("own").alias(slug), F.lit(1).alias("_shift")),
                         slug, "left")
               .withColumn("_m", F.col("_n") - 1 + F.coalesce("_shift", F.lit(0))))
     # Held suffixes by the number of names the parent hands out before reaching them.
-    skips = (_smaller_held(rivals).filter("held")
+    skips = (_smaller_held(rivals, block).filter("held")
              .groupBy(F.col("parent").alias(slug), (F.col("k") - 1 - F.col("held_before"))
                       .alias("_m"))
              .agg(F.count(F.lit(1)).alias("_skip")))
     busy = skips.select(slug).distinct()
     union = (placed.join(busy, slug, "left_semi").withColumn("_skip", F.lit(0).cast("bigint"))
              .unionByName(skips, allowMissingColumns=True))
-    crowded = (running_sum(union, [slug], "_m", F.col("_skip"), "_skipped")
+    crowded = (running_sum(union, [slug], "_m", F.col("_skip"), "_skipped", block=block)
                .filter(F.col(order).isNotNull()).drop("_skip"))
     free = placed.join(busy, slug, "left_anti").withColumn("_skipped", F.lit(0).cast("bigint"))
     both = crowded.unionByName(free)
@@ -81,10 +81,10 @@ def _suffixed(slug: str, place):
         F.concat(slug, F.lit("-"), place.cast("string")))
 
 
-def _smaller_held(rivals: DataFrame) -> DataFrame:
+def _smaller_held(rivals: DataFrame, block: int) -> DataFrame:
     """Adds how many smaller suffixes of the parent are held by their owners."""
     return running_sum(rivals, ["parent"], "k", F.col("held").cast("bigint"), "held_before",
-                       inclusive=False)
+                       inclusive=False, block=block)
 
 
 def _losers(rivals: DataFrame, taken: DataFrame) -> DataFrame:
@@ -93,12 +93,12 @@ def _losers(rivals: DataFrame, taken: DataFrame) -> DataFrame:
     return beaten.unionByName(taken.select("own")).distinct()
 
 
-def _settle(rivals: DataFrame, rows: DataFrame, taken: DataFrame) -> DataFrame:
+def _settle(rivals: DataFrame, rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
     """Repeat the race for every suffix until the winners stop changing."""
     while True:
         lost = _losers(rivals, taken).select(F.col("own").alias("parent"), F.lit(1).alias("_lost"))
         # The parent's row that would take suffix k, had it got that far.
-        asked = (_smaller_held(rivals).join(lost, "parent", "left")
+        asked = (_smaller_held(rivals, block).join(lost, "parent", "left")
                  .withColumn("_n", F.col("k") - F.col("held_before")
                              - F.coalesce("_lost", F.lit(0))))
         taker = rows.select(F.col("own").alias("parent"), "_n", "at")

@@ -23,7 +23,7 @@ def xml_escape(c) -> Column:
 
 def ics_escape(c) -> Column:
     value = F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
-    pairs = [("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\r", ""), ("\n", "\\n")]
+    pairs = [("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r", ""), ("\n", "\\n")]
     return reduce(lambda v, p: F.replace(v, F.lit(p[0]), F.lit(p[1])), pairs, value)
 
 

@@ -29,6 +29,9 @@ ARTIFACT_KINDS = {
     "pdf": ("report", "application/pdf"),
 }
 
+# An empty cell is NULL and a quoted empty one is '': no cell text may stand for NULL itself.
+_CSV_READ = {**_CSV, "nullValue": "\x00"}
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "fail",
              multi_line: bool = True) -> DataFrame:
@@ -38,15 +41,26 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, on_error: str
     With ``multi_line`` a file is one task, since a quoted cell may hold line breaks; the
     writer below produces many files. Turn it off for single-line data to split large files.
     """
-    reader = spark.read.options(**_CSV).option("multiLine", multi_line)
-    if on_error == "fail":
-        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
-    if on_error != "quarantine":
+    if on_error not in ("fail", "quarantine"):
         raise ValueError("on_error must be 'fail' or 'quarantine'")
-    # Every column is parsed, so that the verdict does not hang on the columns selected later.
-    wide = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    return (reader.schema(wide).option("mode", "PERMISSIVE").option("columnPruning", "false")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    cells = T.StructType([*(T.StructField(f.name, T.StringType()) for f in schema.fields),
+                          T.StructField(CORRUPT, T.StringType())])
+    raw = (spark.read.options(**_CSV_READ).option("multiLine", multi_line).schema(cells)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+           .option("columnPruning", "false").csv(path))
+    # Types are checked here and not by the reader, which skips columns nobody selects.
+    unread = F.col(CORRUPT).isNotNull()
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            unread = unread | (F.nullif(F.col(f.name), F.lit("")).isNotNull()
+                               & F.col(f.name).try_cast(f.dataType).isNull())
+    line = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*schema.names)))
+    marked = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name)
+                          for f in schema.fields], F.when(unread, line).alias(CORRUPT))
+    if on_error == "quarantine":
+        return marked
+    stop = F.raise_error(F.concat(F.lit("unreadable row: "), F.col(CORRUPT))).cast("boolean")
+    return marked.filter(F.when(F.col(CORRUPT).isNotNull(), stop).otherwise(True)).drop(CORRUPT)
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +113,8 @@ def ingest_messy(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def artifact_manifest(spark: SparkSession, folder: str, kinds: dict | None = None) -> DataFrame:
-    """One row per file below ``folder``: name, type, media type, size. Contents are not read."""
+    """One row per file below ``folder``: name, type, media type, size. Contents are not read;
+    files without any content are not listed by the source."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
              .select("path", "length"))
     name = F.element_at(F.split("path", "/"), -1)
