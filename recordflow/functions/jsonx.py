@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordflow.functions.text import _col, last_segment
+from recordflow.functions.text import _col, bind, last_segment
 
 # The shape of the payment provider's payloads.
 CAPTURE_DDL = (
@@ -51,18 +51,21 @@ def json_parse_or(c, ddl: str, default: Column | None = None) -> Column:
 
 def capture_fields(payload) -> Column:
     """Status, payer email and first-capture details of an order response, each optional."""
-    doc = F.from_json(_col(payload), CAPTURE_DDL)
-    first = F.get(F.get(doc["purchase_units"], 0)["payments"]["captures"], 0)
-    breakdown = first["seller_receivable_breakdown"]
-    return F.struct(
-        F.upper(F.coalesce(doc["status"], F.lit(""))).alias("status"),
-        F.nullif(doc["payer"]["email_address"], F.lit("")).alias("payer_email"),
-        first["id"].alias("capture_id"),
-        first["create_time"].alias("create_time"),
-        first["amount"]["value"].alias("gross"),
-        breakdown["paypal_fee"]["value"].alias("fee"),
-        breakdown["net_amount"]["value"].alias("net"),
-    )
+
+    def fields(doc: Column) -> Column:
+        first = F.get(F.get(doc["purchase_units"], 0)["payments"]["captures"], 0)
+        breakdown = first["seller_receivable_breakdown"]
+        return F.struct(
+            F.upper(F.coalesce(doc["status"], F.lit(""))).alias("status"),
+            F.nullif(doc["payer"]["email_address"], F.lit("")).alias("payer_email"),
+            first["id"].alias("capture_id"),
+            first["create_time"].alias("create_time"),
+            first["amount"]["value"].alias("gross"),
+            breakdown["paypal_fee"]["value"].alias("fee"),
+            breakdown["net_amount"]["value"].alias("net"),
+        )
+
+    return bind(F.from_json(_col(payload), CAPTURE_DDL), fields)
 
 
 def first_link(links, rel: str, with_target: bool = False) -> Column:
@@ -77,10 +80,13 @@ def first_link(links, rel: str, with_target: bool = False) -> Column:
 
 def webhook_fields(payload) -> Column:
     """Event type, capture id and the order id behind the first usable 'up' link."""
-    doc = F.from_json(_col(payload), WEBHOOK_DDL)
-    return F.struct(
-        doc["event_type"].alias("event_type"),
-        F.nullif(doc["resource"]["id"], F.lit("")).alias("capture_id"),
-        last_segment(first_link(doc["resource"]["links"], "up", with_target=True))
-        .alias("order_id"),
-    )
+
+    def fields(doc: Column) -> Column:
+        return F.struct(
+            doc["event_type"].alias("event_type"),
+            F.nullif(doc["resource"]["id"], F.lit("")).alias("capture_id"),
+            last_segment(first_link(doc["resource"]["links"], "up", with_target=True))
+            .alias("order_id"),
+        )
+
+    return bind(F.from_json(_col(payload), WEBHOOK_DDL), fields)

@@ -41,6 +41,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once per row, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def clean(c) -> Column:
     """Strip Unicode whitespace at both ends; NULL becomes ''."""
     return F.btrim(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit(STRIP_CHARS))
@@ -144,25 +149,30 @@ def char_entropy(c) -> Column:
 
     The score adds the alphabet size of each character class present, one for each distinct
     character met after its class was known, and one per class change (the first counts).
-    The sequential rule is restated per class, so the cost is linear in the text: keep one
-    class, drop its first character, count what is left distinct. Characters are code points.
+    Restated without a walk: a class adds its distinct characters, less its first one unless
+    that comes again. Distinct characters keep the order they first appear in, so the first of
+    a class is the first among them. Characters are code points.
     """
     value = F.coalesce(_col(c).cast("string"), F.lit(""))
-    bodies = [body for body, _ in ENTROPY_CLASSES]
-    classes = [(f"[^{body}]+", size) for body, size in ENTROPY_CLASSES]
-    classes.append((f"[{''.join(bodies)}]+", ENTROPY_OTHER))
-
-    score = F.lit(0)
-    for drop, size in classes:
-        kept = F.regexp_replace(value, drop, "")
-        again = F.substring(kept, 2, 2147483647)
-        distinct_again = F.when(F.length(again) == 0, 0).otherwise(
-            F.size(F.array_distinct(F.split(again, "")))
-        )
-        score = score + F.when(F.length(kept) == 0, 0).otherwise(F.lit(size) + distinct_again)
-
-    runs = [f"[{body}]+" for body in bodies] + [f"[^{''.join(bodies)}]+"]
-    score = score + F.regexp_count(value, F.lit("|".join(runs)))
-
+    listed = "".join(body for body, _ in ENTROPY_CLASSES)
+    classes = [(f"[{body}]", size) for body, size in ENTROPY_CLASSES]
+    classes.append((f"[^{listed}]", ENTROPY_OTHER))
+
+    def member_of(one: str):
+        return lambda ch: ch.rlike(one)
+
+    def alphabet(seen: Column) -> Column:
+        total = F.lit(0)
+        for one, size in classes:
+            own = F.filter(seen, member_of(one))
+            first = F.get(own, 0)
+            again = F.position(first, value, F.position(first, value) + 1) > 0
+            points = F.lit(size) + F.size(own) - F.when(again, 0).otherwise(1)
+            total = total + F.when(F.size(own) == 0, 0).otherwise(points)
+        return total
+
+    distinct = F.array_distinct(F.split(value, ""))
+    runs = F.length(F.regexp_replace(value, "|".join(f"{one}+" for one, _ in classes), "x"))
+    score = bind(distinct, alphabet) + runs
     bits = F.length(value) * F.log(score.cast("double")) / F.lit(0.6931471805599453)
     return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(F.floor(bits * 100 + 0.5) / 100)

@@ -110,32 +110,48 @@ def latest_status(events: DataFrame, key: str, order: list[str], state: str = "s
 
 
 def transitions(events: DataFrame, key: str, ts: str, tie: str, state: str, target: str,
-                before: str | None = None, chunk: Column | None = None) -> DataFrame:
-    """Per key: the last state, and when ``target`` was last entered from another state.
-
-    ``before`` names a column with the key's state ahead of its first event. Histories are cut
-    by hour: windows run per (key, hour), and one summary row per hour crosses the cuts.
+                extras: dict[str, Column] | None = None, chunk: Column | None = None) -> DataFrame:
+    """Per key: ``last_state``; ``first_at`` and ``first_state`` of its first event; and
+    ``entered_on``, when ``target`` was last entered from another state by a later one.
+
+    Whether the first event enters the target depends on the state before it, which the caller
+    knows (see :func:`entered_since`). ``extras`` are columns whose largest value per key comes
+    along. Histories are cut by hour: windows run per (key, hour), and one summary row per hour
+    crosses the cuts.
     """
-    start = F.col(before) if before else F.lit(None).cast("string")
+    extras = extras or {}
     cut = (events.filter(F.col(key).isNotNull())
-           .select(F.col(key), F.col(ts).alias("_ts"), F.struct(F.col(ts), F.col(tie)).alias("_at"),
-                   F.coalesce(F.col(state), F.lit("")).alias("_state"), start.alias("_start"),
-                   (time_chunk(ts) if chunk is None else chunk).alias("_chunk")))
+           .select(F.col(key), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("id")).alias("_at"),
+                   F.coalesce(F.col(state), F.lit("")).alias("_state"),
+                   (time_chunk(ts) if chunk is None else chunk).alias("_chunk"),
+                   *[c.alias(name) for name, c in extras.items()]))
     inside = Window.partitionBy(key, "_chunk").orderBy("_at")
-    earlier = F.lag("_state").over(inside)
     entering = (F.col("_state") == target) & (F.col("_earlier") != target)
-    parts = (cut.withColumn("_earlier", earlier)
+    parts = (cut.withColumn("_earlier", F.lag("_state").over(inside))
              .groupBy(key, "_chunk").agg(
-                 F.min(F.struct("_at", "_state", "_ts", "_start")).alias("_first"),
+                 F.min(F.struct("_at", "_state")).alias("_first"),
                  F.max_by("_state", "_at").alias("_last"),
-                 F.max(F.when(entering, F.col("_ts"))).alias("_entered")))
+                 F.max(F.when(entering, F.col("_at.ts"))).alias("_entered"),
+                 *[F.max(name).alias(name) for name in extras]))
     across = Window.partitionBy(key).orderBy("_chunk")
-    came_from = F.coalesce(F.lag("_last").over(across), F.col("_first._start"), F.lit(""))
-    crossing = F.when((F.col("_first._state") == target) & (came_from != target),
-                      F.col("_first._ts"))
-    return (parts.withColumn("_crossed", crossing).groupBy(key).agg(
+    crossing = F.when((F.col("_first._state") == target) & (F.col("_came_from") != target),
+                      F.col("_first._at.ts"))
+    return (parts.withColumn("_came_from", F.lag("_last").over(across))
+            .withColumn("_crossed", crossing).groupBy(key).agg(
         F.max_by("_last", "_chunk").alias("last_state"),
-        F.max(F.greatest("_entered", "_crossed")).alias("entered_on")))
+        F.min("_first").alias("_start"),
+        F.max(F.greatest("_entered", "_crossed")).alias("entered_on"),
+        *[F.max(name).alias(name) for name in extras])
+        .select(key, "last_state", F.col("_start._at.ts").alias("first_at"),
+                F.col("_start._state").alias("first_state"), "entered_on", *extras))
+
+
+def entered_since(before, target: str) -> Column:
+    """When the target was last entered, given the state before the first event."""
+    state = F.col(before) if isinstance(before, str) else before
+    at_first = F.when((F.col("first_state") == target)
+                      & (F.coalesce(state, F.lit("")) != target), F.col("first_at"))
+    return F.greatest("entered_on", at_first)
 
 
 def streak(df: DataFrame, user: str, ts: str) -> DataFrame:

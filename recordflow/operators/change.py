@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordflow.functions.jsonx import json_or_empty
 from recordflow.functions.text import clean, norm_email, short_id
 from recordflow.operators.agg import rollup_status
-from recordflow.operators.join import without_child
+from recordflow.operators.join import left_unique, without_child
 from recordflow.operators.number import numbered
 from recordflow.operators.select import active
 from recordflow.schemas import DEFAULTS, Edge
@@ -84,10 +84,10 @@ def stamp(df: DataFrame, changed: Column, now, who=None) -> DataFrame:
 
 
 def _marked(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
-    side = keys.select(F.col(keys.columns[0]).alias(f"_k{name}")).distinct().withColumn(
+    side = keys.select(F.col(keys.columns[0]).alias("_gone_key")).distinct().withColumn(
         name, F.lit(True))
-    return (df.join(side, F.col(key) == F.col(f"_k{name}"), "left").drop(f"_k{name}")
-            .withColumn(name, F.coalesce(name, F.lit(False))))
+    return left_unique(df, side, [(key, "_gone_key")], [name]).withColumn(
+        name, F.coalesce(name, F.lit(False)))
 
 
 def archive(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:

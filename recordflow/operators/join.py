@@ -6,10 +6,12 @@ planner picks from measured sizes and splits hot keys.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordflow.operators.number import numbered
 from recordflow.operators.select import active
@@ -132,6 +134,35 @@ def with_children(parent: DataFrame, key: str, child: DataFrame, fk: str, order:
             .withColumn(name, F.coalesce(F.col(name), empty)))
 
 
+def _filled(df: DataFrame, key: str) -> Column:
+    """The key, or where it is NULL a hash of the row, so that such rows do not meet in one task."""
+    kind = df.schema[key].dataType
+    atoms = [f.name for f in df.schema.fields if not isinstance(
+        f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    if isinstance(kind, T.LongType):
+        return F.coalesce(F.col(key), F.xxhash64(*atoms))
+    if isinstance(kind, T.IntegerType):
+        return F.coalesce(F.col(key), F.hash(*atoms))
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.col(key), F.xxhash64(*atoms).cast("string"))
+    return F.col(key)
+
+
+def left_unique(df: DataFrame, side: DataFrame, on: list[tuple[str, str]],
+                take: list[str]) -> DataFrame:
+    """``df`` with the ``take`` columns of the side row whose keys match, NULL where none does.
+
+    The side is unique by its keys. Rows with a NULL key find nothing, and are spread over all
+    tasks; hot keys are left to the adaptive join, which splits them.
+    """
+    right = side.select(*[F.col(r).alias(f"_on{i}") for i, (_, r) in enumerate(on)], *take)
+    test = reduce(Column.__and__, [_filled(df, left) == F.col(f"_on{i}")
+                                   for i, (left, _) in enumerate(on)])
+    whole = reduce(Column.__and__, [F.col(left).isNotNull() for left, _ in on])
+    return df.join(right, test, "left").select(
+        *df.columns, *[F.when(whole, F.col(c)).alias(c) for c in take])
+
+
 def first_per_key(dim: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """One ``value`` per non-null key: the smallest, as the first match by id would be."""
     return dim.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_k_{name}")).agg(
@@ -145,7 +176,7 @@ def match_priority(src: DataFrame, dim: DataFrame, keys: list[tuple[str, str]],
     out, found = src, []
     for i, (left, right) in enumerate(keys):
         side = first_per_key(dim, right, value, f"_m{i}")
-        out = out.join(side, F.col(left) == F.col(f"_k__m{i}"), "left").drop(f"_k__m{i}")
+        out = left_unique(out, side, [(left, f"_k__m{i}")], [f"_m{i}"])
         found.append(F.col(f"_m{i}"))
     return out.withColumn(name, F.coalesce(*found)).drop(*[f"_m{i}" for i in range(len(keys))])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import clean, slug_text
+from recordflow.operators.join import left_unique
 from recordflow.schemas import Edge
 
 # Fixed value: a plain address shape, one '@' between dot-separated parts.
@@ -106,9 +107,8 @@ def flag_doubled(df: DataFrame, keys: list[str], name: str = "is_doubled") -> Da
     the join instead of sitting in one window.
     """
     doubled = duplicates(df, keys).select(*keys, F.lit(True).alias(name))
-    on = reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
-    return (df.alias("l").join(doubled.alias("r"), on, "left")
-            .select("l.*", F.coalesce(F.col(f"r.{name}"), F.lit(False)).alias(name)))
+    return left_unique(df, doubled, [(k, k) for k in keys], [name]).withColumn(
+        name, F.coalesce(name, F.lit(False)))
 
 
 def accept_unique(new: DataFrame, existing: DataFrame, keys: list[str],
@@ -121,7 +121,7 @@ def accept_unique(new: DataFrame, existing: DataFrame, keys: list[str],
     first = _keyed(new, keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
     taken = existing.select(*keys).distinct().withColumn("_taken", F.lit(True))
     verdicts = first.join(taken, keys, "left")
-    marked = new.join(verdicts, keys, "left")
+    marked = left_unique(new, verdicts, [(k, k) for k in keys], ["_first", "_taken"])
     is_first = F.struct(*order) == F.col("_first")
     good = F.col("_first").isNull() | (is_first & F.col("_taken").isNull())
     extra = ["_first", "_taken", "_good"]

@@ -112,7 +112,9 @@ def latest_status(t):
            max(ts) FILTER (event_type = 'purchase' AND p IS DISTINCT FROM 'purchase') AS entered_on
     FROM seq GROUP BY 1""")
 def transitions(t):
-    return agg.transitions(t.events, "user_id", "ts", "event_id", "event_type", "purchase")
+    moves = agg.transitions(t.events, "user_id", "ts", "event_id", "event_type", "purchase")
+    entered = agg.entered_since(F.lit(None).cast("string"), "purchase")
+    return moves.select("user_id", "last_state", entered.alias("entered_on"))
 
 
 @query("streak", """

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from recordflow.operators.number import next_match, time_chunk
 from recordflow.session import materialize
 
-FOLD_LIMIT = 20_000
+FOLD_LIMIT = 5_000
 COLUMNS = ["user_id", "payment_id", "grant_event_id", "granted_on", "revoked_on", "status"]
 _GRANT = "struct<payment_id: bigint, grant_event_id: bigint, granted_on: timestamp_ntz>"
 
@@ -34,14 +34,12 @@ def entitlement_ledger(events: DataFrame, held: DataFrame | None = None,
         steps = steps.unionByName(held.filter("status = 'active'").select(
             "user_id", F.col("granted_on").alias("ts"), F.col("grant_event_id").alias("event_id"),
             F.lit("grant").alias("kind"), "payment_id"))
-    steps = _compact(steps)
     sizes = steps.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     long = sizes.filter(F.col("_n") > fold_limit).select("user_id")
-    short = sizes.filter(F.col("_n") <= fold_limit).select("user_id")
     if long.isEmpty():
         return _fold(steps)
-    return _fold(steps.join(short, "user_id", "left_semi")).unionByName(
-        _chain(steps.join(long, "user_id", "left_semi")))
+    return _fold(steps.join(long, "user_id", "left_anti")).unionByName(
+        _chain(_compact(steps.join(long, "user_id", "left_semi"))))
 
 
 def _compact(steps: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recordflow.functions.jsonx import capture_fields
 from recordflow.functions.text import falsy_or
-from recordflow.operators.agg import transitions
-from recordflow.operators.join import first_per_key
+from recordflow.operators.agg import entered_since, transitions
+from recordflow.operators.join import first_per_key, left_unique
 
 # Event types and the payment status each leads to.
 COMPLETED = "PAYMENT.CAPTURE.COMPLETED"
@@ -49,9 +49,10 @@ def match_payments(events: DataFrame, payments: DataFrame, learn: bool = True) -
     by_capture = F.when(F.col("_since").isNull() | (F.col("_since") < at), F.col("_pid"))
     by_order = F.when((F.col("event_type") == COMPLETED) & F.col("capture_id").isNotNull(),
                       F.col("_oid"))
-    return (events.join(captures, "capture_id", "left").join(orders, "order_id", "left")
-            .withColumn("payment_id", F.when(F.col("event_type").isin(*STATUS_OF),
-                                             F.coalesce(by_capture, by_order)))
+    found = left_unique(events, captures, [("capture_id", "capture_id")], ["_pid", "_since"])
+    found = left_unique(found, orders, [("order_id", "order_id")], ["_oid"])
+    return (found.withColumn("payment_id", F.when(F.col("event_type").isin(*STATUS_OF),
+                                                  F.coalesce(by_capture, by_order)))
             .drop("_pid", "_since", "_oid"))
 
 
@@ -76,20 +77,23 @@ def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
     state = F.lit(None).cast("string")
     for kind, status in STATUS_OF.items():
         state = F.when(F.col("event_type") == kind, F.lit(status)).otherwise(state)
-    before = payments.select(F.col("id").alias("payment_id"), F.col("status").alias("_before"))
-    seq = hits.withColumn("_status", state).join(before, "payment_id")
-    moves = transitions(seq, "payment_id", "ts", "event_id", "_status", "captured", "_before")
-    extra = seq.groupBy("payment_id").agg(
-        F.max(F.when(F.col("event_type") == REFUNDED, F.col("ts"))).alias("_refunded"),
-        F.min_by("capture_id", F.when(F.col("event_type") == COMPLETED, at)).alias("_capture"))
-    after = moves.join(extra, "payment_id").withColumnRenamed("payment_id", "id")
+    # Largest refund time, and the first completion's capture id (by the least time, negated).
+    kind = F.col("event_type")
+    moves = transitions(
+        hits.withColumn("_status", state), "payment_id", "ts", "event_id", "_status", "captured",
+        extras={"_refunded": F.when(kind == REFUNDED, F.col("ts")),
+                "_capture": F.when(kind == COMPLETED, F.struct(
+                    (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"),
+                    (-F.col("event_id")).alias("i"), "capture_id"))})
+    after = moves.withColumnRenamed("payment_id", "id")
     values = {
         "status": F.coalesce("last_state", F.col("status")),
-        "paid_on": F.coalesce("entered_on", F.col("paid_on")),
+        "paid_on": F.coalesce(entered_since("status", "captured"), F.col("paid_on")),
         "refunded_on": F.coalesce("_refunded", F.col("refunded_on")),
     }
     if learn:
-        values["provider_capture_id"] = F.coalesce(F.col("provider_capture_id"), "_capture")
+        values["provider_capture_id"] = F.coalesce(F.col("provider_capture_id"),
+                                                   F.col("_capture.capture_id"))
     return payments.join(after, "id", "left").select(
         *[values[c].alias(c) if c in values else F.col(c) for c in payments.columns])
 

@@ -69,9 +69,10 @@ def random_events(seed, n=300, users=4):
 def test_transitions_equal_a_walk(spark):
     events = list(random_events(4))
     df = spark.createDataFrame(events, "id long, ts timestamp_ntz, k long, state string")
-    df = df.withColumn("before", F.when(F.col("k") == 1, "captured").otherwise("created"))
-    got = {r["k"]: (r["last_state"], r["entered_on"]) for r in agg.transitions(
-        df, "k", "ts", "id", "state", "captured", "before").collect()}
+    before = F.when(F.col("k") == 1, "captured").otherwise("created")
+    got = {r["k"]: (r["last_state"], r["at"]) for r in agg.transitions(
+        df, "k", "ts", "id", "state", "captured").withColumn(
+        "at", agg.entered_since(before, "captured")).collect()}
     for k in range(4):
         state, entered = ("captured" if k == 1 else "created"), None
         for _, ts, key, new in sorted(events, key=lambda e: (e[1], e[0])):
