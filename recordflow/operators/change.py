@@ -54,6 +54,13 @@ def patch(base: DataFrame, patches: DataFrame, key: str, cleaned=(), nullable_bl
     return base.join(side, key, "left").select(*out)
 
 
+def fold_patches(patches: DataFrame, key: str, order: str) -> DataFrame:
+    """One patch per key out of several: for each field the last value given."""
+    fields = [c for c in patches.columns if c not in (key, order)]
+    return patches.groupBy(key).agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields])
+
+
 def update_where(df: DataFrame, predicate: str, sets: dict[str, str],
                  count: Observation | None = None) -> DataFrame:
     """Set expressions where the predicate holds, all on the old values. With an Observation,

@@ -36,9 +36,9 @@ class StateTable:
         base = SEED if base is None else base  # an empty seed leaves no file behind
         rows = rows.filter((F.col("batch") >= base) & (F.col("full") | (F.col("batch") > base)))
         rest = [f.name for f in self.schema.fields if f.name not in self.keys]
-        return (rows.groupBy(*self.keys)
-                .agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-                .select(*self.keys, "_row.*").select(*self.schema.names))
+        # One aggregate per column, so that columns nobody asks for are not read.
+        return (rows.groupBy(*self.keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+                .select(*self.schema.names))
 
     def upsert(self, changed: DataFrame, batch: int) -> None:
         """Store the rows this batch inserted or changed, unique by key."""
