@@ -32,53 +32,57 @@ def dedupe_slugs(df: DataFrame, slug: str, order: str, existing: DataFrame | Non
     """Adds the unique slug of each row. ``order`` is a unique integer, the insertion order;
     ``existing`` holds one column of slugs taken beforehand. Slugs are not NULL."""
     spark = df.sparkSession
-    rows = numbered(df, [slug], order, "_n", block)
-    first = df.groupBy(F.col(slug).alias("own")).agg(F.min(order).alias("since"))
+    # Number the slugs once, on their two columns, and work from that.
+    rows = materialize(numbered(df.select(slug, order), [slug], order, "_n", block)
+                       .toDF("own", "at", "_n"), "slug-rows")
     taken = spark.createDataFrame([], "own string") if existing is None else (
         existing.toDF("own").filter(F.col("own").isNotNull()).distinct())
-
-    names = (first.join(taken.withColumn("fixed", F.lit(True)), "own", "full")
+    names = (rows.filter("_n = 1").select("own", F.col("at").alias("since"))
+             .join(taken.withColumn("fixed", F.lit(True)), "own", "full")
              .withColumn("fixed", F.coalesce("fixed", F.lit(False))))
-    suffix = F.regexp_extract("own", _SUFFIXED, 2).try_cast("bigint")
     rivals = (names.withColumn("parent", F.regexp_extract("own", _SUFFIXED, 1))
-              .withColumn("k", suffix).filter(F.col("k") >= 2)
-              .join(first.select(F.col("own").alias("parent")), "parent", "left_semi")
+              .withColumn("k", F.regexp_extract("own", _SUFFIXED, 2).try_cast("bigint"))
+              .filter(F.col("k") >= 2)
+              .join(rows.filter("_n = 1").select(F.col("own").alias("parent")), "parent",
+                    "left_semi")
               .withColumn("held", F.lit(True)))
     rivals = materialize(rivals, "slug-rivals")
-
-    if rivals.isEmpty():
-        shift = taken.select(F.col("own").alias(slug), F.lit(1).alias("_shift"))
-        place = F.col("_n") + F.coalesce("_shift", F.lit(0)).cast("bigint")
-        return (rows.join(shift, slug, "left")
-                .withColumn(name, _suffixed(slug, place))
-                .drop("_n", "_shift"))
-
-    rivals = _settle(rivals, rows.select(F.col(slug).alias("own"), F.col("_n"),
-                                         F.col(order).alias("at")), taken, block)
-    lost = _losers(rivals, taken)
-    placed = (rows.join(lost.select(F.col("own").alias(slug), F.lit(1).alias("_shift")),
-                        slug, "left")
-              .withColumn("_m", F.col("_n") - 1 + F.coalesce("_shift", F.lit(0))))
+    rivalled = not rivals.isEmpty()
+    if rivalled:
+        rivals = _settle(rivals, rows, taken, block)
+
+    lost = _losers(rivals, taken) if rivalled else taken
+    placed = (rows.join(lost.select("own", F.lit(1).alias("_shift")), "own", "left")
+              .withColumn("_m", F.col("_n") - 1 + F.coalesce("_shift", F.lit(0)))
+              .select("own", "at", "_m"))
+    if rivalled:
+        placed = _skip_held(placed, rivals, block)
+    else:
+        placed = placed.withColumn("_skipped", F.lit(0))
+    number = (F.col("_m") + 1 + F.col("_skipped")).cast("string")
+    given = placed.select(
+        F.col("at").alias(order), F.col("own").alias(slug),
+        F.when(F.col("_m") == 0, F.col("own")).otherwise(F.concat("own", F.lit("-"), number))
+        .alias(name))
+    if set(df.columns) == {slug, order}:
+        return given.select(*df.columns, name)
+    return df.join(given.select(order, name), order).select(*df.columns, name)
+
+
+def _skip_held(placed: DataFrame, rivals: DataFrame, block: int) -> DataFrame:
+    """Adds how many suffixes each row finds held by their owners before the one it gets."""
     # Held suffixes by the number of names the parent hands out before reaching them.
     skips = (_smaller_held(rivals, block).filter("held")
-             .groupBy(F.col("parent").alias(slug), (F.col("k") - 1 - F.col("held_before"))
-                      .alias("_m"))
+             .groupBy(F.col("parent").alias("own"),
+                      (F.col("k") - 1 - F.col("held_before")).alias("_m"))
              .agg(F.count(F.lit(1)).alias("_skip")))
-    busy = skips.select(slug).distinct()
-    union = (placed.join(busy, slug, "left_semi").withColumn("_skip", F.lit(0).cast("bigint"))
+    busy = skips.select("own").distinct()
+    union = (placed.join(busy, "own", "left_semi").withColumn("_skip", F.lit(0).cast("bigint"))
              .unionByName(skips, allowMissingColumns=True))
-    crowded = (running_sum(union, [slug], "_m", F.col("_skip"), "_skipped", block=block)
-               .filter(F.col(order).isNotNull()).drop("_skip"))
-    free = placed.join(busy, slug, "left_anti").withColumn("_skipped", F.lit(0).cast("bigint"))
-    both = crowded.unionByName(free)
-    place = F.when(F.col("_m") == 0, 1).otherwise(F.col("_m") + 1 + F.col("_skipped"))
-    return (both.withColumn(name, _suffixed(slug, place))
-            .select(*df.columns, name))
-
-
-def _suffixed(slug: str, place):
-    return F.when(place == 1, F.col(slug)).otherwise(
-        F.concat(slug, F.lit("-"), place.cast("string")))
+    crowded = (running_sum(union, ["own"], "_m", F.col("_skip"), "_skipped", block=block)
+               .filter(F.col("at").isNotNull()).drop("_skip"))
+    free = placed.join(busy, "own", "left_anti").withColumn("_skipped", F.lit(0).cast("bigint"))
+    return crowded.unionByName(free)
 
 
 def _smaller_held(rivals: DataFrame, block: int) -> DataFrame:
@@ -101,7 +105,7 @@ def _settle(rivals: DataFrame, rows: DataFrame, taken: DataFrame, block: int) ->
         asked = (_smaller_held(rivals, block).join(lost, "parent", "left")
                  .withColumn("_n", F.col("k") - F.col("held_before")
                              - F.coalesce("_lost", F.lit(0))))
-        taker = rows.select(F.col("own").alias("parent"), "_n", "at")
+        taker = rows.withColumnRenamed("own", "parent")
         held = F.col("fixed") | F.col("at").isNull() | (F.col("since") < F.col("at"))
         raced = (asked.join(taker, ["parent", "_n"], "left")
                  .withColumn("_changed", held != F.col("held")).withColumn("held", held))
