@@ -16,6 +16,10 @@ DENIED = "PAYMENT.CAPTURE.DENIED"
 REFUNDED = "PAYMENT.CAPTURE.REFUNDED"
 STATUS_OF = {COMPLETED: "captured", DENIED: "failed", REFUNDED: "refunded"}
 
+# Notes left on a payment by a capture response.
+CAPTURED_NOTE = "Order captured successfully."
+NOT_COMPLETED_NOTE = "Capture returned non-completed status: "
+
 
 def match_payments(events: DataFrame, payments: DataFrame, learn: bool = True) -> DataFrame:
     """Events with the ``payment_id`` they mean, NULL where none.
@@ -142,8 +146,8 @@ def apply_captures(payments: DataFrame, responses: DataFrame) -> DataFrame:
         "paid_on": given(F.coalesce(F.col("_r.create_time").try_cast("timestamp_ntz"),
                                     F.col("arrived_on")), "paid_on"),
         "provider_payload_json": F.coalesce("payload", F.col("provider_payload_json")),
-        "notes": F.when(done, "Order captured successfully.").when(
-            failed, F.concat(F.lit("Capture returned non-completed status: "),
+        "notes": F.when(done, CAPTURED_NOTE).when(
+            failed, F.concat(F.lit(NOT_COMPLETED_NOTE),
                              F.coalesce("_r.status", F.lit("")))).otherwise(F.col("notes")),
     }
     return payments.join(got, "provider_order_id", "left").select(

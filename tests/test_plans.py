@@ -58,3 +58,29 @@ def test_windows_never_hold_a_bare_key(spark):
 def test_tables_are_lazy(spark):
     t = Tables(spark, FOLDER)
     assert t.orders.columns[0] == "o_orderkey"
+
+
+def test_rows_with_null_keys_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from recordflow.operators.join import left_unique
+
+    settings = {"spark.sql.adaptive.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for kind in ("long", "int", "string"):
+            df = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id"))
+                                          .cast(kind).alias("k"))
+            side = spark.range(0, 4000, 20).select(F.col("id").cast(kind).alias("s"),
+                                                   F.lit("x").alias("v"))
+            out = left_unique(df, side, [("k", "s")], ["v"])
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 4 and max(sizes) < 1400
+            assert out.filter("v IS NOT NULL").count() == 200
+            assert out.filter("v IS NOT NULL AND k IS NULL").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
