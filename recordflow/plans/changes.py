@@ -8,7 +8,6 @@ from recordflow.operators import change, users
 from recordflow.plans.registry import query
 from recordflow.plans.rollups import ELEMENT_STATUS_SQL
 from recordflow.schemas import DEFAULTS, INPUT_EDGES, Edge
-from recordflow.sources.tables import scan_all
 
 NOW = "2024-02-01 12:00:00"
 
@@ -168,7 +167,8 @@ _DEAD_SQL = """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2),
 
 
 def _without_region(t):
-    return change.delete_cascade(scan_all(t.spark, t.folder), _DELETE_EDGES, "region",
+    names = {n for e in _DELETE_EDGES for n in (e.child, e.parent)}
+    return change.delete_cascade(t.some(names), _DELETE_EDGES, "region",
                                  t.region.filter("r_regionkey = 2").select("r_regionkey"))
 
 

@@ -9,7 +9,6 @@ from recordflow.operators import quality as q
 from recordflow.plans.registry import query
 from recordflow.plans.rollups import SLUG_SQL
 from recordflow.schemas import INPUT_EDGES, Edge
-from recordflow.sources.tables import scan_all
 
 
 @query("required_values", """
@@ -151,4 +150,5 @@ def _edge_sql(edge: Edge) -> str:
 
 @query("foreign_key_audit", " UNION ALL ".join(_edge_sql(e) for e in _AUDITED))
 def foreign_key_audit(t):
-    return q.fk_audit(scan_all(t.spark, t.folder), _AUDITED)
+    names = {n for e in _AUDITED for n in (e.child, e.parent)}
+    return q.fk_audit(t.some(names), _AUDITED)

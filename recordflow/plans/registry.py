@@ -7,22 +7,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordflow.schemas import INPUT_DDL
 from recordflow.session import tune
-from recordflow.sources.tables import scan_all
+from recordflow.sources.tables import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The input tables of one folder as attributes, read lazily."""
+    """The input tables of one folder as attributes, each set up when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._tables = scan_all(spark, folder)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._tables[name]
+        if name not in INPUT_DDL:
+            raise AttributeError(name)
+        table = scan(self.spark, self.folder, name)
+        setattr(self, name, table)
+        return table
+
+    def some(self, names) -> dict[str, DataFrame]:
+        """Several tables by name."""
+        return {name: getattr(self, name) for name in names}
 
 
 def query(name: str, sql: str | None = None):
