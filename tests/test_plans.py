@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from recordflow.operators import number
 from recordflow.plans import QUERIES, changes, checks, reads, rollups, texts
 from recordflow.plans.registry import Tables
 
@@ -51,8 +52,11 @@ def test_rollup_combines_before_the_shuffle(spark):
 
 def test_windows_never_hold_a_bare_key(spark):
     """Row windows run per (key, block); windows per key see one row per block only."""
-    text = plan(QUERIES["unique_slugs"](spark, FOLDER))
-    assert re.search(r"row_number\(\) windowspecdefinition\(slug#\d+, _block#", text)
+    t = Tables(spark, FOLDER)
+    text = plan(number.numbered(t.orders, ["o_custkey"], "o_orderkey"))
+    assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\d+L?, _block#", text)
+    text = plan(QUERIES["transitions"](spark, FOLDER))
+    assert re.search(r"lag\(_state#[^)]*\) windowspecdefinition\(user_id#\d+L?, _chunk#", text)
 
 
 def test_tables_are_lazy(spark):
