@@ -1,8 +1,10 @@
 """Record services on small tables."""
 
+import json
+
 import pytest
 
-from recordflow.operators import change, services
+from recordflow.operators import billing, change, run_services, services
 from recordflow.schemas import schema_of
 
 NOW = "2024-02-01 12:00:00"
@@ -175,3 +177,94 @@ def test_fold_patches_takes_the_last_value_given(spark, rows):
     df = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, 5), (1, 3, "b", None)],
                                "id long, n long, s string, v long")
     assert rows(change.fold_patches(df, "id", "n")) == [(1, "b", 5)]
+
+
+def test_run_services(spark, app, rows):
+    projects, scenarios, runs = app["project"], app["scenario"], app["scenario_run"]
+    asks = spark.createDataFrame([(1, 10, 1), (2, 11, 1), (3, 10, 9)],
+                                 "request_id long, user_id long, scenario_id long")
+    (started, rejected), after = run_services.start_runs(asks, runs, scenarios, projects, NOW, 40)
+    assert rows(started.filter("id > 40"), "id", "project_id", "scenario_id", "status",
+                "runtime_snapshot_json", "result_summary_json") == [
+        (41, 1, 1, "precheck", "{}", "{}")]
+    assert rows(rejected, "request_id", "reason") == [(2, "no_access"), (3, "not_found")]
+    assert rows(after, "status") == [("running",)]
+
+    mid = spark.createDataFrame([(1, 10, 41, "executing", None), (2, 10, 41, "compiling", "E")],
+                                "request_id long, user_id long, run_id long, status string, "
+                                "error_type string")
+    moved = run_services.update_runs(mid, started, projects).table
+    assert rows(moved.filter("id = 41"), "status", "error_type") == [("compiling", "E")]
+
+    end = spark.createDataFrame([(1, 10, 41, "passed", 12), (2, 10, 41, "blocked", None)],
+                                "request_id long, user_id long, run_id long, status string, "
+                                "duration_ms int")
+    (done, _), scen = run_services.finish_runs(end, moved, after, projects, NOW)
+    assert rows(done.filter("id = 41"), "status", "duration_ms", "error_type",
+                "result_summary_json") == [("blocked", None, None, "{}")]
+    assert done.filter("id = 41 AND finished_on IS NOT NULL").count() == 1
+    assert rows(scen, "status") == [("ready",)]
+    (_, _), scen = run_services.finish_runs(end.filter("request_id = 1"), moved, after, projects,
+                                            NOW)
+    assert rows(scen, "status") == [("passed",)]
+
+    files = spark.createDataFrame([(1, 10, 41, "trace", "/a", None), (2, 10, 77, "trace", "/b", 3)],
+                                  "request_id long, user_id long, run_id long, "
+                                  "artifact_type string, file_path string, size_bytes long")
+    table, rejected = run_services.attach_artifacts(files, app["run_artifact"], done, projects,
+                                                    NOW, 90)
+    assert rows(table.filter("id > 90"), "id", "run_id", "size_bytes", "notes") == [(91, 41, 0, "")]
+    assert rows(rejected, "request_id", "reason") == [(2, "not_found")]
+
+
+def test_archive_services(spark, app, rows):
+    def asks(key, *pairs):
+        return spark.createDataFrame([(i, u, k) for i, (u, k) in enumerate(pairs)],
+                                     f"request_id long, user_id long, {key} long")
+
+    projects, pages = app["project"], app["project_page"]
+    elements, scenarios = app["project_element"], app["scenario"]
+    table, rejected = run_services.archive_own_projects(asks("project_id", (10, 1), (10, 2)),
+                                                        projects)
+    assert rows(table, "id", "status", "is_active") == [
+        (1, "archived", False), (2, None, True), (3, None, False)]
+    assert rows(rejected, "reason") == [("no_access",)]
+    (table, _), parts = run_services.archive_own_pages(asks("page_id", (10, 1), (10, 3)), pages,
+                                                       elements, projects)
+    assert rows(table.filter("status = 'archived'"), "id") == [(1,)]
+    assert rows(parts, "status", "is_active") == [("archived", False), ("archived", False)]
+    (table, _), fresh = run_services.archive_own_elements(asks("element_id", (10, 1)), elements,
+                                                          pages, projects)
+    assert rows(table, "id", "status") == [(1, "archived"), (2, "ready")]
+    assert rows(fresh, "id", "status")[0] == (1, "ready")
+    table, rejected = run_services.archive_own_scenarios(asks("scenario_id", (10, 1), (0, 1)),
+                                                         scenarios, projects)
+    assert rows(table, "status") == [("archived",)]
+    assert rows(rejected, "reason") == [("authentication_required",)]
+
+
+def test_orders_open_payments(spark, rows):
+    users = spark.createDataFrame([(1, "a@b.c")], "id long, email string")
+    offers = spark.createDataFrame(
+        [(5, "LIFETIME", "All", None, 79.0, True), (6, "OLD", "Old", "USD", 1.0, False)],
+        "id long, code string, name string, currency string, price_amount double, "
+        "is_active boolean")
+    asks = spark.createDataFrame([(1, 1, "LIFETIME"), (2, 1, "OLD"), (3, 2, "LIFETIME"),
+                                  (4, 1, "LIFETIME"), (5, 1, "NONE")],
+                                 "request_id long, user_id long, offer_code string")
+    ordered, rejected = billing.order_requests(asks, users, offers)
+    unit = json.loads(ordered.filter("request_id = 1").first()["payload"])["purchase_units"][0]
+    assert unit["reference_id"] == "offer-5-user-1" and unit["custom_id"] == "1"
+    assert unit["amount"] == {"currency_code": "EUR", "value": "79.00"}
+    assert len(unit["invoice_id"]) == 24
+    assert rows(rejected, "request_id", "reason") == [
+        (2, "offer_not_available"), (3, "user_not_found"), (5, "offer_not_available")]
+    answers = spark.createDataFrame(
+        [(1, '{"id":"O1","links":[{"rel":"self","href":"x"},{"rel":"approve","href":"u"}]}'),
+         (4, '{"id":"O4","links":[]}')], "request_id long, answer string")
+    empty = spark.createDataFrame([], schema_of("billing_payment"))
+    table, rejected = billing.open_payments(empty, ordered, answers, NOW, 0)
+    assert rows(table, "id", "user_id", "offer_id", "provider_order_id", "payer_email",
+                "gross_amount", "currency", "status") == [
+        (1, 1, 5, "O1", "a@b.c", 79.0, "EUR", "created")]
+    assert rows(rejected, "request_id", "reason") == [(4, "incomplete")]
