@@ -217,7 +217,6 @@ def ledger_stream(t):
         "user_id bigint, payment_id bigint, grant_event_id bigint, granted_on timestamp_ntz, "
         "revoked_on timestamp_ntz, status string")
     table = StateTable(t.spark, scratch(t.spark, "ledger"), ["grant_event_id"], schema)
-    table.seed(t.spark.createDataFrame([], schema))
     jobs.run_stream(_ledger_events(_event_stream(t)), jobs.entitlement_step(table),
                     scratch(t.spark, "checkpoint"))
     return table.current().select(*COLUMNS)
@@ -255,9 +254,8 @@ def runs(t):
 
 @query("run_state_stream", _RUN_SQL)
 def runs_stream(t):
-    empty = run_state(_run_events(t.events)).limit(0)
-    table = StateTable(t.spark, scratch(t.spark, "runs"), ["run_id"], empty.schema)
-    table.seed(empty)
+    schema = run_state(_run_events(t.events)).schema
+    table = StateTable(t.spark, scratch(t.spark, "runs"), ["run_id"], schema)
     jobs.run_stream(_run_events(_event_stream(t)), jobs.run_step(table),
                     scratch(t.spark, "checkpoint"))
     return with_duration(table.current()).drop("last_at")
@@ -270,7 +268,6 @@ def upserted_state(t):
     """A state table fed one day of events at a time, the last rows per user of each."""
     table = StateTable(t.spark, scratch(t.spark, "latest"), ["user_id"],
                        schema_of("events"), full_every=2)
-    table.seed(t.events.limit(0))
     last = t.events.groupBy("user_id", F.ceil(F.dayofmonth("ts") / 11).alias("part")).agg(
         F.max_by(F.struct("event_id", "ts", "event_type", "value", "props"), "event_id")
         .alias("r")).select("user_id", "part", "r.*")

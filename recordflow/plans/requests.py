@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import slug_text
-from recordflow.operators import services
+from recordflow.operators import billing, run_services, services
 from recordflow.plans.reads import key_number
 from recordflow.plans.registry import query
 from recordflow.plans.rollups import SLUG_SQL
@@ -219,9 +219,10 @@ def update_elements_pages(t):
 
 
 @query("create_scenarios", f"""
-    SELECT {FIRST_NEW} + row_number() OVER (ORDER BY doc_id) AS id, doc_id AS project_id,
-           regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS name, lang AS source_text,
-           'draft' AS status, '[]' AS steps_json
+    SELECT doc_id AS id, doc_id AS project_id, source AS name, text AS source_text,
+           lang AS status, '' AS steps_json FROM documents
+    UNION ALL SELECT {FIRST_NEW} + row_number() OVER (ORDER BY doc_id), doc_id,
+           regexp_replace(text, '^\\s+|\\s+$', '', 'g'), lang, 'draft', '[]'
     FROM documents JOIN customer ON c_custkey = doc_id AND c_acctbal > 0
     WHERE n_chars % 3 + 1 = c_custkey % 3 + 1 AND regexp_matches(text, '\\S')""")
 def create_scenarios(t):
@@ -229,10 +230,10 @@ def create_scenarios(t):
         F.col("doc_id").alias("request_id"), (F.col("n_chars") % 3 + 1).alias("user_id"),
         F.col("doc_id").alias("project_id"), F.col("text").alias("name"),
         F.col("lang").alias("source_text"))
-    table = t.documents.limit(0).select(
+    table = t.documents.select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("project_id"),
-        F.col("text").alias("name"), F.col("text").alias("source_text"),
-        F.col("text").alias("status"), F.col("text").alias("steps_json"))
+        F.col("source").alias("name"), F.col("text").alias("source_text"),
+        F.col("lang").alias("status"), F.lit("").alias("steps_json"))
     return services.create_scenarios(asks, table, _projects(t), NOW, FIRST_NEW).table
 
 
@@ -261,3 +262,159 @@ def run_payloads(t):
     ids = F.array_join(F.transform("artifacts", lambda a: a["id"].cast("string")), ",")
     return nested.select("id", "part", ids.alias("artifacts"),
                          F.try_element_at("runtime_snapshot", F.lit("seg")).alias("segment"))
+
+
+def _runs(t):
+    """Orders as runs of their customer's scenario, in projects owned by 1, 2 or 3."""
+    none = F.lit(None).cast("string")
+    return t.orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"),
+        F.col("o_custkey").alias("scenario_id"), F.lit("executing").alias("status"),
+        F.lit(None).cast("timestamp_ntz").alias("finished_on"),
+        F.lit(None).cast("int").alias("duration_ms"), F.lit("old").alias("error_type"),
+        none.alias("stdout_text"), F.lit("{}").alias("result_summary_json"),
+        F.lit(True).alias("is_active"))
+
+
+def _scenarios(t):
+    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("project_id"),
+                             F.lit("draft").alias("status"), F.lit(True).alias("is_active"))
+
+
+def _finished(t):
+    """Events as finishes; a run may be finished again and again."""
+    status = (F.when(F.col("event_type") == "purchase", "passed")
+              .when(F.col("event_type") == "error", "failed")
+              .when(F.col("event_type") == "signup", "cancelled").otherwise("blocked"))
+    asks = t.events.select(
+        F.col("event_id").alias("request_id"), (key_number() % 4).alias("user_id"),
+        (F.col("user_id") * 40 + key_number() % 40).alias("run_id"), status.alias("status"),
+        F.floor("value").cast("int").alias("duration_ms"), F.col("props").alias("stdout_text"))
+    return run_services.finish_runs(asks, _runs(t), _scenarios(t), _projects(t), NOW)
+
+
+_FINISH_SQL = """
+    WITH r AS (SELECT event_id, json_extract(props, '$.k')::BIGINT % 4 AS u,
+               user_id * 40 + json_extract(props, '$.k')::BIGINT % 40 AS run, value, props,
+               CASE event_type WHEN 'purchase' THEN 'passed' WHEN 'error' THEN 'failed'
+                    WHEN 'signup' THEN 'cancelled' ELSE 'blocked' END AS st FROM events),
+    good AS (SELECT r.*, o_custkey FROM r JOIN orders ON o_orderkey = run
+             JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0
+             WHERE u <> 0 AND u = c_custkey % 3 + 1)"""
+
+
+@query("finish_runs", f"""{_FINISH_SQL},
+    last AS (SELECT * FROM good QUALIFY row_number() OVER (
+                 PARTITION BY run ORDER BY event_id DESC) = 1)
+    SELECT o_orderkey AS id, coalesce(st, 'executing') AS status,
+           CASE WHEN run IS NOT NULL THEN TIMESTAMP '{NOW}' END AS finished_on,
+           floor(value)::INT AS duration_ms,
+           CASE WHEN run IS NULL THEN 'old' END AS error_type, props AS stdout_text,
+           '{{}}' AS result_summary_json
+    FROM orders LEFT JOIN last ON run = o_orderkey""")
+def finish_runs(t):
+    return _finished(t)[0].table.select("id", "status", "finished_on", "duration_ms", "error_type",
+                                        "stdout_text", "result_summary_json")
+
+
+@query("finish_runs_scenarios", f"""{_FINISH_SQL},
+    last AS (SELECT * FROM good QUALIFY row_number() OVER (
+                 PARTITION BY o_custkey ORDER BY event_id DESC) = 1)
+    SELECT c_custkey AS id, CASE WHEN st IS NULL THEN 'draft' WHEN st = 'blocked' THEN 'ready'
+                                 ELSE st END AS status
+    FROM customer c LEFT JOIN last ON o_custkey = c.c_custkey""")
+def finish_runs_scenarios(t):
+    return _finished(t)[1].select("id", "status")
+
+
+@query("attach_artifacts", f"""
+    SELECT doc_id AS id, doc_id AS run_id, lang AS file_path, n_chars AS size_bytes FROM documents
+    UNION ALL SELECT {FIRST_NEW} + row_number() OVER (ORDER BY l.doc_id), l.doc_id, source, n_chars
+    FROM documents l JOIN orders ON o_orderkey = l.doc_id
+         JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0
+    WHERE n_chars % 4 <> 0 AND n_chars % 4 = c_custkey % 3 + 1""")
+def attach_artifacts(t):
+    asks = t.documents.select(
+        F.col("doc_id").alias("request_id"), (F.col("n_chars") % 4).alias("user_id"),
+        F.col("doc_id").alias("run_id"), F.lit("report").alias("artifact_type"),
+        F.col("source").alias("file_path"), F.col("n_chars").alias("size_bytes"))
+    table = t.documents.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("run_id"),
+        F.col("lang").alias("file_path"), F.col("n_chars").alias("size_bytes"))
+    return run_services.attach_artifacts(asks, table, _runs(t), _projects(t), NOW, FIRST_NEW).table
+
+
+@query("start_runs", f"""
+    WITH good AS (SELECT event_id, user_id FROM events JOIN customer ON c_custkey = user_id
+                  AND c_acctbal > 0 WHERE json_extract(props, '$.k')::BIGINT % 4 = c_custkey % 3 + 1)
+    SELECT 'run' AS kind, o_orderkey AS id, o_custkey AS scenario_id, 'executing' AS status
+    FROM orders
+    UNION ALL SELECT 'run', {FIRST_NEW} + row_number() OVER (ORDER BY event_id), user_id,
+           'precheck' FROM good
+    UNION ALL SELECT 'scenario', c_custkey, c_custkey,
+           CASE WHEN c_custkey IN (SELECT user_id FROM good) THEN 'running' ELSE 'draft' END
+    FROM customer""")
+def start_runs(t):
+    asks = t.events.select(
+        F.col("event_id").alias("request_id"), (key_number() % 4).alias("user_id"),
+        F.col("user_id").alias("scenario_id"))
+    (runs, _), scenarios = run_services.start_runs(
+        asks, _runs(t), _scenarios(t), _projects(t), NOW, FIRST_NEW)
+    return runs.select(F.lit("run").alias("kind"), "id", "scenario_id", "status").unionByName(
+        scenarios.select(F.lit("scenario").alias("kind"), "id", F.col("id").alias("scenario_id"),
+                         "status"))
+
+
+def _orders_asked(t):
+    """Orders as purchases of a region's offer; one region has none, one is closed."""
+    regions = t.region.filter("r_regionkey > 0")
+    offers = regions.select(
+        F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("code"),
+        F.lower("r_name").alias("name"),
+        F.when(F.col("r_regionkey") == 1, "USD").otherwise("").alias("currency"),
+        (F.col("r_regionkey") + 0.125).cast("double").alias("price_amount"),
+        (F.col("r_regionkey") != 2).alias("is_active"))
+    names = t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("offer_code"))
+    asks = t.orders.withColumn("k", (F.col("o_orderkey") % 5).cast("int")).join(names, "k").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("user_id"), "offer_code")
+    users = t.customer.filter("c_acctbal > 0").select(
+        F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("@x.y")).alias("email"))
+    return billing.order_requests(asks, users, offers)
+
+
+@query("order_requests", """
+    SELECT o_orderkey AS request_id, c_name || '@x.y' AS payer_email, r_regionkey AS offer_id,
+           '{"intent":"CAPTURE","purchase_units":[{"reference_id":"offer-' || r_regionkey || '-user-'
+           || o_custkey || '","description":"' || lower(r_name)
+           || '","amount":{"currency_code":"' || CASE r_regionkey WHEN 1 THEN 'USD' ELSE 'EUR' END
+           || '","value":"' || printf('%.2f', r_regionkey + 0.125::DOUBLE) || '"},"custom_id":"'
+           || o_custkey || '","invoice_id":"inv-' || substr(sha256(o_custkey || '|' || r_regionkey
+           || '|' || o_orderkey), 1, 20) || '"}]}' AS payload
+    FROM orders JOIN region ON r_regionkey = o_orderkey % 5
+    JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE r_regionkey NOT IN (0, 2)""")
+def order_requests(t):
+    return _orders_asked(t).table.select("request_id", "payer_email",
+                                         F.col("offer_id").cast("int").alias("offer_id"),
+                                         "payload")
+
+
+@query("open_payments", f"""
+    SELECT o_orderkey AS id, o_custkey AS user_id, 'O' || o_orderkey AS provider_order_id,
+           o_totalprice AS gross_amount, o_orderstatus AS status FROM orders
+    UNION ALL SELECT {FIRST_NEW} + row_number() OVER (ORDER BY o_orderkey), o_custkey,
+           'P' || o_orderkey, r_regionkey + 0.125::DOUBLE, 'created'
+    FROM orders JOIN region ON r_regionkey = o_orderkey % 5
+    JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0
+    WHERE r_regionkey NOT IN (0, 2) AND o_orderstatus <> 'P'""")
+def open_payments(t):
+    link = F.struct(F.when(F.col("o_orderstatus") == "P", "self").otherwise("approve").alias("rel"),
+                    F.lit("https://x.y/approve").alias("href"))
+    answers = t.orders.select(
+        F.col("o_orderkey").alias("request_id"), F.to_json(F.struct(
+            F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("id"),
+            F.array(link).alias("links"))).alias("answer"))
+    table = t.orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("provider_order_id"),
+        F.col("o_totalprice").alias("gross_amount"), F.col("o_orderstatus").alias("status"))
+    return billing.open_payments(table, _orders_asked(t).table, answers, NOW, FIRST_NEW).table

@@ -20,9 +20,10 @@ class StateTable:
                  full_every: int = 20):
         self.spark, self.path, self.keys, self.schema = spark, path, keys, schema
         self.full_every = full_every
+        self._write(spark.createDataFrame([], schema), SEED - 1, full=True)
 
     def seed(self, df: DataFrame) -> None:
-        """The table before the first batch."""
+        """The table before the first batch, empty unless given here."""
         self._write(df, SEED, full=True)
 
     def current(self, before: int | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ class StateTable:
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
         base = rows.filter("full").agg(F.max("batch")).first()[0]
-        base = SEED if base is None else base  # an empty seed leaves no file behind
+        base = SEED - 1 if base is None else base  # an empty table holds no rows to read it from
         rows = rows.filter((F.col("batch") >= base) & (F.col("full") | (F.col("batch") > base)))
         rest = [f.name for f in self.schema.fields if f.name not in self.keys]
         # One aggregate per column, so that columns nobody asks for are not read.
