@@ -110,20 +110,20 @@ def latest_status(events: DataFrame, key: str, order: list[str], state: str = "s
 
 
 def transitions(events: DataFrame, key: str, ts: str, tie: str, state: str, target: str,
-                extras: dict[str, Column] | None = None, chunk: Column | None = None) -> DataFrame:
+                extras: dict[str, Column] | None = None, minutes: int = 60) -> DataFrame:
     """Per key: ``last_state``; ``first_at`` and ``first_state`` of its first event; and
     ``entered_on``, when ``target`` was last entered from another state by a later one.
 
     Whether the first event enters the target depends on the state before it, which the caller
     knows (see :func:`entered_since`). ``extras`` are columns whose largest value per key comes
-    along. Histories are cut by hour: windows run per (key, hour), and one summary row per hour
-    crosses the cuts.
+    along. Histories are cut into spans of ``minutes``: windows run per (key, span), and one
+    summary row per span crosses the cuts.
     """
     extras = extras or {}
     cut = (events.filter(F.col(key).isNotNull())
            .select(F.col(key), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("id")).alias("_at"),
                    F.coalesce(F.col(state), F.lit("")).alias("_state"),
-                   (time_chunk(ts) if chunk is None else chunk).alias("_chunk"),
+                   time_chunk(ts, minutes).alias("_chunk"),
                    *[c.alias(name) for name, c in extras.items()]))
     inside = Window.partitionBy(key, "_chunk").orderBy("_at")
     entering = (F.col("_state") == target) & (F.col("_earlier") != target)

@@ -21,11 +21,12 @@ _GRANT = "struct<payment_id: bigint, grant_event_id: bigint, granted_on: timesta
 
 
 def entitlement_ledger(events: DataFrame, held: DataFrame | None = None,
-                       fold_limit: int = FOLD_LIMIT) -> DataFrame:
+                       fold_limit: int = FOLD_LIMIT, minutes: int = 60) -> DataFrame:
     """Grants with their revocation time, NULL while active.
 
     ``events``: event_id, ts, user_id, payment_id, kind ('grant' or 'revoke'; others are left
-    out). ``held`` are ledger rows active before, which the events may revoke.
+    out). ``held`` are ledger rows active before, which the events may revoke. Histories of more
+    than ``fold_limit`` events are followed as chains, cut into spans of ``minutes``.
     """
     cols = ["user_id", "ts", "event_id", "kind", "payment_id"]
     steps = events.filter(F.col("kind").isin("grant", "revoke") & F.col("user_id").isNotNull()
@@ -39,18 +40,18 @@ def entitlement_ledger(events: DataFrame, held: DataFrame | None = None,
     if long.isEmpty():
         return _fold(steps)
     return _fold(steps.join(long, "user_id", "left_anti")).unionByName(
-        _chain(_compact(steps.join(long, "user_id", "left_semi"))))
+        _chain(_compact(steps.join(long, "user_id", "left_semi"), minutes), minutes))
 
 
-def _compact(steps: DataFrame) -> DataFrame:
+def _compact(steps: DataFrame, minutes: int) -> DataFrame:
     """Drop completions that directly follow one: the user surely holds a grant by then. Only
-    neighbours within the same hour are compared, which is enough to thin bursts."""
-    hour = Window.partitionBy("user_id", "_hour").orderBy("ts", "event_id")
-    return (steps.withColumn("_hour", time_chunk("ts"))
-            .withColumn("_before", F.lag("kind").over(hour))
+    neighbours within the same span are compared, which is enough to thin bursts."""
+    span = Window.partitionBy("user_id", "_span").orderBy("ts", "event_id")
+    return (steps.withColumn("_span", time_chunk("ts", minutes))
+            .withColumn("_before", F.lag("kind").over(span))
             .filter((F.col("kind") == "revoke")
                     | F.coalesce(F.col("_before") != "grant", F.lit(True)))
-            .drop("_hour", "_before"))
+            .drop("_span", "_before"))
 
 
 def _fold(steps: DataFrame) -> DataFrame:
@@ -80,12 +81,12 @@ def _fold(steps: DataFrame) -> DataFrame:
         .withColumn("status", _status()).select(*COLUMNS)
 
 
-def _chain(steps: DataFrame) -> DataFrame:
-    at, hour = F.struct("ts", "event_id"), time_chunk("ts")
+def _chain(steps: DataFrame, minutes: int) -> DataFrame:
+    at, span = F.struct("ts", "event_id"), time_chunk("ts", minutes)
     steps = materialize(steps, "ledger-steps")
-    linked = next_match(steps, ["user_id", "payment_id"], hour, at, F.col("kind") == "revoke",
+    linked = next_match(steps, ["user_id", "payment_id"], span, at, F.col("kind") == "revoke",
                         "_end")
-    linked = next_match(linked, ["user_id"], hour, at, F.col("kind") == "grant", "_next")
+    linked = next_match(linked, ["user_id"], span, at, F.col("kind") == "grant", "_next")
     linked = materialize(linked, "ledger-links")
     grants = linked.filter("kind = 'grant'")
     after_end = linked.filter("kind = 'revoke'").select(

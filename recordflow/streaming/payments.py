@@ -61,13 +61,14 @@ def match_payments(events: DataFrame, payments: DataFrame, learn: bool = True) -
 
 
 def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
-                  learn: bool = True, matched: DataFrame | None = None) -> DataFrame:
+                  learn: bool = True, matched: DataFrame | None = None,
+                  minutes: int = 60) -> DataFrame:
     """Payments after all events, in (ts, event_id) order.
 
     A completion captures a payment that is not captured yet and sets ``paid_on``; a denial
     fails it; a refund refunds it and sets ``refunded_on``. A completion after a refund captures
     again; with ``strict`` a refunded payment takes no further events. Events without a payment
-    change nothing.
+    change nothing. ``matched`` are events matched before; ``minutes`` cuts long histories.
     """
     hits = match_payments(events, payments, learn) if matched is None else matched
     hits = hits.filter(F.col("payment_id").isNotNull())
@@ -88,7 +89,7 @@ def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
         extras={"_refunded": F.when(kind == REFUNDED, F.col("ts")),
                 "_capture": F.when(kind == COMPLETED, F.struct(
                     (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"),
-                    (-F.col("event_id")).alias("i"), "capture_id"))})
+                    (-F.col("event_id")).alias("i"), "capture_id"))}, minutes=minutes)
     after = moves.withColumnRenamed("payment_id", "id")
     values = {
         "status": F.coalesce("last_state", F.col("status")),

@@ -1,8 +1,8 @@
 """A keyed table that micro-batches change.
 
 Each batch writes the rows it changed below ``full=false/batch=n``; now and then one writes the
-whole table (``full=true``). A reader takes the last whole table and the changes behind it and
-keeps the newest row per key. A replayed batch reads what lay before it and overwrites its own
+whole table (``full=true``). A reader takes the last whole table, less the keys that changed after
+it, and the newest change of each of those. A replayed batch reads what lay before it and overwrites its own
 folder, so it changes nothing.
 """
 
@@ -35,11 +35,15 @@ class StateTable:
             rows = rows.filter(F.col("batch") < before)
         base = rows.filter("full").agg(F.max("batch")).first()[0]
         base = SEED - 1 if base is None else base  # an empty table holds no rows to read it from
-        rows = rows.filter((F.col("batch") >= base) & (F.col("full") | (F.col("batch") > base)))
+        whole = rows.filter(F.col("full") & (F.col("batch") == base)).select(*self.schema.names)
+        changed = rows.filter(~F.col("full") & (F.col("batch") > base))
         rest = [f.name for f in self.schema.fields if f.name not in self.keys]
-        # One aggregate per column, so that columns nobody asks for are not read.
-        return (rows.groupBy(*self.keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
-                .select(*self.schema.names))
+        # Only the changes are grouped, one aggregate per column so that unused columns are not
+        # read; the whole table, unique by key, just loses the rows they replace.
+        newer = (changed.groupBy(*self.keys)
+                 .agg(*[F.max_by(c, "batch").alias(c) for c in rest]).select(*self.schema.names))
+        kept = whole.join(changed.select(*self.keys), self.keys, "left_anti")
+        return newer.unionByName(kept)
 
     def upsert(self, changed: DataFrame, batch: int) -> None:
         """Store the rows this batch inserted or changed, unique by key."""
