@@ -84,14 +84,14 @@ def owned(child: DataFrame, chain: list[Hop], owner_col: str, owner=None,
         keys = allowed.select(F.col(hop.key).alias(hop.fk))
         allowed = below.table.join(keys, hop.fk, "left_semi")
     keys = allowed.select(F.col(chain[0].key).alias(chain[0].fk))
-    return child.join(keys, chain[0].fk, "left_semi")
+    return child.join(keys, chain[0].fk, "left_semi").select(*child.columns)
 
 
 def without_child(df: DataFrame, key: str, child: DataFrame, fk: str, active_only: bool = True,
                   flag: str = "is_active") -> DataFrame:
     """Rows no child points at; ``active_only`` lets only active children count."""
     kids = active(child, flag, include_inactive=not active_only)
-    return df.join(kids.select(F.col(fk).alias(key)), key, "left_anti")
+    return df.join(kids.select(F.col(fk).alias(key)), key, "left_anti").select(*df.columns)
 
 
 def entitled(users: DataFrame, key: str, entitlements: DataFrame, user: str, code,
@@ -101,7 +101,7 @@ def entitled(users: DataFrame, key: str, entitlements: DataFrame, user: str, cod
     held = entitlements.filter((F.col(code_col) == code) & (F.col(status_col) == "active"))
     if require_active_row:
         held = active(held)
-    return users.join(held.select(F.col(user).alias(key)), key, "left_semi")
+    return users.join(held.select(F.col(user).alias(key)), key, "left_semi").select(*users.columns)
 
 
 def linked(parent: DataFrame, key: str, child: DataFrame, fk: str,
