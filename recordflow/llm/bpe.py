@@ -25,9 +25,9 @@ SPLIT = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: Distinct words a worker keeps between texts; beyond it only the half used most stays.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 350_000
 #: Words of text encoded at a time.
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 100_000
 NEVER = np.int64(1) << 40
 NO_MERGE = (1 << 40, -1)
 #: Words of up to so many bytes are merged without a heap.
