@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordflow.llm import bpe, quality, secret_scan, urls
-from recordflow.llm.common import table
+import corpus_pipeline
+from recordflow.llm import bpe, near_dup, quality, secret_scan, tiling, toxicity, urls
+from recordflow.llm.common import crc_class, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -110,3 +111,34 @@ FROM stats
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.judge(docs).drop("text")
+
+
+@query("op10_toxicity")
+def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, crc_class("doc_id", 4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(crc_class("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_simhash_near_dedup")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dup.label(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex(F.get("fp", 0)), 16, "0")).alias("fingerprint"),
+        "component_id")
+
+
+@query("op3_decontamination")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and benchmark item that it contains; clean documents have none."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = tiling.matches(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage",
+                        F.size("tiles").cast("bigint").alias("n_tiles"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
