@@ -25,9 +25,9 @@ SPLIT = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: Distinct words a worker keeps between texts; beyond it only the half used most stays.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 250_000
 #: Words of text encoded at a time.
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 60_000
 NEVER = np.int64(1) << 40
 NO_MERGE = (1 << 40, -1)
 #: Words of up to so many bytes are merged without a heap.
@@ -306,6 +306,21 @@ def _store(file: str) -> _Store:
     return _Store(vocabulary(file))
 
 
+def _id_arrays(texts: pa.Array, file: str) -> pa.Array:
+    ids = _store(file).encode(texts.to_pylist())
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _texts(column: pa.Array, file: str) -> pa.Array:
+    pieces = vocabulary(file).text
+    flat = column.values.to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_pylist()
+    return pa.array([b"".join(map(pieces.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
+                     for a, b in zip(ends, ends[1:])], pa.string())
+
+
 def encode(docs: DataFrame, file: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``, the token ids (array of int) of every whole text.
 
@@ -316,10 +331,7 @@ def encode(docs: DataFrame, file: str, text: str = "text", out: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        ids = _store(file).encode(texts.to_pylist())
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return _id_arrays(texts, file)
 
     return docs.withColumn(out, ids_of(whole(text)))
 
@@ -333,15 +345,25 @@ def decode(docs: DataFrame, file: str, ids: str = "ids", out: str = "decoded") -
 
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
-        pieces = vocabulary(file).text
-        flat = column.values.to_numpy(zero_copy_only=False).tolist()
-        ends = column.offsets.to_pylist()
-        return pa.array([b"".join(map(pieces.__getitem__, flat[a:b])).decode("utf-8", "replace")
-                         for a, b in zip(ends, ends[1:])], pa.string())
+        return _texts(column, file)
 
     return docs.withColumn(out, text_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
+def round_trip(docs: DataFrame, file: str, text: str = "text", ids: str = "ids",
+               decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of ``encode`` and the text that ``decode`` makes of them, by one pass
+    through one Python worker a task."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        made = _id_arrays(texts, file)
+        return pa.StructArray.from_arrays([made, _texts(made, file)], names=["ids", "decoded"])
+
+    return (docs.withColumn("_coded", both(whole(text))).withColumn(ids, F.col("_coded.ids"))
+            .withColumn(decoded, F.col("_coded.decoded")).drop("_coded"))
+
+
 def ids_digest(ids: str | Column) -> Column:
     """sha256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)

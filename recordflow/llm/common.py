@@ -15,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of Arrow data handed to a Python worker at a time; with it the memory of a worker is
 #: bounded by its largest single text.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -28,6 +28,8 @@ SEED = 42
 CROWD = 32
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 1 << 14
+#: Fingerprints whose keys are made at a time.
+FINGERPRINTS_AT_ONCE = 1000
 
 
 @dataclass(frozen=True)
@@ -160,9 +162,14 @@ def _keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     @F.arrow_udf("array<bigint>")
     def keys(column: pa.Array) -> pa.Array:
         words = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), scheme.words)
-        made = key_matrix(np.ascontiguousarray(words), scheme)
-        ends = np.concatenate([[0], np.cumsum((made >= 0).sum(1))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made[made >= 0]))
+        sizes, flat = [], []
+        for i in range(0, len(words), FINGERPRINTS_AT_ONCE):
+            made = key_matrix(np.ascontiguousarray(words[i:i + FINGERPRINTS_AT_ONCE]), scheme)
+            sizes.append((made >= 0).sum(1))
+            flat.append(made[made >= 0])
+        ends = np.cumsum(np.concatenate([[0], *sizes]))
+        keys = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
 
     return nodes.select(F.explode(keys("fp")).alias("key"), "node", F.get("fp", 0).alias("sig"))
 

@@ -63,7 +63,7 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path(VOCABULARY)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, file), file)
+    coded = bpe.round_trip(docs, file)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                         bpe.ids_digest("ids").alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -38,6 +38,13 @@ def test_encode_and_decode_agree_with_the_library(make_docs, reference):
         assert r.sha == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_round_trip_is_encode_and_decode(make_docs):
+    docs = make_docs(list(enumerate(ODD + _texts(200))), _coded="old")
+    one = {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(docs, FILE).collect()}
+    two = {r.doc_id: (r.ids, r.decoded) for r in bpe.decode(bpe.encode(docs, FILE), FILE).collect()}
+    assert one == two and len(one) == len(ODD) + 200
+
+
 def test_decode_odd_ids(spark, reference):
     # Half a character, and the two bytes of one in the wrong order.
     halves = [reference.encode("漢", add_special_tokens=False).ids[:1], [50256], [], None]
