@@ -25,7 +25,7 @@ from recordflow.llm.graph import components
 SEED = 42
 #: Rows of one key that are compared with each other at once; the rest of larger groups is
 #: compared in a join.
-CROWD = 32
+CROWD = 4
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 1 << 14
 #: Fingerprints whose keys are made at a time.
@@ -71,7 +71,7 @@ def similar(similarity: float = 0.8, shingle: int = 5, segments: int = 10, joint
                   tuple((i * golay.LENGTH, golay.LENGTH) for i in range(segments)),
                   tuple(((), tuple((i + k) % segments for k in range(joint)))
                         for i in range(segments)),
-                  int(64 * words * share), int(64 * share + 3 * (64 * share * (1 - share)) ** 0.5))
+                  int(64 * words * share), int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5))
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -138,13 +138,14 @@ def _segment(words: np.ndarray, start: int, size: int) -> np.ndarray:
     return (value & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def key_matrix(words: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """The keys of each fingerprint, -1 where it has fewer. A key holds the table's number and the
-    segments' values or indices side by side, so no two different ones are equal."""
+def key_matrix(words: np.ndarray, scheme: Scheme, tables: int | None = None) -> np.ndarray:
+    """The keys of each fingerprint, of the first ``tables`` tables or of all; -1 where it has
+    fewer. A key holds the table's number and the segments' values or indices side by side, so no
+    two different ones are equal."""
     value = [_segment(words, *s) for s in scheme.segments]
     index = [golay.keys(v) for v in value]
     out = []
-    for number, (plain, fuzzy) in enumerate(scheme.tables):
+    for number, (plain, fuzzy) in enumerate(scheme.tables[:tables]):
         made = np.full((len(words), 1), number, np.int64)
         for s in plain:
             made = made << scheme.segments[s][1] | value[s][:, None]
@@ -156,111 +157,117 @@ def key_matrix(words: np.ndarray, scheme: Scheme) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def _keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(key, node, sig): one row per key of a fingerprint; sig is its first word."""
+def _keyed(nodes: DataFrame, scheme: Scheme, tables: int | None = None) -> DataFrame:
+    """(key, node, sig, root): one row per key of a fingerprint; sig is its first word."""
 
     @F.arrow_udf("array<bigint>")
     def keys(column: pa.Array) -> pa.Array:
         words = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), scheme.words)
         sizes, flat = [], []
         for i in range(0, len(words), FINGERPRINTS_AT_ONCE):
-            made = key_matrix(np.ascontiguousarray(words[i:i + FINGERPRINTS_AT_ONCE]), scheme)
+            made = key_matrix(np.ascontiguousarray(words[i:i + FINGERPRINTS_AT_ONCE]), scheme,
+                              tables)
             sizes.append((made >= 0).sum(1))
             flat.append(made[made >= 0])
         ends = np.cumsum(np.concatenate([[0], *sizes]))
         keys = np.concatenate(flat) if flat else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
 
-    return nodes.select(F.explode(keys("fp")).alias("key"), "node", F.get("fp", 0).alias("sig"))
+    return nodes.select(F.explode(keys("fp")).alias("key"), "node", F.get("fp", 0).alias("sig"),
+                        "root")
 
 
 # ----------------------------------------------------------------------- links
 
 
-def _close(a: Column, b: Column, radius: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= radius
+def _differing(a: str, b: str, scheme: Scheme) -> Column:
+    """Bits in which two fingerprints differ."""
+    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(scheme.words)),
+               F.lit(0))
 
 
-def _matched(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, key) from rows (key, node, sig) sorted by key, then node.
+def _matched(batches: Iterator[pa.RecordBatch], radius: int,
+             crowd: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, key) from rows (key, node, sig, root) sorted by key, then node.
 
-    Groups of up to ``CROWD`` rows: all links (a, b) in them. Larger ones: the links to their first
-    row, and a row with the key alone, so that a join compares the rest; so for the first and last
-    key of a partition, as their groups may go on in the next one. At most ``CROWD`` rows and one
-    first row are kept from batch to batch.
+    Only rows of different roots are compared. Groups of up to ``crowd`` rows: all links (a, b) in
+    them. Larger ones: the links to their first row, and a row with the key alone, so that a join
+    compares the rest; so for the first and last key of a partition, as their groups may go on in
+    the next one. At most ``crowd`` rows and one first row are kept from batch to batch.
     """
-    empty = np.zeros(0, np.int64)
-    key, node, sig = empty, empty, empty
-    lead: tuple[int, int, int] | None = None  # the group under way is large: its first row
+    rows = np.zeros((4, 0), np.int64)
+    lead: np.ndarray | None = None  # the group under way is large: its first row
     started = False
 
-    def packed(a=empty, b=empty, crowded=empty) -> pa.RecordBatch:
+    def packed(a, b, crowded) -> pa.RecordBatch:
         void = pa.nulls(len(crowded), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(a), void]), pa.concat_arrays([pa.array(b), void]),
-             pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowded)])],
+            [pa.concat_arrays([pa.array(a, pa.int64()), void]),
+             pa.concat_arrays([pa.array(b, pa.int64()), void]),
+             pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowded, pa.int64())])],
             names=["a", "b", "key"])
 
     def near(x, y):
-        return np.bitwise_count((x ^ y).view(np.uint64)) <= radius
-
-    def to_lead() -> pa.RecordBatch:
-        nonlocal key, node, sig
-        n = int(np.searchsorted(key, lead[0], "right"))
-        hit = near(sig[:n], np.int64(lead[2])) & (node[:n] != lead[1])
-        out = packed(node[:n][hit], np.full(hit.sum(), lead[1]))
-        key, node, sig = key[n:], node[n:], sig[n:]
-        return out
-
-    def settle(n: int) -> pa.RecordBatch:
-        """Whole groups, the first ``n`` rows."""
-        nonlocal key, node, sig
-        k, v, s = key[:n], node[:n], sig[:n]
-        key, node, sig = key[n:], node[n:], sig[n:]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        """Of two sets of rows side by side."""
+        return (x[3] != y[3]) & (np.bitwise_count((x[2] ^ y[2]).view(np.uint64)) <= radius)
+
+    def to_lead(group: np.ndarray) -> pa.RecordBatch:
+        hit = near(group, lead[:, None])
+        return packed(group[1][hit], np.full(hit.sum(), lead[1]), [])
+
+    def settled(done: np.ndarray) -> pa.RecordBatch:
+        """Links in whole groups."""
+        key, n = done[0], done.shape[1]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, n))
         sizes = np.repeat(size, size)
         a, b = [], []
-        at = np.flatnonzero((sizes > 1) & (sizes <= CROWD))
-        for lag in range(1, CROWD):
+        at = np.flatnonzero((sizes > 1) & (sizes <= crowd))
+        for lag in range(1, crowd):
             at = at[at + lag < n]
-            at = at[k[at] == k[at + lag]]
-            if not len(at):
-                break
-            hit = at[near(s[at], s[at + lag]) & (v[at] != v[at + lag])]
-            a.append(v[hit])
-            b.append(v[hit + lag])
-        large = np.flatnonzero(size > CROWD)
+            at = at[key[at] == key[at + lag]]
+            hit = at[near(done[:, at], done[:, at + lag])]
+            a.append(done[1][hit])
+            b.append(done[1][hit + lag])
+        crowded = []
+        large = size > crowd
         for f, c in zip(first[large].tolist(), size[large].tolist()):
-            hit = near(s[f:f + c], s[f]) & (v[f:f + c] != v[f])
-            a.append(v[f:f + c][hit])
-            b.append(np.full(hit.sum(), v[f]))
-        return packed(np.concatenate(a) if a else empty, np.concatenate(b) if b else empty,
-                      k[first[large]])
+            group = done[:, f:f + c]
+            if (group[3] != group[3][0]).any():
+                hit = near(group, group[:, :1])
+                a.append(group[1][hit])
+                b.append(np.full(hit.sum(), group[1][0]))
+                crowded.append(int(group[0][0]))
+        none = np.zeros(0, np.int64)
+        return packed(np.concatenate([none, *a]), np.concatenate([none, *b]), crowded)
 
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        key, node, sig = (np.concatenate(x) for x in zip((key, node, sig), columns))
-        if not len(key):
+        fresh = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows = np.concatenate([rows, fresh], axis=1)
+        if not rows.shape[1]:
             continue
         if not started:
             started = True
-            yield packed(crowded=key[:1].copy())
+            yield packed([], [], [int(rows[0][0])])
         if lead is not None:
-            yield to_lead()
-            if not len(key):
+            n = int(np.searchsorted(rows[0], lead[0], "right"))
+            yield to_lead(rows[:, :n])
+            rows = rows[:, n:]
+            if not rows.shape[1]:
                 continue
             lead = None
-        n = int(np.searchsorted(key, key[-1], "left"))
+        n = int(np.searchsorted(rows[0], rows[0][-1], "left"))
         if n:
-            yield settle(n)
-        if len(key) > CROWD:
-            lead = (int(key[0]), int(node[0]), int(sig[0]))
-            yield packed(crowded=key[:1].copy())
-            yield to_lead()
-    if len(key):
-        yield packed(crowded=key[-1:].copy())
-        yield settle(len(key))
+            yield settled(rows[:, :n])
+        rows = rows[:, n:].copy()
+        if rows.shape[1] > crowd:
+            lead = rows[:, 0]
+            yield packed([], [], [int(lead[0])])
+            yield to_lead(rows)
+            rows = rows[:, :0]
+    if rows.shape[1]:
+        yield packed([], [], [int(rows[0][0])])
+        yield settled(rows)
 
 
 def _verified(links: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -270,39 +277,48 @@ def _verified(links: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
         return links
     fp = nodes.select("node", "fp")
     both = (links.join(fp.toDF("a", "_fa"), "a").join(fp.toDF("b", "_fb"), "b"))
-    differing = sum((F.bit_count(F.get("_fa", i).bitwiseXOR(F.get("_fb", i)))
-                     for i in range(scheme.words)), F.lit(0))
-    return both.where(differing <= scheme.radius).select("a", "b")
+    return both.where(_differing("_fa", "_fb", scheme) <= scheme.radius).select("a", "b")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _star(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def classes(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(node, root) of nodes (node, fp) that link to others, root being the smallest of its class.
 
     Nodes must be distinct, and so must be their fingerprints. The keys are dealt out by ranges of
-    (key, node), so one much-used key is spread over several tasks. Groups too large for comparing
-    all their rows at once are gone through again after the first links have formed components:
-    then only rows of different components are compared, so no link that matters is missed, and a
-    dense group isn't listed pair by pair.
+    (key, node), so one much-used key is spread over several tasks. The keys of the first table
+    alone tie most of what belongs together; then those of all tables are gone through, and only
+    rows not yet tied are compared. In groups too large for comparing all their rows at once, a
+    join compares what is still not tied. So no link that matters is missed, and a dense group
+    isn't listed pair by pair.
     """
-    radius = scheme.first_radius
-    rows = _keyed(nodes, scheme)
-    found = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-                   .mapInArrow(lambda batches: _matched(batches, radius),
-                               "a bigint, b bigint, key bigint"), "near-links")
-    links = _verified(found.where("key is null"), nodes, scheme)
-    first = stored(components(links), "near-classes")
+    radius, crowd = scheme.first_radius, CROWD
+    roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    for tables in (1, len(scheme.tables)):
+        rows = _keyed(_rooted(nodes, roots), scheme, tables)
+        found = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+                       .mapInArrow(lambda batches: _matched(batches, radius, crowd),
+                                   "a bigint, b bigint, key bigint"), "near-links")
+        links = _verified(found.where("key is null"), nodes, scheme)
+        roots = stored(components(_star(roots).unionAll(links)), "near-classes")
 
     crowded = found.where("key is not null").select("key").distinct()
-    rest = stored(rows.join(crowded, "key", "left_semi").join(first, "node", "left")
-                  .select("key", "node", "sig", F.coalesce("root", "node").alias("root")),
+    at = (_keyed(_rooted(nodes, roots), scheme).select("key", "node", "root")
+          .join(crowded, "key", "left_semi"))
+    rest = stored(at.join(nodes.select("node", "fp"), "node").select("key", "node", "root", "fp"),
                   "near-crowded")
-    other = rest.toDF("key", "b", "_sig", "_root")
-    more = (rest.withColumnRenamed("node", "a").join(other, "key")
-            .where((F.col("root") < F.col("_root")) & _close(F.col("sig"), F.col("_sig"), radius))
-            .select("a", "b"))
-    more = _verified(more, nodes, scheme)
-    every = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
-    return components(every)
+    # The whole fingerprints are compared in the join: what comes out are links.
+    more = (rest.toDF("key", "a", "_ra", "_fa").join(rest.toDF("key", "b", "_rb", "_fb"), "key")
+            .where((F.col("_ra") < F.col("_rb"))
+                   & (_differing("_fa", "_fb", scheme) <= scheme.radius))
+            .select("a", "b").distinct())
+    return components(_star(roots).unionAll(more))
 
 
 def label(docs: DataFrame, scheme: Scheme = EXACT, doc_id: str = "doc_id",
