@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordflow.llm import bpe, near_dup, quality, secret_scan, tiling, toxicity, urls
+from recordflow.llm import bpe, lm, near_dup, quality, secret_scan, substring_dedup, tiling, toxicity, urls
 from recordflow.llm.common import crc_class, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -141,4 +141,19 @@ def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
                         F.size("tiles").cast("bigint").alias("n_tiles"))
 
 
+@query("op2_gru_lm")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = lm.held_out(crc_class("doc_id", 5))
+    model, counts = lm.fit(docs.where(~out))
+    return lm.score(docs, model, counts).select(
+        "doc_id", lm.held_out(crc_class("doc_id", 5)).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.vocabulary.total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@query("op9_suffix_array_dedup")
+def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
