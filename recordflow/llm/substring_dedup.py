@@ -22,17 +22,18 @@ from recordflow.llm import lyndon
 from recordflow.llm.common import stored, whole
 
 #: Bytes of a string that counts as repeated, and of the strings hashed in it.
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: The filter has 2 to this power bits: 16 MB.
 FILTER_BITS = 27
-#: Hashes in one task of the filter, bytes of pieces in one task of ordering, bytes ordered at once.
-HASHES_AT_ONCE, PIECES_AT_ONCE, ORDERED_AT_ONCE = 1 << 20, 1 << 20, 400_000
+#: Hashes in one task of the filter, bytes of pieces in one task of ordering, bytes ordered at once,
+#: and bytes of one minimizer up to which its pieces are ordered as they are.
+HASHES_AT_ONCE, PIECES_AT_ONCE, ORDERED_AT_ONCE, GROUP_BYTES = 1 << 20, 1 << 20, 300_000, 1_200_000
 #: Rows of (id, key) up to which a side is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Stands for a NULL id: after all others.
 LAST = (1 << 63) - 1
 
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(data: bytes) -> np.ndarray:
@@ -55,11 +56,10 @@ def pieces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none.view(np.uint64), none, none
     w = _words(data)
     n = len(data) - GRAM + 1
-    a, b = w[:n], w[8:8 + n]
-    h = (a ^ (a >> np.uint64(29))) * _C1 + b * _C2
-    h ^= h >> np.uint64(32)
-    h *= _C1
-    h ^= h >> np.uint64(29)
+    h = np.zeros(n, np.uint64)
+    for o in range(0, GRAM, 8):
+        h = (h ^ w[o:o + n]) * _FACTOR
+        h ^= h >> np.uint64(29)
     least, width = h, LENGTH - GRAM + 1
     span = 1
     while 2 * span <= width:
@@ -68,7 +68,9 @@ def pieces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[:span - width], least[width - span:])
     ends = np.flatnonzero((least[1:] != least[:-1]) | (h[:len(least) - 1] == least[:-1])) + 1
     first = np.concatenate([[0], ends])
-    return least[first], first, np.diff(np.append(first, len(least)))
+    # Smallest hashes crowd at the low end: spread them again.
+    spread = least[first] * _FACTOR
+    return spread ^ (spread >> np.uint64(31)), first, np.diff(np.append(first, len(least)))
 
 
 # --------------------------------------------------------------------- filter
@@ -84,7 +86,7 @@ def shared_filter(texts: DataFrame, n_bytes: int) -> tuple[np.ndarray, int]:
     """Bits of the minimizers that occur in two texts or more, and how many top bits of a hash tell
     its part. Each part of the filter is made by one task from its own hashes; a batch of texts
     hands on a minimizer twice at most."""
-    windows = (LENGTH - GRAM) / 2 + 1
+    windows = (LENGTH - GRAM) / 2 + 1  # of a piece, about
     top = min(16, max(4, int(np.ceil(np.log2(max(1.0, n_bytes / windows / HASHES_AT_ONCE))))))
     bits = FILTER_BITS - top
 
@@ -173,7 +175,7 @@ def _ordered(contents: list[bytes], owner: np.ndarray, h: np.ndarray) -> list[np
 
     Minimizers with one content need no order. The others are ordered a few at a time; one with very
     many contents is cut into single windows dealt out by their hashes, so that no more than
-    ``ORDERED_AT_ONCE`` bytes or so are ordered together.
+    ``GROUP_BYTES`` or so are ordered together.
     """
     out: list[np.ndarray | None] = [None] * len(contents)
     order = np.argsort(h, kind="stable")
@@ -194,7 +196,7 @@ def _ordered(contents: list[bytes], owner: np.ndarray, h: np.ndarray) -> list[np
             continue
         group = order[a:b].tolist()
         n = sum(len(contents[i]) for i in group)
-        if n > ORDERED_AT_ONCE:
+        if n > GROUP_BYTES:
             for i, least in _one_by_one(group, contents, owner, n):
                 out[i] = least
             continue
