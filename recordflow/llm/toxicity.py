@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from recordflow.llm.common import stored, whole
 
-#: Labelled rows of each class the model is fitted on, at most; those with the smallest hashes.
+#: Labelled rows of each class the model is fitted on, about, or all if there are fewer.
 SAMPLE_PER_CLASS = 10_000
-#: Terms looked at, and entries of the lexicon, at most.
-CANDIDATES, ENTRIES = 100_000, 2_000
+#: Entries of the lexicon, at most.
+ENTRIES = 2_000
 #: Likelihood ratio and log odds an entry needs, and how many entries a toxic text should hold
 #: before others are no longer looked for on its account.
 LEAST_RATIO, LEAST_ODDS, COVER = 30.0, 2.0, 2
@@ -233,8 +233,8 @@ def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     is strongest on texts not yet covered, and so on; so the words of one much-copied text don't
     become entries.
     """
-    often = (_counted(sample, F.col("label") == 1, None).where("n >= 4")
-             .orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
+    often = (_counted(sample, F.col("label") == 1, None)
+             .where(F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * n_pos)).collect())
     pos = {r["term"]: r["n"] for r in often}
     if not pos:
         return {}
@@ -243,9 +243,7 @@ def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     names = sorted(pos)
     p = np.array([pos[t] for t in names], float)
     n = np.array([neg.get(t, 0) for t in names], float)
-    good = ((p >= max(LEAST_TEXTS, LEAST_SHARE * n_pos))
-            & (ratio(p, n, n_pos, n_neg) >= LEAST_RATIO)
-            & (odds(p, n, n_pos, n_neg) >= LEAST_ODDS))
+    good = (ratio(p, n, n_pos, n_neg) >= LEAST_RATIO) & (odds(p, n, n_pos, n_neg) >= LEAST_ODDS)
     order = sorted(np.flatnonzero(good).tolist(), key=lambda i: (-p[i], names[i]))[:4 * ENTRIES]
     names, p, n = [names[i] for i in order], p[order], n[order]
     column = {t: i for i, t in enumerate(names)}
@@ -297,7 +295,7 @@ def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "doc_id",
         text: str = "text", label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """A model learned from at most ``per_class`` labelled rows of each class.
+    """A model learned from about ``per_class`` labelled rows of each class, picked by hash.
 
     ``may_learn`` is a condition on the id; other rows are not looked at. Where one id has several
     labels the largest counts; NULL ids, labels and texts are left out, repeated texts count once.
@@ -305,10 +303,15 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "do
     """
     marked = (labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & may_learn)
               .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label")))
-    by_hash = (F.xxhash64("_id"), F.col("_id"))
-    some = (marked.where("label = 1").orderBy(*by_hash).limit(per_class)
-            .unionAll(marked.where("label = 0").orderBy(*by_hash).limit(per_class)))
-    # At most 2 * per_class ids, so the documents are not shuffled.
+    # Of each class those with hashes below a share that leaves about per_class rows.
+    sizes = {r["label"]: r["n"] for r in
+             marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = [min(1.0, per_class / max(1, sizes.get(c, 0))) for c in (0, 1)]
+    low = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.when(
+        F.col("label") == 1, F.lit(int(share[1] * (1 << 20)))).otherwise(
+        F.lit(int(share[0] * (1 << 20))))
+    some = marked.where(F.col("label").isin(0, 1) & low)
+    # About 2 * per_class ids, whatever there is, so the documents are not shuffled.
     sample = stored(docs.where(F.col(text).isNotNull())
                     .select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
                     .join(F.broadcast(some), "_id")
