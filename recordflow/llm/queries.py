@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordflow.llm import bpe, lm, near_dup, quality, secret_scan, substring_dedup, tiling, toxicity, urls
+from recordflow.llm import bpe, lm, near_dup, quality, quotes, secret_scan, substring_dedup, tiling, toxicity, urls
 from recordflow.llm.common import crc_class, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -156,4 +156,12 @@ def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removals(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op1_quotation_linking")
+def replies(spark: SparkSession, folder: str) -> DataFrame:
+    messages = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return quotes.link(messages).select(
+        "conv_id", "turn", "role", "position", "parent_turn", "n_quotes",
+        F.size("links").cast("bigint").alias("n_links"), "body")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
