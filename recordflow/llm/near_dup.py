@@ -30,6 +30,8 @@ CROWD = 4
 SHINGLES_AT_ONCE = 1 << 14
 #: Fingerprints whose keys are made at a time.
 FINGERPRINTS_AT_ONCE = 1000
+#: The filter of crowded keys has 2 to this power bits.
+FILTER_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -157,26 +159,59 @@ def key_matrix(words: np.ndarray, scheme: Scheme, tables: int | None = None) ->
     return np.concatenate(out, axis=1)
 
 
-def _keyed(nodes: DataFrame, scheme: Scheme, tables: int | None = None) -> DataFrame:
+def _arrays(column: pa.Array, scheme: Scheme, tables: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each fingerprint's keys end, and all keys one after the other."""
+    words = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), scheme.words)
+    sizes, flat = [], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), FINGERPRINTS_AT_ONCE):
+        made = key_matrix(np.ascontiguousarray(words[i:i + FINGERPRINTS_AT_ONCE]), scheme, tables)
+        sizes.append((made >= 0).sum(1))
+        flat.append(made[made >= 0])
+    return np.cumsum(np.concatenate([[0], *sizes])), np.concatenate(flat)
+
+
+def _keyed(nodes: DataFrame, scheme: Scheme, tables: int) -> DataFrame:
     """(key, node, sig, root): one row per key of a fingerprint; sig is its first word."""
 
     @F.arrow_udf("array<bigint>")
     def keys(column: pa.Array) -> pa.Array:
-        words = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), scheme.words)
-        sizes, flat = [], []
-        for i in range(0, len(words), FINGERPRINTS_AT_ONCE):
-            made = key_matrix(np.ascontiguousarray(words[i:i + FINGERPRINTS_AT_ONCE]), scheme,
-                              tables)
-            sizes.append((made >= 0).sum(1))
-            flat.append(made[made >= 0])
-        ends = np.cumsum(np.concatenate([[0], *sizes]))
-        keys = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
+        ends, flat = _arrays(column, scheme, tables)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
     return nodes.select(F.explode(keys("fp")).alias("key"), "node", F.get("fp", 0).alias("sig"),
                         "root")
 
 
+def _place(key):
+    """Where a key is noted in the filter of crowded keys; of numpy arrays."""
+    return (key ^ (key >> 17)) & ((1 << FILTER_BITS) - 1)
+
+
+def _crowded_rows(nodes: DataFrame, scheme: Scheme, crowded: DataFrame) -> DataFrame:
+    """(key, node, root, fp) of the keys in ``crowded``, and of a few others.
+
+    The keys go through a filter of fixed size, 2 MB, so the rows of all keys are not shuffled once
+    more to find the few wanted ones.
+    """
+    place = F.col("key").bitwiseXOR(F.shiftright("key", 17)).bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = (crowded.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect())
+    noted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in bits:
+        noted[r["at"]] = r["bits"]
+
+    @F.arrow_udf("array<struct<key: bigint, wanted: boolean>>")
+    def keys(column: pa.Array) -> pa.Array:
+        ends, flat = _arrays(column, scheme, None)
+        p = _place(flat)
+        wanted = (noted[p >> 6] >> (p & 63) & 1).astype(bool)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(flat, pa.int64()), pa.array(wanted)], names=["key", "wanted"]))
+
+    return (nodes.select(F.explode(keys("fp")).alias("k"), "node", "root", "fp")
+            .where("k.wanted").select("k.key", "node", "root", "fp"))
+
+
 # ----------------------------------------------------------------------- links
 
 
@@ -308,11 +343,8 @@ def classes(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
         links = _verified(found.where("key is null"), nodes, scheme)
         roots = stored(components(_star(roots).unionAll(links)), "near-classes")
 
-    crowded = found.where("key is not null").select("key").distinct()
-    at = (_keyed(_rooted(nodes, roots), scheme).select("key", "node", "root")
-          .join(crowded, "key", "left_semi"))
-    rest = stored(at.join(nodes.select("node", "fp"), "node").select("key", "node", "root", "fp"),
-                  "near-crowded")
+    crowded = found.where("key is not null").select("key")
+    rest = stored(_crowded_rows(_rooted(nodes, roots), scheme, crowded), "near-crowded")
     # The whole fingerprints are compared in the join: what comes out are links.
     more = (rest.toDF("key", "a", "_ra", "_fa").join(rest.toDF("key", "b", "_rb", "_fb"), "key")
             .where((F.col("_ra") < F.col("_rb"))
