@@ -25,7 +25,7 @@ SPLIT = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 #: Distinct words a worker keeps between texts; beyond it only the half used most stays.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 #: Words of text encoded at a time.
 WORDS_AT_ONCE = 60_000
 NEVER = np.int64(1) << 40
