@@ -224,14 +224,13 @@ def intake(df: DataFrame, projects: DataFrame, owner: str = "owner_id",
                               "contact_email": norm_email("contact_email")})
     own = active(projects).select(F.col(project_key).alias("_pid"), F.col(owner).alias("_uid"),
                                   F.lit(True).alias("_own")).distinct()
-    joined = cleaned.join(own, (F.col("project_id") == F.col("_pid"))
-                          & (F.col("user_id") == F.col("_uid")), "left")
+    joined = left_unique(cleaned, own, [("project_id", "_pid"), ("user_id", "_uid")], ["_own"])
     asks = F.coalesce(F.col("user_id") != 0, F.lit(False)) & F.coalesce(
         F.col("project_id") != 0, F.lit(False))
     reason = (F.when(F.col("subject") == "", "subject_required")
               .when(F.col("message") == "", "message_required")
               .when(asks & F.col("_own").isNull(), "no_access"))
-    marked = joined.withColumn("reason", reason).drop("_pid", "_uid", "_own")
+    marked = joined.withColumn("reason", reason).drop("_own")
     accepted = marked.filter(F.col("reason").isNull()).drop("reason")
     missing = {c: F.lit(v) for c, v in DEFAULTS["feedback"].items() if c not in df.columns}
     return (accepted.withColumns({**missing, "status": F.lit("new")}),

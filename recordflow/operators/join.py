@@ -1,7 +1,7 @@
 """Joins: equality, range, ownership, entitlement, nested children, fallback keys, labels.
 
-Sides are never forced to broadcast unless their row count was checked; otherwise the adaptive
-planner picks from measured sizes and splits hot keys.
+Sides are never forced to broadcast: the adaptive planner picks from measured sizes and splits hot
+keys.
 """
 
 from __future__ import annotations
@@ -16,28 +16,18 @@ from pyspark.sql import types as T
 from recordflow.operators.number import numbered
 from recordflow.operators.select import active
 
-SMALL_ROWS = 20_000
-
-
-def bounded(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
-
 def inner(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other, on)
 
 
 def theta(df: DataFrame, other: DataFrame, predicate: str,
-          on: list[tuple[str, str]] = ()) -> DataFrame:
-    """Join on any predicate over both tables, plus the equal column pairs in ``on``.
+          on: list[tuple[str, str]]) -> DataFrame:
+    """Join on any predicate over both tables, among rows with equal column pairs ``on``.
 
-    Without a pair every two rows are compared, so the right side must then be small (checked).
+    Without such a pair every two rows would be compared: write the predicate as a ``band_join``.
     """
     if not on:
-        if not bounded(other):
-            raise ValueError("a large right side needs equal columns in 'on', or band_join")
-        other = F.broadcast(other)
+        raise ValueError("theta needs equal columns in 'on'; for ranges there is band_join")
     test = F.expr(predicate)
     for left, right in on:
         test = test & (F.col(left) == F.col(right))
@@ -72,7 +62,8 @@ class Hop(NamedTuple):
 
 def owned(child: DataFrame, chain: list[Hop], owner_col: str, owner=None,
           flag: str = "is_active") -> DataFrame:
-    """Child rows whose parent chain is active and ends at an owned row.
+    """Child rows whose parent chain ends at an active, owned row; tables between are not asked
+    whether their rows are active.
 
     ``owner`` is an owner value, or None for any owner. Semi-joins run from the top down, so
     only the keys that survive reach the next level.
@@ -189,17 +180,14 @@ def match_fallback(events: DataFrame, payments: DataFrame, capture: str = "captu
                                              (order, "provider_order_id")], value, name)
 
 
-def localize(df: DataFrame, key: str, lang: str, labels: DataFrame, name: str = "label",
-             max_rows: int = SMALL_ROWS) -> DataFrame:
+def localize(df: DataFrame, key: str, lang: str, labels: DataFrame, name: str = "label") -> DataFrame:
     """Label of ``key`` in the row's language; the key itself where none is known.
 
-    ``labels`` has (lang, source, target), unique per (lang, source). It is broadcast when its
-    row count proves small, else joined by key.
+    ``labels`` has (lang, source, target), unique per (lang, source). The adaptive planner
+    broadcasts it if its bytes prove few, else hot keys are split.
     """
     side = labels.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
                          F.col("target").alias("_target"))
-    if bounded(side, max_rows):
-        side = F.broadcast(side)
     return (df.join(side, (F.col(lang) == F.col("_lang")) & (F.col(key) == F.col("_source")),
                     "left")
             .withColumn(name, F.coalesce("_target", F.col(key)))

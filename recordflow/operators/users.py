@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordflow.functions.text import clean, norm_email, short_id
 from recordflow.operators.change import _lit, assign_ids, insert_rows
-from recordflow.operators.join import match_priority
+from recordflow.operators.join import left_unique, match_priority
 
 # Names of users whose profile has none, and the provider they come from.
 FIRST_NAME, LAST_NAME, PROVIDER = "Google", "User", "google"
@@ -48,7 +48,7 @@ def upsert_users(users: DataFrame, src: DataFrame, order: list[str], now,
     matched = match_priority(checked.filter("reason is null"), users,
                              [("sub", "google_sub"), ("email", "email")], "id", "user_id")
     status = users.select(F.col("id").alias("user_id"), F.col("account_status").alias("_status"))
-    matched = matched.join(status, "user_id", "left").withColumn(
+    matched = left_unique(matched, status, [("user_id", "user_id")], ["_status"]).withColumn(
         "reason", F.when(F.col("_status").isin(*DISABLED), "disabled")
         .when(F.col("_status") == "refunded", "refunded"))
     rejects = checked.filter("reason is not null").unionByName(

@@ -138,10 +138,10 @@ def theta_join(t):
     SELECT s_suppkey, r_regionkey FROM supplier JOIN region
     ON s_acctbal >= r_regionkey * 2000 AND s_acctbal < r_regionkey * 2000 + 2500""")
 def theta_join_small(t):
-    return join.theta(
-        t.supplier, t.region,
-        "s_acctbal >= r_regionkey * 2000 AND s_acctbal < r_regionkey * 2000 + 2500",
-    ).select("s_suppkey", "r_regionkey")
+    bands = t.region.select("r_regionkey", (F.col("r_regionkey") * 2000).alias("low"),
+                            (F.col("r_regionkey") * 2000 + 2500).alias("high"))
+    return join.band_join(t.supplier, "s_acctbal", bands, "low", "high", 2500.0).select(
+        "s_suppkey", "r_regionkey")
 
 
 @query("band_join", """

@@ -1,10 +1,10 @@
 """Entitlement ledger: at most one active grant per user, revoked by its own payment's refund.
 
 A grant is given by a completion when the user holds none; a refund of another payment does
-nothing. So what a user holds depends on the order of all their events. Users with a bounded
-history are folded in one pass. For longer ones the ledger is a chain: a grant leads to the
-next refund of its payment, that one to the user's next completion. The chain is followed by
-pointer doubling on event ids, which are unique, so no task ever holds one user's history.
+nothing. So what a user holds depends on the order of all their events. The ledger is a chain: a
+grant leads to the next refund of its payment, that one to the user's next completion. The chain is
+followed by pointer doubling on event ids, so no task ever holds one user's history. An event that
+is delivered several times counts once: its repeats would double the chain at every step.
 """
 
 from __future__ import annotations
@@ -15,18 +15,16 @@ from pyspark.sql import functions as F
 from recordflow.operators.number import next_match, time_chunk
 from recordflow.session import materialize
 
-FOLD_LIMIT = 5_000
 COLUMNS = ["user_id", "payment_id", "grant_event_id", "granted_on", "revoked_on", "status"]
-_GRANT = "struct<payment_id: bigint, grant_event_id: bigint, granted_on: timestamp_ntz>"
 
 
 def entitlement_ledger(events: DataFrame, held: DataFrame | None = None,
-                       fold_limit: int = FOLD_LIMIT, minutes: int = 60) -> DataFrame:
+                       minutes: int = 60) -> DataFrame:
     """Grants with their revocation time, NULL while active.
 
     ``events``: event_id, ts, user_id, payment_id, kind ('grant' or 'revoke'; others are left
-    out). ``held`` are ledger rows active before, which the events may revoke. Histories of more
-    than ``fold_limit`` events are followed as chains, cut into spans of ``minutes``.
+    out; rows of one event_id count once). ``held`` are ledger rows active before, which the events
+    may revoke. Histories are cut into spans of ``minutes``.
     """
     cols = ["user_id", "ts", "event_id", "kind", "payment_id"]
     steps = events.filter(F.col("kind").isin("grant", "revoke") & F.col("user_id").isNotNull()
@@ -35,12 +33,8 @@ def entitlement_ledger(events: DataFrame, held: DataFrame | None = None,
         steps = steps.unionByName(held.filter("status = 'active'").select(
             "user_id", F.col("granted_on").alias("ts"), F.col("grant_event_id").alias("event_id"),
             F.lit("grant").alias("kind"), "payment_id"))
-    sizes = steps.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    long = sizes.filter(F.col("_n") > fold_limit).select("user_id")
-    if long.isEmpty():
-        return _fold(steps)
-    return _fold(steps.join(long, "user_id", "left_anti")).unionByName(
-        _chain(_compact(steps.join(long, "user_id", "left_semi"), minutes), minutes))
+    steps = steps.dropDuplicates(["event_id"])
+    return _chain(_compact(steps, minutes), minutes)
 
 
 def _compact(steps: DataFrame, minutes: int) -> DataFrame:
@@ -54,33 +48,6 @@ def _compact(steps: DataFrame, minutes: int) -> DataFrame:
             .drop("_span", "_before"))
 
 
-def _fold(steps: DataFrame) -> DataFrame:
-    history = F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind", "payment_id")))
-    start = F.struct(F.lit(None).cast("bigint").alias("active"),
-                     F.array().cast(f"array<{_GRANT}>").alias("grants"),
-                     F.array().cast("array<timestamp_ntz>").alias("ends"))
-
-    def step(acc, x):
-        grants = (x["kind"] == "grant") & acc["active"].isNull()
-        ends = (x["kind"] == "revoke") & F.coalesce(acc["active"] == x["payment_id"],
-                                                    F.lit(False))
-        grant = F.struct(x["payment_id"].alias("payment_id"),
-                         x["event_id"].alias("grant_event_id"), x["ts"].alias("granted_on"))
-        return (F.when(grants, F.struct(x["payment_id"].alias("active"),
-                                        F.concat(acc["grants"], F.array(grant)).alias("grants"),
-                                        acc["ends"].alias("ends")))
-                .when(ends, F.struct(F.lit(None).cast("bigint").alias("active"),
-                                     acc["grants"].alias("grants"),
-                                     F.concat(acc["ends"], F.array(x["ts"])).alias("ends")))
-                .otherwise(acc))
-
-    folded = steps.groupBy("user_id").agg(F.aggregate(history, start, step).alias("_f"))
-    rows = folded.select("user_id", F.col("_f.ends").alias("_ends"),
-                         F.posexplode("_f.grants").alias("_i", "_g"))
-    return rows.select("user_id", "_g.*", F.get("_ends", F.col("_i")).alias("revoked_on")) \
-        .withColumn("status", _status()).select(*COLUMNS)
-
-
 def _chain(steps: DataFrame, minutes: int) -> DataFrame:
     at, span = F.struct("ts", "event_id"), time_chunk("ts", minutes)
     steps = materialize(steps, "ledger-steps")

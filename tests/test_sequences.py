@@ -96,17 +96,28 @@ def walk_ledger(events):
     return sorted(map(tuple, out), key=repr)
 
 
-@pytest.mark.parametrize("limit", [20_000, 40, 0])
+@pytest.mark.parametrize("times", [1, 2])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_ledger_equals_a_walk(spark, rows, seed, limit):
+def test_ledger_equals_a_walk(spark, rows, seed, times):
     rng = random.Random(seed)
     kinds = {"x": "noise", "captured": "grant", "refunded": "revoke"}
     events = [(i, ts, min(u, rng.randrange(4)), kinds[s], rng.randrange(3))
               for i, ts, u, s in random_events(seed)]
     df = spark.createDataFrame(
-        events, "event_id long, ts timestamp_ntz, user_id long, kind string, payment_id long")
-    assert rows(entitlement_ledger(df, fold_limit=limit, minutes=30 + seed * 60)) == walk_ledger(
-        events)
+        events * times,
+        "event_id long, ts timestamp_ntz, user_id long, kind string, payment_id long")
+    assert rows(entitlement_ledger(df, minutes=30 + seed * 60)) == walk_ledger(events)
+
+
+def test_positions_of_sparse_ids(spark, rows):
+    ids = [-(1 << 62), -5, 0, 3, 1 << 21, *[i << 40 for i in range(1, 40)], (1 << 62) + 1]
+    df = spark.createDataFrame([(k, i) for k in ("a", "b") for i in ids], "k string, i long")
+    got = number.numbered(df, ["k"], "i")
+    assert rows(got, "k", "i", "position") == sorted(
+        ((k, i, n + 1) for k in ("a", "b") for n, i in enumerate(sorted(ids))), key=repr)
+    total = number.running_sum(df, ["k"], "i", F.lit(2), "s")
+    assert rows(total, "k", "i", "s") == sorted(
+        ((k, i, 2 * n + 2) for k in ("a", "b") for n, i in enumerate(sorted(ids))), key=repr)
 
 
 def test_ledger_goes_on_from_held_grants(spark, rows):
