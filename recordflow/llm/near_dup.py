@@ -41,7 +41,8 @@ class Scheme:
     ``segments`` are (first bit, bits); a table of ``tables`` is (exact segments, segments taken by
     their Golay indices), and each gives a fingerprint one key per combination of indices.
     Fingerprints link at ``radius`` or fewer differing bits; where they have several words, keys
-    are followed up only if the first words differ in at most ``first_radius``.
+    are followed up only if the first words differ in at most ``first_radius``. With ``distinct``
+    a shingle counts once, however often the text repeats it.
     """
 
     words: int
@@ -50,6 +51,7 @@ class Scheme:
     tables: tuple[tuple[tuple[int, ...], tuple[int, ...]], ...]
     radius: int
     first_radius: int
+    distinct: bool = False
 
 
 #: 64 bits, up to two differing. Of three segments one has no error then, and the next one at most
@@ -73,7 +75,8 @@ def similar(similarity: float = 0.8, shingle: int = 5, segments: int = 10, joint
                   tuple((i * golay.LENGTH, golay.LENGTH) for i in range(segments)),
                   tuple(((), tuple((i + k) % segments for k in range(joint)))
                         for i in range(segments)),
-                  int(64 * words * share), int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5))
+                  int(64 * words * share), int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5),
+                  distinct=True)
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -105,6 +108,8 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 def fingerprint(text: str, scheme: Scheme) -> list[int]:
     """Words of 64 bits: a bit is set where over half of the hashes have it; 0 without words."""
     h = shingle_hashes(text, scheme.shingle)
+    if scheme.distinct:
+        h = np.unique(h)
     out = []
     for k in range(scheme.words):
         bits = np.zeros(64, np.int64)

@@ -132,6 +132,23 @@ def test_similar_texts_are_found(make_docs):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 4
 
 
+def _repeating(rnd, line, times):
+    """300 words, one line several times over between lines of its own."""
+    own = 300 - times * len(line)
+    parts = [[f"r{rnd.randint(0, 10**9)}" for _ in range(own // times)] for _ in range(times)]
+    return " ".join(w for p in parts for w in [*p, *line])
+
+
+def test_a_repeated_line_does_not_make_texts_similar(make_docs):
+    rnd = random.Random(23)
+    docs = []
+    for i in range(40):  # similarity about 0.08
+        line = [f"l{rnd.randint(0, 10**9)}" for _ in range(25)]
+        docs += [(i, _repeating(rnd, line, 6)), (1000 + i, _repeating(rnd, line, 6))]
+    kept = {r.doc_id for r in N.keep_one(make_docs(docs), N.similar()).collect()}
+    assert kept == {d for d, _ in docs}
+
+
 def test_empty_tables(make_docs):
     assert N.label(make_docs([])).count() == 0
     assert N.keep_one(make_docs([]), N.similar()).count() == 0
