@@ -1,15 +1,18 @@
-"""SimHash near-duplicates found by Golay-code fuzzy hashing.
-
-A fingerprint is cut into segments of at most 23 bits. Each segment is decoded to the codewords of
-the Golay code nearby, whose indices two segments share whenever they differ in two bits at most.
-Keys made of several segments meet in one sorted pass, and fingerprints that share a key are
-compared. Links become components.
+"""Near-duplicates: SimHash found by Golay-code fuzzy hashing, and sets of shingles by Jaccard
+similarity.
+
+A SimHash fingerprint is cut into segments of at most 23 bits. Each segment is decoded to the
+codewords of the Golay code nearby, whose indices two segments share whenever they differ in two
+bits at most. Keys made of several segments meet in one sorted pass, and fingerprints that share a
+key are compared. Sets of shingles have min-hash keys, which only choose the candidates: the sets
+themselves are compared. Links become components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,11 @@ SEED = 42
 CROWD = 4
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 1 << 14
+#: Members of a set whose values under all hash functions are made at a time.
+ITEMS_AT_ONCE = 1 << 10
 #: Fingerprints whose keys are made at a time.
 FINGERPRINTS_AT_ONCE = 1000
-#: The filter of crowded keys has 2 to this power bits.
+#: The filters of crowded keys and of wanted sets have 2 to this power bits.
 FILTER_BITS = 24
 
 
@@ -40,9 +45,7 @@ class Scheme:
 
     ``segments`` are (first bit, bits); a table of ``tables`` is (exact segments, segments taken by
     their Golay indices), and each gives a fingerprint one key per combination of indices.
-    Fingerprints link at ``radius`` or fewer differing bits; where they have several words, keys
-    are followed up only if the first words differ in at most ``first_radius``. With ``distinct``
-    a shingle counts once, however often the text repeats it.
+    Fingerprints of one word link at ``radius`` or fewer differing bits.
     """
 
     words: int
@@ -50,33 +53,75 @@ class Scheme:
     segments: tuple[tuple[int, int], ...]
     tables: tuple[tuple[tuple[int, ...], tuple[int, ...]], ...]
     radius: int
-    first_radius: int
-    distinct: bool = False
+
+    @property
+    def rounds(self) -> tuple[int, int]:
+        """Tables gone through first, and all."""
+        return 1, len(self.tables)
+
+    @property
+    def sig(self) -> int:
+        """The word that tells which rows of one key may link."""
+        return 0
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((x ^ y).view(np.uint64)) <= self.radius
 
 
 #: 64 bits, up to two differing. Of three segments one has no error then, and the next one at most
 #: two: the first is taken as it is and the next one by its indices, so no pair is missed.
 EXACT = Scheme(1, 3, ((0, 22), (22, 21), (43, 21)),
-               tuple(((i,), ((i + 1) % 3,)) for i in range(3)), 2, 2)
+               tuple(((i,), ((i + 1) % 3,)) for i in range(3)), 2)
+
+
+@dataclass(frozen=True)
+class Sets:
+    """Sets of distinct shingles, which link at a Jaccard similarity of ``least`` or more.
+
+    A fingerprint is a digest of the whole set, its size, and ``bands`` keys made of the smallest
+    values of ``rows`` hash functions each; -1 for keys of an empty set. Sets that share a key are
+    candidates, and the sets decide. The keys of ``first`` bands are gone through first.
+    """
+
+    least: Fraction
+    shingle: int
+    bands: int
+    rows: int
+    first: int = 4
+
+    @property
+    def words(self) -> int:
+        return 2 + self.bands
+
+    @property
+    def rounds(self) -> tuple[int, int]:
+        return min(self.first, self.bands), self.bands
+
+    @property
+    def sig(self) -> int:
+        return 1
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sizes that a pair of ``least`` similarity can have."""
+        return (np.minimum(x, y) * self.least.denominator
+                >= np.maximum(x, y) * self.least.numerator)
 
+    def alike(self, a: str, b: str) -> Column:
+        """Whether two sets, given as arrays, link; in whole numbers."""
+        p, q = self.least.numerator, self.least.denominator
+        m, n = F.size(a).cast("bigint"), F.size(b).cast("bigint")
+        common = F.size(F.array_intersect(a, b)).cast("bigint")
+        return F.when(F.least(m, n) * q >= F.greatest(m, n) * p,
+                      common * (p + q) >= (m + n) * p).otherwise(False)
 
-def similar(similarity: float = 0.8, shingle: int = 5, segments: int = 10, joint: int = 2,
-            slack: float = 0.03) -> Scheme:
+
+def similar(similarity: float = 0.8, shingle: int = 5, bands: int = 24, rows: int = 5) -> Sets:
     """A scheme for sets of shingles of at least this Jaccard similarity.
 
-    Bits differ with probability arccos(2J / (1 + J)) / pi, ``slack`` more is let pass. At J = 0.8
-    two neighbouring segments share indices in 95 of 100 pairs of texts, at J = 0.9 in more than
-    99. A key has ``joint`` neighbouring segments, 12 bits of choice each: take 3 and more segments
-    beyond some ten million texts.
+    Two sets of similarity J share a key with probability 1 - (1 - J ** rows) ** bands: at J = 0.8
+    all but 7 in 100,000 pairs do. Whatever shares one is compared exactly.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
-    words = -(-segments * golay.LENGTH // 64)
-    return Scheme(words, shingle,
-                  tuple((i * golay.LENGTH, golay.LENGTH) for i in range(segments)),
-                  tuple(((), tuple((i + k) % segments for k in range(joint)))
-                        for i in range(segments)),
-                  int(64 * words * share), int(64 * share + 2 * (64 * share * (1 - share)) ** 0.5),
-                  distinct=True)
+    return Sets(Fraction(str(similarity)), shingle, bands, rows)
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -105,35 +150,83 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
                      for a, b in zip(starts.tolist(), ends[last:].tolist())], np.uint64)
 
 
-def fingerprint(text: str, scheme: Scheme) -> list[int]:
-    """Words of 64 bits: a bit is set where over half of the hashes have it; 0 without words."""
+def fingerprint(text: str, scheme: Scheme = EXACT) -> list[int]:
+    """64 bits: a bit is set where over half of the hashes have it; 0 without words."""
     h = shingle_hashes(text, scheme.shingle)
-    if scheme.distinct:
-        h = np.unique(h)
-    out = []
-    for k in range(scheme.words):
-        bits = np.zeros(64, np.int64)
-        for i in range(0, len(h), SHINGLES_AT_ONCE):
-            part = h[i:i + SHINGLES_AT_ONCE]
-            part = _mixed(part, k) if k else part
-            bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
-                                  bitorder="little").sum(0, dtype=np.int32)
-        out.append(int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0]))
+    bits = np.zeros(64, np.int64)
+    for i in range(0, len(h), SHINGLES_AT_ONCE):
+        part = h[i:i + SHINGLES_AT_ONCE]
+        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
+                              bitorder="little").sum(0, dtype=np.int32)
+    return [int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])]
+
+
+def _digest(items: np.ndarray) -> int:
+    """64 bits, signed, of a sorted set of shingle hashes: which node a text belongs to."""
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64))
+
+
+def set_fingerprint(items: np.ndarray, scheme: Sets) -> np.ndarray:
+    """Digest, size and keys of a sorted set of shingle hashes."""
+    out = np.full(scheme.words, -1, np.int64)
+    out[0], out[1] = _digest(items), len(items)
+    if len(items):
+        count = scheme.bands * scheme.rows
+        turn = _mixed(np.arange(count, dtype=np.uint64), 1)[:, None]
+        odd = _mixed(np.arange(count, dtype=np.uint64), 2)[:, None] | np.uint64(1)
+        least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(items), ITEMS_AT_ONCE):
+            least = np.minimum(least, ((items[i:i + ITEMS_AT_ONCE] ^ turn) * odd).min(1))
+        key = np.arange(scheme.bands, dtype=np.uint64)
+        for row in least.reshape(scheme.bands, scheme.rows).T:
+            key = _mixed(key ^ row, 3)
+        out[2:] = (key >> np.uint64(1)).astype(np.int64)
     return out
 
 
-def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, text: str = "text",
+def fingerprints(docs: DataFrame, scheme: Scheme | Sets = EXACT, text: str = "text",
                  out: str = "fp") -> DataFrame:
     """``docs`` with ``out``, the words of each whole text's fingerprint (array of bigint). NULL
-    and empty texts have all bits zero."""
+    and empty texts have no shingles."""
+
+    def of(t: str):
+        if isinstance(scheme, Sets):
+            return set_fingerprint(np.unique(shingle_hashes(t, scheme.shingle)), scheme)
+        return fingerprint(t, scheme)
 
     @F.arrow_udf("array<bigint>")
     def fp(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, scheme) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([of(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     return docs.withColumn(out, fp(whole(text)))
 
 
+def sets_of(docs: DataFrame, scheme: Sets, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, items) of the sets in ``nodes``, and of a few others, read off the texts again: so
+    only sets that have candidates are ever written."""
+    noted = _noted(nodes, "node")
+
+    @F.arrow_udf("struct<node: bigint, items: array<bigint>>")
+    def made(texts: pa.Array) -> pa.Array:
+        node, ends, flat, wanted = [], [0], [np.zeros(0, np.int64)], []
+        for t in texts.to_pylist():
+            items = np.unique(shingle_hashes(t, scheme.shingle))
+            node.append(_digest(items))
+            p = _place(node[-1])
+            wanted.append(bool(noted[p >> 6] >> (p & 63) & 1))
+            if wanted[-1]:
+                flat.append(items.view(np.int64))
+            ends.append(ends[-1] + (len(items) if wanted[-1] else 0))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                         pa.array(np.concatenate(flat), pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), lists],
+                                          names=["node", "items"],
+                                          mask=pa.array([not w for w in wanted], pa.bool_()))
+
+    return stored(docs.select(made(whole(text)).alias("s")).where("s is not null")
+                  .select("s.node", "s.items").dropDuplicates(["node"]), "near-sets")
+
+
 # ------------------------------------------------------------------------ keys
 
 
@@ -145,10 +238,12 @@ def _segment(words: np.ndarray, start: int, size: int) -> np.ndarray:
     return (value & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def key_matrix(words: np.ndarray, scheme: Scheme, tables: int | None = None) -> np.ndarray:
+def key_matrix(words: np.ndarray, scheme: Scheme | Sets, tables: int | None = None) -> np.ndarray:
     """The keys of each fingerprint, of the first ``tables`` tables or of all; -1 where it has
-    fewer. A key holds the table's number and the segments' values or indices side by side, so no
-    two different ones are equal."""
+    fewer. A key of a ``Scheme`` holds the table's number and the segments' values or indices side
+    by side, so no two different ones are equal."""
+    if isinstance(scheme, Sets):
+        return words[:, 2:][:, :tables]
     value = [_segment(words, *s) for s in scheme.segments]
     index = [golay.keys(v) for v in value]
     out = []
@@ -164,7 +259,7 @@ def key_matrix(words: np.ndarray, scheme: Scheme, tables: int | None = None) ->
     return np.concatenate(out, axis=1)
 
 
-def _arrays(column: pa.Array, scheme: Scheme, tables: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(column: pa.Array, scheme: Scheme | Sets, tables: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Where each fingerprint's keys end, and all keys one after the other."""
     words = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), scheme.words)
     sizes, flat = [], [np.zeros(0, np.int64)]
@@ -175,35 +270,41 @@ def _arrays(column: pa.Array, scheme: Scheme, tables: int | None) -> tuple[np.nd
     return np.cumsum(np.concatenate([[0], *sizes])), np.concatenate(flat)
 
 
-def _keyed(nodes: DataFrame, scheme: Scheme, tables: int) -> DataFrame:
-    """(key, node, sig, root): one row per key of a fingerprint; sig is its first word."""
+def _keyed(nodes: DataFrame, scheme: Scheme | Sets, tables: int) -> DataFrame:
+    """(key, node, sig, root): one row per key of a fingerprint; sig is its telling word."""
 
     @F.arrow_udf("array<bigint>")
     def keys(column: pa.Array) -> pa.Array:
         ends, flat = _arrays(column, scheme, tables)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
-    return nodes.select(F.explode(keys("fp")).alias("key"), "node", F.get("fp", 0).alias("sig"),
+    return nodes.select(F.explode(keys("fp")).alias("key"), "node", F.get("fp", scheme.sig).alias("sig"),
                         "root")
 
 
 def _place(key):
-    """Where a key is noted in the filter of crowded keys; of numpy arrays."""
+    """Where a value is noted in a filter; of numpy arrays and whole numbers."""
     return (key ^ (key >> 17)) & ((1 << FILTER_BITS) - 1)
 
 
-def _crowded_rows(nodes: DataFrame, scheme: Scheme, crowded: DataFrame) -> DataFrame:
+def _noted(values: DataFrame, name: str) -> np.ndarray:
+    """A filter of fixed size, 2 MB, of the values in one column."""
+    place = F.col(name).bitwiseXOR(F.shiftright(name, 17)).bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = (values.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect())
+    noted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in bits:
+        noted[r["at"]] = r["bits"]
+    return noted
+
+
+def _crowded_rows(nodes: DataFrame, scheme: Scheme | Sets, crowded: DataFrame) -> DataFrame:
     """(key, node, root, fp) of the keys in ``crowded``, and of a few others.
 
     The keys go through a filter of fixed size, 2 MB, so the rows of all keys are not shuffled once
     more to find the few wanted ones.
     """
-    place = F.col("key").bitwiseXOR(F.shiftright("key", 17)).bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = (crowded.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect())
-    noted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in bits:
-        noted[r["at"]] = r["bits"]
+    noted = _noted(crowded, "key")
 
     @F.arrow_udf("array<struct<key: bigint, wanted: boolean>>")
     def keys(column: pa.Array) -> pa.Array:
@@ -226,7 +327,7 @@ def _differing(a: str, b: str, scheme: Scheme) -> Column:
                F.lit(0))
 
 
-def _matched(batches: Iterator[pa.RecordBatch], radius: int,
+def _matched(batches: Iterator[pa.RecordBatch], scheme: Scheme | Sets,
              crowd: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, key) from rows (key, node, sig, root) sorted by key, then node.
 
@@ -249,7 +350,7 @@ def _matched(batches: Iterator[pa.RecordBatch], radius: int,
 
     def near(x, y):
         """Of two sets of rows side by side."""
-        return (x[3] != y[3]) & (np.bitwise_count((x[2] ^ y[2]).view(np.uint64)) <= radius)
+        return (x[3] != y[3]) & scheme.near(x[2], y[2])
 
     def to_lead(group: np.ndarray) -> pa.RecordBatch:
         hit = near(group, lead[:, None])
@@ -310,14 +411,15 @@ def _matched(batches: Iterator[pa.RecordBatch], radius: int,
         yield settled(rows)
 
 
-def _verified(links: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Distinct links whose whole fingerprints are close."""
+def _verified(links: DataFrame, scheme: Scheme | Sets, sets) -> DataFrame:
+    """Distinct links, of ``Sets`` those whose whole sets are similar."""
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if scheme.words == 1:
+    if isinstance(scheme, Scheme):
         return links
-    fp = nodes.select("node", "fp")
-    both = (links.join(fp.toDF("a", "_fa"), "a").join(fp.toDF("b", "_fb"), "b"))
-    return both.where(_differing("_fa", "_fb", scheme) <= scheme.radius).select("a", "b")
+    links = stored(links, "near-candidates")
+    items = sets(links.select(F.explode(F.array("a", "b")).alias("node")))
+    both = (links.join(items.toDF("a", "_sa"), "a").join(items.toDF("b", "_sb"), "b"))
+    return both.where(scheme.alike("_sa", "_sb")).select("a", "b")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -328,37 +430,45 @@ def _star(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def classes(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+def classes(nodes: DataFrame, scheme: Scheme | Sets = EXACT, sets=None) -> DataFrame:
     """(node, root) of nodes (node, fp) that link to others, root being the smallest of its class.
+    For ``Sets``, ``sets`` gives (node, items) of a table of nodes.
 
     Nodes must be distinct, and so must be their fingerprints. The keys are dealt out by ranges of
-    (key, node), so one much-used key is spread over several tasks. The keys of the first table
+    (key, node), so one much-used key is spread over several tasks. The keys of the first tables
     alone tie most of what belongs together; then those of all tables are gone through, and only
     rows not yet tied are compared. In groups too large for comparing all their rows at once, a
     join compares what is still not tied. So no link that matters is missed, and a dense group
     isn't listed pair by pair.
     """
-    radius, crowd = scheme.first_radius, CROWD
+    crowd = CROWD
     roots = nodes.select("node", F.col("node").alias("root")).limit(0)
-    for tables in (1, len(scheme.tables)):
+    for tables in scheme.rounds:
         rows = _keyed(_rooted(nodes, roots), scheme, tables)
         found = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-                       .mapInArrow(lambda batches: _matched(batches, radius, crowd),
+                       .mapInArrow(lambda batches: _matched(batches, scheme, crowd),
                                    "a bigint, b bigint, key bigint"), "near-links")
-        links = _verified(found.where("key is null"), nodes, scheme)
+        links = _verified(found.where("key is null"), scheme, sets)
         roots = stored(components(_star(roots).unionAll(links)), "near-classes")
 
     crowded = found.where("key is not null").select("key")
     rest = stored(_crowded_rows(_rooted(nodes, roots), scheme, crowded), "near-crowded")
-    # The whole fingerprints are compared in the join: what comes out are links.
+    if isinstance(scheme, Sets):
+        mixed = (rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                 .where("lo != hi").select("key"))
+        rest = stored(rest.drop("fp").join(mixed, "key", "left_semi"), "near-mixed")
+        rest = rest.join(sets(rest.select("node")), "node").select("key", "node", "root", "items")
+        close = scheme.alike("_fa", "_fb")
+    else:
+        close = _differing("_fa", "_fb", scheme) <= scheme.radius
+    # The whole fingerprints or sets are compared in the join: what comes out are links.
     more = (rest.toDF("key", "a", "_ra", "_fa").join(rest.toDF("key", "b", "_rb", "_fb"), "key")
-            .where((F.col("_ra") < F.col("_rb"))
-                   & (_differing("_fa", "_fb", scheme) <= scheme.radius))
+            .where((F.col("_ra") < F.col("_rb")) & close)
             .select("a", "b").distinct())
     return components(_star(roots).unionAll(more))
 
 
-def label(docs: DataFrame, scheme: Scheme = EXACT, doc_id: str = "doc_id",
+def label(docs: DataFrame, scheme: Scheme | Sets = EXACT, doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``.
 
@@ -369,10 +479,11 @@ def label(docs: DataFrame, scheme: Scheme = EXACT, doc_id: str = "doc_id",
     """
     made = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")),
                                scheme, "_t").drop("_t"), "near-fingerprints")
-    node = F.get("fp", 0) if scheme.words == 1 else F.xxhash64("fp")
+    node = F.get("fp", 0)
     nodes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least"))
                    .select("fp", node.alias("node"), "least"), "near-nodes")
-    root = classes(nodes.select("node", "fp"), scheme)
+    root = classes(nodes.select("node", "fp"), scheme,
+                   lambda wanted: sets_of(docs, scheme, text, wanted))
     rooted = nodes.join(root, "node", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -381,7 +492,7 @@ def label(docs: DataFrame, scheme: Scheme = EXACT, doc_id: str = "doc_id",
             .select("doc_id", "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, scheme: Scheme, doc_id: str = "doc_id",
+def keep_one(docs: DataFrame, scheme: Scheme | Sets, doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, that of its smallest id, with all columns.
 

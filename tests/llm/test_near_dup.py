@@ -149,6 +149,45 @@ def test_a_repeated_line_does_not_make_texts_similar(make_docs):
     assert kept == {d for d, _ in docs}
 
 
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def _changed(rnd, base, n):
+    """A copy with ``n`` words changed, far enough apart to break five shingles each."""
+    out = list(base)
+    for at in rnd.sample(range(2, len(base) // 6), n):
+        out[6 * at] = f"n{rnd.randint(0, 10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("crowd", [4, 1])
+def test_similarity_decides_exactly(make_docs, monkeypatch, crowd):
+    """Pairs on both sides of 0.8, and groups of more rows than are compared at once."""
+    monkeypatch.setattr(N, "CROWD", crowd)
+    rnd = random.Random(31)
+    texts = []
+    for changes in (6, 7, 8, 9, 10, 12, 14):  # 396 shingles: 0.86 down to 0.70
+        for _ in range(40):
+            base = [f"b{rnd.randint(0, 10**9)}" for _ in range(400)]
+            texts += [base, _changed(rnd, base, changes)]
+    for _ in range(3):
+        base = [f"g{rnd.randint(0, 10**9)}" for _ in range(400)]
+        texts += [_changed(rnd, base, rnd.choice([1, 4, 7, 9])) for _ in range(30)]
+    texts += [["v%d" % i for i in range(k)] for k in (14, 13, 12, 8, 3, 2)]  # 9 of 10 and 8 of 9 shingles, 4 of 8
+    texts = [" ".join(t) for t in texts]
+    sets = [_shingles(t) or {t} for t in texts]
+    at = list(range(len(texts)))
+    for i, j in itertools.combinations(at[:], 2):
+        both = len(sets[i] & sets[j])
+        if both and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((at[i], at[j]))
+            at = [a if x == b else x for x in at]
+    got = {r.doc_id: r.component_id for r in N.label(make_docs(list(enumerate(texts))), N.similar()).collect()}
+    assert [got[i] for i in range(len(texts))] == at
+
+
 def test_empty_tables(make_docs):
     assert N.label(make_docs([])).count() == 0
     assert N.keep_one(make_docs([]), N.similar()).count() == 0
