@@ -11,6 +11,7 @@ from recordflow.operators.agg import rollup_status
 from recordflow.operators.join import left_unique, without_child
 from recordflow.operators.number import numbered
 from recordflow.operators.select import active
+from recordflow.operators.slugs import dedupe_slugs, taken_slugs
 from recordflow.schemas import DEFAULTS, Edge
 
 
@@ -203,12 +204,18 @@ STARTER_SCENARIO = {"name": "Starter scenario", "source_text": 'TEST "Starter sc
 
 def starter_rows(users: DataFrame, key: str, projects: DataFrame, owner: str = "owner_id",
                  active_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(projects, scenarios) to add for users without a project; the project's slug and the
-    scenario's reference to it come from a stable id of the user."""
+    """(projects, scenarios) to add for users without a project. The project's slug comes from a
+    stable id of the user, an integer, and is told apart from those of other users and of
+    ``projects`` where these have slugs; scenarios carry the owner and the project's slug."""
     slug = F.concat(F.lit("starter-"), short_id(8, owner))
     fresh = ensure_child(users, key, projects, owner, STARTER_PROJECT, active_only).withColumn(
         "slug", slug)
-    scenarios = fresh.select(F.col("slug").alias("project_slug"), *[
+    existing = taken_slugs(projects, taken="all") if "slug" in projects.columns else None
+    named = dedupe_slugs(fresh.filter(F.col(owner).isNotNull()).select("slug", owner).distinct(),
+                         "slug", owner, existing)
+    fresh = (fresh.join(named.select(owner, "unique_slug"), owner, "left")
+             .withColumn("slug", F.coalesce("unique_slug", "slug")).drop("unique_slug"))
+    scenarios = fresh.select(owner, F.col("slug").alias("project_slug"), *[
         F.lit(v).alias(c) for c, v in STARTER_SCENARIO.items()])
     return fresh, scenarios
 

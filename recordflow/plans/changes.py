@@ -224,7 +224,7 @@ def starter_projects(t):
     FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
 def starter_scenarios(t):
     projects = t.orders.select(F.col("o_custkey").alias("owner_id"))
-    return change.starter_rows(t.customer, "c_custkey", projects)[1]
+    return change.starter_rows(t.customer, "c_custkey", projects)[1].drop("owner_id")
 
 
 def _user_table(t):

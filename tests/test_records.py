@@ -216,3 +216,14 @@ def test_starter_rows_reach_users_without_active_projects(spark, rows):
     assert scenarios.count() == 2
     again, _ = change.starter_rows(people, "id", projects, active_only=False)
     assert rows(again, "owner_id") == [(3,)]
+
+
+def test_starter_slugs_are_unique(spark, rows):
+    """Two owners whose hashes begin with the same eight digits, and a slug already taken."""
+    people = spark.createDataFrame([(69235,), (95303,), (None,)], "id long")
+    projects = spark.sql("SELECT 0L AS owner_id, true AS is_active, 'starter-c11eb5e6-2' AS slug")
+    fresh, scenarios = change.starter_rows(people, "id", projects)
+    want = [(69235, "starter-c11eb5e6"), (95303, "starter-c11eb5e6-3")]
+    assert [r for r in rows(fresh, "owner_id", "slug") if r[0]] == want
+    assert [r for r in rows(scenarios, "owner_id", "project_slug") if r[0]] == want
+    assert fresh.count() == scenarios.count() == 3
