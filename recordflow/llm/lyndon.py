@@ -5,7 +5,11 @@ whose previous smaller suffix it is, from left to right. Suffixes with one Lyndo
 group. Groups get their numbers from the largest words to the smallest, a group as soon as the
 children of its members have theirs, and hand them to their previous smaller suffixes. Then each
 group's order is emitted from that of its members' next smaller suffixes. All groups that are ready
-are handled together; ranks are never made anew.
+are handled together.
+
+Symbols must differ inside a string for that. Where one of eight bytes occurs twice in any string
+of a batch, all symbols of the batch are renamed by prefix doubling, to 16, 32 and more bytes; on
+very repetitive strings that goes to the full width and has sorted the suffixes by itself.
 """
 
 from __future__ import annotations
