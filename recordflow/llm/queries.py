@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordflow.llm import bpe, lm, near_dup, quality, quotes, secret_scan, substring_dedup, tiling, toxicity, urls
+from recordflow.llm import (
+    bpe, lm, near_dup, quality, quotes, secret_scan, spelling, substring_dedup, tiling, toxicity,
+    urls)
 from recordflow.llm.common import crc_class, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -164,4 +166,55 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
         F.size("links").cast("bigint").alias("n_links"), "body")
 
 
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE
+remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, c, xor(list_reduce(flatten(list_transform(
+      string_split(doc_id::VARCHAR || ':' || run, ''), lambda x:
+        CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x) - 64] END)),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM runs, remainders),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 31 = 0
+      THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+      ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+shorter AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n
+  FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top_n,
+    min(struct_pack(less := -other_n, other := other)) AS top FROM near GROUP BY word),
+known AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN top_n >= 10 * n THEN top.other END AS form,
+    CASE WHEN top_n >= 10 * n THEN top_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word),
+followed AS (
+  SELECT word, form, 1 AS steps FROM known WHERE form IS NOT NULL
+  UNION ALL
+  SELECT followed.word, known.form, steps + 1 FROM followed JOIN known ON known.word = followed.form
+  WHERE known.form IS NOT NULL)
+SELECT known.word, form, coalesce(root, known.word) AS root, n, n_near, form_n
+FROM known LEFT JOIN (
+  SELECT word, max_by(form, steps) AS root FROM followed GROUP BY word) r ON known.word = r.word
+""")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
