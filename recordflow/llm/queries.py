@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordflow.llm import (
-    bpe, lm, near_dup, quality, quotes, secret_scan, spelling, substring_dedup, tiling, toxicity,
+    bpe, html_text, lm, near_dup, quality, quotes, secret_scan, spelling, substring_dedup, tiling, toxicity,
     urls)
 from recordflow.llm.common import crc_class, table
 
@@ -217,4 +217,11 @@ def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op12_html_extraction")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
