@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordflow.llm import (
-    bpe, html_text, lm, near_dup, quality, quotes, secret_scan, spelling, substring_dedup, tiling, toxicity,
-    urls)
+    bpe, html_text, lm, near_dup, negatives, quality, quotes, secret_scan, spelling,
+    substring_dedup, tiling, toxicity, urls)
 from recordflow.llm.common import crc_class, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -224,4 +224,32 @@ def main_texts(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query("op13_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS f
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_dot_product(a.f, b.f)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER place)::INT AS rank, other AS negative_id,
+  positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW place AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER place <= 10
+""")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+        .otherwise(F.col("label")).alias("label"))
+    return negatives.mine(negatives.integer_rows(vectors), "vec_id % 100 = 0")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
