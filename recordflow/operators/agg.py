@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import safe_ratio
-from recordflow.operators.number import time_chunk
 from recordflow.operators.select import active
 
 # The first child status present decides the parent's status.
@@ -110,40 +109,45 @@ def latest_status(events: DataFrame, key: str, order: list[str], state: str = "s
 
 
 def transitions(events: DataFrame, key: str, ts: str, tie: str, state: str, target: str,
-                extras: dict[str, Column] | None = None, minutes: int = 60) -> DataFrame:
+                extras: dict[str, Column] | None = None,
+                carry: dict[str, Column] | None = None) -> DataFrame:
     """Per key: ``last_state``; ``first_at`` and ``first_state`` of its first event; and
     ``entered_on``, when ``target`` was last entered from another state by a later one.
 
     Whether the first event enters the target depends on the state before it, which the caller
     knows (see :func:`entered_since`). ``extras`` are columns whose largest value per key comes
-    along. Histories are cut into spans of ``minutes``: windows run per (key, span), and one
-    summary row per span crosses the cuts.
+    along. ``carry`` are columns of single events: ``first``, ``last`` and ``entered`` are structs
+    of them, of the first event, the last one and the one that last entered the target.
+
+    The last entry is the first target event after the last other one before the last target event:
+    three aggregates that combine before their shuffles, so a key's history is never sorted, and
+    events of one key at one time are spread over all tasks.
     """
-    extras = extras or {}
+    extras, carry = extras or {}, carry or {}
     cut = (events.filter(F.col(key).isNotNull())
            .select(F.col(key), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("id")).alias("_at"),
                    F.coalesce(F.col(state), F.lit("")).alias("_state"),
-                   time_chunk(ts, minutes).alias("_chunk"),
+                   F.struct(F.lit(None).cast("boolean").alias("_none"),
+                            *[c.alias(name) for name, c in carry.items()]).alias("_with"),
                    *[c.alias(name) for name, c in extras.items()]))
-    inside = Window.partitionBy(key, "_chunk").orderBy("_at")
-    entering = (F.col("_state") == target) & (F.col("_earlier") != target)
-    parts = (cut.withColumn("_earlier", F.lag("_state").over(inside))
-             .groupBy(key, "_chunk").agg(
-                 F.min(F.struct("_at", "_state")).alias("_first"),
-                 F.max_by("_state", "_at").alias("_last"),
-                 F.max(F.when(entering, F.col("_at.ts"))).alias("_entered"),
-                 *[F.max(name).alias(name) for name in extras]))
-    across = Window.partitionBy(key).orderBy("_chunk")
-    crossing = F.when((F.col("_first._state") == target) & (F.col("_came_from") != target),
-                      F.col("_first._at.ts"))
-    return (parts.withColumn("_came_from", F.lag("_last").over(across))
-            .withColumn("_crossed", crossing).groupBy(key).agg(
-        F.max_by("_last", "_chunk").alias("last_state"),
-        F.min("_first").alias("_start"),
-        F.max(F.greatest("_entered", "_crossed")).alias("entered_on"),
+    hit = F.col("_state") == target
+    event = F.struct("_state", "_with")
+    ends = cut.groupBy(key).agg(
+        F.max_by(event, "_at").alias("_last"), F.min_by(event, "_at").alias("_first"),
+        F.min("_at").alias("_from"), F.max(F.when(hit, F.col("_at"))).alias("_held"),
         *[F.max(name).alias(name) for name in extras])
-        .select(key, "last_state", F.col("_start._at.ts").alias("first_at"),
-                F.col("_start._state").alias("first_state"), "entered_on", *extras))
+    other = (cut.where(~hit).select(key, "_at")
+             .join(ends.where("_held is not null").select(key, "_held"), key)
+             .where("_at < _held").groupBy(key).agg(F.max("_at").alias("_since")))
+    entry = (cut.where(hit).select(key, "_at", "_with").join(other, key).where("_at > _since")
+             .groupBy(key).agg(F.min("_at").alias("_entry"),
+                               F.min_by("_with", "_at").alias("_entry_with")))
+    structs = [F.col("_first._with").alias("first"), F.col("_last._with").alias("last"),
+               F.col("_entry_with").alias("entered")] if carry else []
+    return ends.join(entry, key, "left").select(
+        key, F.col("_last._state").alias("last_state"), F.col("_from.ts").alias("first_at"),
+        F.col("_first._state").alias("first_state"), F.col("_entry.ts").alias("entered_on"),
+        *extras, *structs)
 
 
 def entered_since(before, target: str) -> Column:

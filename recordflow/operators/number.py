@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordflow.session import materialize
+
 BLOCK = 1 << 20
 #: Blocks of blocks: with blocks of 2^20, 64-bit values leave at most 16 rows per key in the end.
 LEVELS = 2
@@ -72,32 +74,28 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name:
             .drop("_block", "_value", "_local", "_offset"))
 
 
-def time_chunk(ts, minutes: int = 60) -> Column:
-    """Number of the span of ``minutes`` a timestamp lies in: the default cut of histories.
-    Take shorter spans where one key has more events in an hour than a task should sort."""
-    value = F.col(ts) if isinstance(ts, str) else ts
-    days = F.datediff(F.to_date(value), F.lit("1970-01-01").cast("date"))
-    total = days * 1440 + F.hour(value) * 60 + F.minute(value)
-    return F.floor(total / minutes)
+def placed_by_range(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """``df`` with ``_order`` and ``_part``: dealt out by ranges of (keys, order) and written, so
+    that a part holds a bounded stretch of rows and a retried task sees the same parts."""
+    cut = df.withColumn("_order", order).repartitionByRange(*keys, "_order")
+    return materialize(cut.withColumn("_part", F.spark_partition_id()), "placed")
 
 
-def next_match(df: DataFrame, keys: list[str], chunk: Column, order: Column, hit: Column,
-               name: str) -> DataFrame:
+def next_match(placed: DataFrame, keys: list[str], hit: Column, name: str) -> DataFrame:
     """The smallest ``order`` after this row's, within the key, whose row is a ``hit``.
 
-    ``chunk`` must grow with ``order``.
+    ``placed`` comes from :func:`placed_by_range`, by these keys or the first of them. Windows run
+    per key and part; what crosses the parts of a key is one value of each. So a hot key, all its
+    rows at one time even, is spread over as many tasks as its rows fill.
     """
-    cut = df.withColumn("_chunk", chunk).withColumn("_order", order).withColumn("_hit", hit)
-    group = [*keys, "_chunk"]
-    marked = F.when(F.col("_hit"), F.col("_order"))
+    group = [*keys, "_part"]
+    marked = F.when(hit, F.col("_order"))
     behind = Window.partitionBy(*group).orderBy(F.desc("_order")).rowsBetween(
         Window.unboundedPreceding, -1)
-    local = cut.withColumn("_near", F.min(marked).over(behind))
-    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(
+    later = Window.partitionBy(*keys).orderBy(F.desc("_low")).rowsBetween(
         Window.unboundedPreceding, -1)
-    far = (cut.groupBy(*group).agg(F.min(marked).alias("_first"))
+    far = (placed.groupBy(*group).agg(F.min(marked).alias("_first"), F.min("_order").alias("_low"))
            .select(*group, F.min("_first").over(later).alias("_far"))
            .filter(F.col("_far").isNotNull()))
-    return (local.join(far, group, "left")
-            .withColumn(name, F.coalesce("_near", "_far"))
-            .drop("_chunk", "_order", "_hit", "_near", "_far"))
+    return (placed.withColumn("_near", F.min(marked).over(behind)).join(far, group, "left")
+            .withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far"))

@@ -159,12 +159,112 @@ def payment_state_strict(t):
 
 @query("payment_state_stream", _state_sql(_ALL_MOVES))
 def payment_state_stream(t):
-    start = _payments(t)
-    table = StateTable(t.spark, scratch(t.spark, "payments"), ["id"], start.schema)
-    table.seed(start)
-    jobs.run_stream(_payment_events(_event_stream(t)), jobs.payment_step(table),
+    store = jobs.payment_store(t.spark, scratch(t.spark, "payments"), _payments(t))
+    jobs.run_stream(_payment_events(_event_stream(t)), jobs.payment_step(store),
                     scratch(t.spark, "checkpoint"))
-    return table.current()
+    return store.current("payments")
+
+
+def _webhooks(events):
+    """Events as pushed payment requests. Every tenth has no body, every eleventh lacks a header,
+    every thirteenth is cut off; errors come without an order link."""
+    kind = (F.when(F.col("event_type").isin("purchase", "view"), payments.COMPLETED)
+            .when(F.col("event_type") == "error", payments.DENIED)
+            .when(F.col("event_type") == "signup", payments.REFUNDED)
+            .otherwise("CHECKOUT.ORDER.APPROVED"))
+    user = F.col("user_id").cast("string")
+    capture = F.when(F.col("event_type") == "view", F.concat(F.lit("L"), user)).otherwise(
+        F.concat(F.lit("C"), key_number().cast("string")))
+    link = F.when(F.col("event_type") == "view", F.format_string(
+        ',"links":[{"rel":"self","href":"x"},{"rel":"up","href":"https://p.example/o/O%s/"}]',
+        (F.col("user_id") + 200).cast("string"))).otherwise("")
+    body = F.format_string('{"event_type":"%s","resource":{"id":"%s"%s}}', kind, capture, link)
+    n = F.col("event_id")
+    names = F.array(*[F.lit(h) for h in triage.REQUIRED_HEADERS])
+    given = F.when(n % 11 == 0, F.array(*[F.lit("x")] * 4, F.lit(""))).otherwise(
+        F.array_repeat(F.lit("x"), 5))
+    return events.select(
+        "event_id", "ts", F.when(n % 10 == 0, "").when(n % 13 == 0, F.substring(body, 1, 40))
+        .otherwise(body).alias("body"), F.map_from_arrays(names, given).alias("headers"))
+
+
+def _job_payments(t):
+    """Orders as payments of 50 users, with notes and payloads."""
+    return _payments(t).select(
+        "id", (F.col("id") % 50).alias("user_id"), "provider_order_id", "provider_capture_id",
+        "status", "paid_on", "refunded_on", F.lit("{}").alias("provider_payload_json"),
+        F.lit("").alias("notes"))
+
+
+_JOB_EVENTS_SQL = """
+    pushed AS (SELECT event_id, ts, user_id,
+          CASE event_type WHEN 'purchase' THEN 'PAYMENT.CAPTURE.COMPLETED'
+               WHEN 'view' THEN 'PAYMENT.CAPTURE.COMPLETED' WHEN 'error' THEN 'PAYMENT.CAPTURE.DENIED'
+               WHEN 'signup' THEN 'PAYMENT.CAPTURE.REFUNDED' ELSE 'CHECKOUT.ORDER.APPROVED' END
+               AS kind,
+          CASE WHEN event_type = 'view' THEN 'L' || user_id
+               ELSE 'C' || json_extract_string(props, '$.k') END AS cap,
+          CASE WHEN event_type = 'view' THEN 'O' || (user_id + 200) END AS ord FROM events
+          WHERE event_id % 10 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0),
+    e AS (SELECT *, CASE kind WHEN 'PAYMENT.CAPTURE.COMPLETED' THEN 'captured'
+               WHEN 'PAYMENT.CAPTURE.DENIED' THEN 'failed'
+               WHEN 'PAYMENT.CAPTURE.REFUNDED' THEN 'refunded' END AS state,
+          '{"event_type":"' || kind || '","resource":{"id":"' || cap || '"' || CASE WHEN ord IS NULL
+               THEN '' ELSE ',"links":[{"rel":"self","href":"x"},{"rel":"up","href":"https://p.example/o/'
+               || ord || '/"}]' END || '}}' AS payload FROM pushed)"""
+_, _, _EVENT_TAIL = _EVENT_SQL.partition("    p AS (")
+
+
+@query("payment_job_stream", f"""
+    WITH RECURSIVE {_JOB_EVENTS_SQL},
+    p AS ({_EVENT_TAIL},
+    h AS (SELECT m.*, p.status AS before, p.id % 50 AS owner FROM m JOIN p ON p.id = m.pid),
+    seq AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY pid ORDER BY ts, event_id), before)
+                AS prev FROM h),
+    s AS (SELECT pid, max_by(state, (ts, event_id)) AS state,
+                 max(ts) FILTER (state = 'captured' AND prev <> 'captured') AS paid_on,
+                 max(ts) FILTER (state = 'refunded') AS refunded_on FROM seq GROUP BY 1),
+    c AS (SELECT pid, payload, CASE state WHEN 'captured' THEN 'Marked captured from webhook.'
+                 WHEN 'failed' THEN 'Capture denied webhook received.'
+                 ELSE 'Refund webhook received.' END AS notes
+          FROM seq WHERE state <> 'captured' OR prev <> 'captured'
+          QUALIFY row_number() OVER (PARTITION BY pid ORDER BY ts DESC, event_id DESC) = 1),
+    x AS (SELECT owner, (ts, event_id) AS pos, ts, event_id, pid, state FROM h
+          WHERE state IN ('captured', 'refunded')),
+    g AS (SELECT a.owner, a.event_id, a.ts, a.pid, a.pos, min(r.pos) AS stop
+          FROM x a LEFT JOIN x r ON r.pid = a.pid AND r.state = 'refunded' AND r.pos > a.pos
+          WHERE a.state = 'captured' GROUP BY ALL),
+    l AS (SELECT g.owner, g.event_id, g.ts, g.pid, g.pos, g.stop, min(n.pos) AS nxt
+          FROM g LEFT JOIN x n ON n.owner = g.owner AND n.state = 'captured' AND n.pos > g.stop
+          GROUP BY ALL),
+    walk(owner, pos, event_id, pid, stop, nxt) AS (
+        SELECT l.owner, l.pos, l.event_id, l.pid, l.stop, l.nxt
+        FROM l JOIN (SELECT owner, min(pos) AS first FROM g GROUP BY 1) f
+             ON f.owner = l.owner AND f.first = l.pos
+        UNION ALL
+        SELECT l.owner, l.pos, l.event_id, l.pid, l.stop, l.nxt
+        FROM walk w JOIN l ON l.owner = w.owner AND l.pos = w.nxt),
+    held AS (SELECT pid, count(*) AS n_grants, max(event_id) AS last_grant,
+          max_by(CASE WHEN stop IS NULL THEN 'Granted after successful PayPal capture.'
+                      ELSE 'Entitlement revoked after refund.' END, pos) AS reason
+          FROM walk GROUP BY 1)
+    SELECT p.id, coalesce(p.cap, l.cap) AS provider_capture_id, coalesce(s.state, p.status) AS status,
+           s.paid_on, s.refunded_on, coalesce(c.payload, '{{}}') AS provider_payload_json,
+           coalesce(c.notes, '') AS notes, n_grants,
+           CASE WHEN n_grants IS NOT NULL THEN 'lifetime_access' END AS code, reason
+    FROM p LEFT JOIN s ON s.pid = p.id LEFT JOIN c ON c.pid = p.id
+    LEFT JOIN learned l ON l.id = p.id LEFT JOIN held ON held.pid = p.id""")
+def payment_job_stream(t):
+    """Pushed requests end to end: every payment with what its events and grants left on it."""
+    store = jobs.payment_store(t.spark, scratch(t.spark, "job"), _job_payments(t))
+    jobs.run_stream(_webhooks(_event_stream(t)), jobs.webhook_step(store),
+                    scratch(t.spark, "checkpoint"))
+    held = store.current("ledger").groupBy(F.col("payment_id").alias("id")).agg(
+        F.count("*").alias("n_grants"), F.max("code").alias("code"),
+        F.max_by("reason", F.struct("granted_on", "grant_event_id")).alias("reason"))
+    return store.current("payments").join(held, "id", "left").select(
+        "id", "provider_capture_id", "status", "paid_on", "refunded_on", "provider_payload_json",
+        "notes", "n_grants", "code", "reason")
 
 
 def _ledger_events(events):
@@ -196,7 +296,10 @@ _LEDGER_SQL = """
         FROM walk w JOIN l ON l.user_id = w.user_id AND l.pos = w.nxt)
     SELECT walk.user_id, pay AS payment_id, walk.event_id AS grant_event_id,
            walk.ts AS granted_on, x.ts AS revoked_on,
-           CASE WHEN stop IS NULL THEN 'active' ELSE 'revoked' END AS status
+           CASE WHEN stop IS NULL THEN 'active' ELSE 'revoked' END AS status,
+           'lifetime_access' AS code,
+           CASE WHEN stop IS NULL THEN 'Granted after successful PayPal capture.'
+                ELSE 'Entitlement revoked after refund.' END AS reason
     FROM walk LEFT JOIN (SELECT pos AS at_end, ts FROM e) x ON x.at_end = stop"""
 
 
@@ -214,13 +317,10 @@ def ledger_chained(t):
 
 @query("entitlement_ledger_stream", _LEDGER_SQL)
 def ledger_stream(t):
-    schema = T.StructType.fromDDL(
-        "user_id bigint, payment_id bigint, grant_event_id bigint, granted_on timestamp_ntz, "
-        "revoked_on timestamp_ntz, status string")
-    table = StateTable(t.spark, scratch(t.spark, "ledger"), ["grant_event_id"], schema)
-    jobs.run_stream(_ledger_events(_event_stream(t)), jobs.entitlement_step(table),
+    store = jobs.ledger_store(t.spark, scratch(t.spark, "ledger"))
+    jobs.run_stream(_ledger_events(_event_stream(t)), jobs.entitlement_step(store),
                     scratch(t.spark, "checkpoint"))
-    return table.current().select(*COLUMNS)
+    return store.current("ledger").select(*COLUMNS)
 
 
 def _run_events(events):

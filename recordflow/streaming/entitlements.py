@@ -9,79 +9,73 @@ is delivered several times counts once: its repeats would double the chain at ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.operators.number import next_match, time_chunk
+from recordflow.operators.number import next_match, placed_by_range
 from recordflow.session import materialize
+from recordflow.streaming.delivery import once
 
-COLUMNS = ["user_id", "payment_id", "grant_event_id", "granted_on", "revoked_on", "status"]
+# What a grant entitles to, and why it was given and taken.
+CODE = "lifetime_access"
+GRANTED = "Granted after successful PayPal capture."
+REVOKED = "Entitlement revoked after refund."
 
+COLUMNS = ["user_id", "payment_id", "grant_event_id", "granted_on", "revoked_on", "status", "code",
+           "reason"]
+SCHEMA = ("user_id bigint, payment_id bigint, grant_event_id bigint, granted_on timestamp_ntz, "
+          "revoked_on timestamp_ntz, status string, code string, reason string")
 
-def entitlement_ledger(events: DataFrame, held: DataFrame | None = None,
-                       minutes: int = 60) -> DataFrame:
-    """Grants with their revocation time, NULL while active.
+
+def entitlement_ledger(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Grants with their revocation time, NULL while active, their code and the reason of their
+    last change.
 
     ``events``: event_id, ts, user_id, payment_id, kind ('grant' or 'revoke'; others are left
-    out; rows of one event_id count once). ``held`` are ledger rows active before, which the events
-    may revoke. Histories are cut into spans of ``minutes``.
+    out). Rows of one event id count once; rows without an id are told apart by their content. Rows
+    without a time, user or payment are left out. ``held`` are ledger rows active before, which the
+    events may revoke.
     """
     cols = ["user_id", "ts", "event_id", "kind", "payment_id"]
     steps = events.filter(F.col("kind").isin("grant", "revoke") & F.col("user_id").isNotNull()
-                          & F.col("payment_id").isNotNull()).select(*cols)
+                          & F.col("payment_id").isNotNull() & F.col("ts").isNotNull()).select(*cols)
     if held is not None:
         steps = steps.unionByName(held.filter("status = 'active'").select(
             "user_id", F.col("granted_on").alias("ts"), F.col("grant_event_id").alias("event_id"),
             F.lit("grant").alias("kind"), "payment_id"))
-    steps = steps.dropDuplicates(["event_id"])
-    return _chain(_compact(steps, minutes), minutes)
-
-
-def _compact(steps: DataFrame, minutes: int) -> DataFrame:
-    """Drop completions that directly follow one: the user surely holds a grant by then. Only
-    neighbours within the same span are compared, which is enough to thin bursts."""
-    span = Window.partitionBy("user_id", "_span").orderBy("ts", "event_id")
-    return (steps.withColumn("_span", time_chunk("ts", minutes))
-            .withColumn("_before", F.lag("kind").over(span))
-            .filter((F.col("kind") == "revoke")
-                    | F.coalesce(F.col("_before") != "grant", F.lit(True)))
-            .drop("_span", "_before"))
+    return _chain(once(steps))
 
 
-def _chain(steps: DataFrame, minutes: int) -> DataFrame:
-    at, span = F.struct("ts", "event_id"), time_chunk("ts", minutes)
-    steps = materialize(steps, "ledger-steps")
-    linked = next_match(steps, ["user_id", "payment_id"], span, at, F.col("kind") == "revoke",
-                        "_end")
-    linked = next_match(linked, ["user_id"], span, at, F.col("kind") == "grant", "_next")
-    linked = materialize(linked, "ledger-links")
+def _chain(steps: DataFrame) -> DataFrame:
+    placed = placed_by_range(steps, ["user_id"], F.struct("ts", "event_id"))
+    linked = next_match(placed, ["user_id", "payment_id"], F.col("kind") == "revoke", "_end")
+    linked = materialize(next_match(linked, ["user_id"], F.col("kind") == "grant", "_next"),
+                         "ledger-links")
     grants = linked.filter("kind = 'grant'")
-    after_end = linked.filter("kind = 'revoke'").select(
+    after_end = linked.filter("kind = 'revoke' and _next is not null").select(
         F.col("event_id").alias("_end_id"), F.col("_next.event_id").alias("to"))
+    first = grants.groupBy(F.col("user_id").alias("_user")).agg(F.min("_order").alias("_first"))
+    # ``to`` lies 2^i links ahead, ``reached`` marks the first 2^i grants of every chain. A grant
+    # that is never revoked, or not followed by another, ends its chain and leads nowhere.
     hops = materialize(
-        grants.filter("_end is not null")
-        .select(F.col("event_id").alias("from"), F.col("_end.event_id").alias("_end_id"))
-        .join(after_end.filter("to is not null"), "_end_id").select("from", "to"),
-        "ledger-hops")
-    reached = materialize(grants.groupBy("user_id").agg(F.min(at).alias("_first"))
-                          .select(F.col("_first.event_id").alias("event_id")), "ledger-reached")
-    while True:
-        # ``hops`` jumps 2^i links, ``reached`` holds the first 2^i grants of every chain.
-        more = materialize(
-            reached.join(hops, reached["event_id"] == hops["from"])
-            .select(F.col("to").alias("event_id")).join(reached, "event_id", "left_anti"),
-            "ledger-more")
-        if more.isEmpty():
-            break
-        reached = materialize(reached.unionByName(more), "ledger-reached")
-        far = hops.select(F.col("from").alias("to"), F.col("to").alias("_far"))
-        hops = materialize(hops.join(far, "to").select("from", F.col("_far").alias("to")),
-                           "ledger-hops")
+        grants.select("user_id", F.col("event_id").alias("at"), F.col("_end.event_id").alias("_end_id"))
+        .join(after_end, "_end_id", "left")
+        .join(first.select("_user", F.col("_first.event_id").alias("_first_id")),
+              F.col("user_id") == F.col("_user"))
+        .select("at", "to", (F.col("at") == F.col("_first_id")).alias("reached")), "ledger-hops")
+    while not hops.filter("reached and to is not null").isEmpty():
+        far = hops.select(F.col("at").alias("to"), F.col("to").alias("_far"))
+        met = hops.filter("reached and to is not null").select(
+            F.col("to").alias("at"), F.lit(True).alias("_met")).distinct()
+        hops = materialize(
+            hops.join(far, "to", "left").join(met, "at", "left")
+            .select("at", F.col("_far").alias("to"),
+                    (F.col("reached") | F.col("_met").isNotNull()).alias("reached")), "ledger-hops")
+    reached = hops.filter("reached").select(F.col("at").alias("event_id"))
+    revoked = F.col("revoked_on").isNotNull()
     return (grants.join(reached, "event_id", "left_semi")
             .select("user_id", "payment_id", F.col("event_id").alias("grant_event_id"),
                     F.col("ts").alias("granted_on"), F.col("_end.ts").alias("revoked_on"))
-            .withColumn("status", _status()).select(*COLUMNS))
-
-
-def _status():
-    return F.when(F.col("revoked_on").isNull(), "active").otherwise("revoked")
+            .withColumns({"status": F.when(revoked, "revoked").otherwise("active"),
+                          "code": F.lit(CODE),
+                          "reason": F.when(revoked, REVOKED).otherwise(GRANTED)}).select(*COLUMNS))

@@ -9,6 +9,7 @@ from recordflow.functions.jsonx import capture_fields
 from recordflow.functions.text import falsy_or
 from recordflow.operators.agg import entered_since, transitions
 from recordflow.operators.join import first_per_key, left_unique
+from recordflow.session import materialize
 
 # Event types and the payment status each leads to.
 COMPLETED = "PAYMENT.CAPTURE.COMPLETED"
@@ -16,6 +17,11 @@ DENIED = "PAYMENT.CAPTURE.DENIED"
 REFUNDED = "PAYMENT.CAPTURE.REFUNDED"
 STATUS_OF = {COMPLETED: "captured", DENIED: "failed", REFUNDED: "refunded"}
 
+# Notes left on a payment by the event that last changed it.
+EVENT_NOTES = {COMPLETED: "Marked captured from webhook.",
+               DENIED: "Capture denied webhook received.",
+               REFUNDED: "Refund webhook received."}
+
 # Notes left on a payment by a capture response.
 CAPTURED_NOTE = "Order captured successfully."
 NOT_COMPLETED_NOTE = "Capture returned non-completed status: "
@@ -61,14 +67,15 @@ def match_payments(events: DataFrame, payments: DataFrame, learn: bool = True) -
 
 
 def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
-                  learn: bool = True, matched: DataFrame | None = None,
-                  minutes: int = 60) -> DataFrame:
+                  learn: bool = True, matched: DataFrame | None = None) -> DataFrame:
     """Payments after all events, in (ts, event_id) order.
 
     A completion captures a payment that is not captured yet and sets ``paid_on``; a denial
     fails it; a refund refunds it and sets ``refunded_on``. A completion after a refund captures
     again; with ``strict`` a refunded payment takes no further events. Events without a payment
-    change nothing. ``matched`` are events matched before; ``minutes`` cuts long histories.
+    change nothing. Where payments have ``notes``, and ``provider_payload_json`` with events that
+    have ``payload``, the event that last changed a payment leaves its own. ``matched`` are events
+    matched before.
     """
     hits = match_payments(events, payments, learn) if matched is None else matched
     hits = hits.filter(F.col("payment_id").isNotNull())
@@ -79,17 +86,23 @@ def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
         over = payments.filter("status = 'refunded'").select(F.col("id").alias("payment_id"))
         hits = (hits.join(over, "payment_id", "left_anti").join(ends, "payment_id", "left")
                 .filter(F.col("_end").isNull() | (at <= F.col("_end"))))
-    state = F.lit(None).cast("string")
-    for kind, status in STATUS_OF.items():
-        state = F.when(F.col("event_type") == kind, F.lit(status)).otherwise(state)
-    # Largest refund time, and the first completion's capture id (by the least time, negated).
     kind = F.col("event_type")
+    payloads = "payload" in hits.columns and "provider_payload_json" in payments.columns
+    # What follows reads the events several times; they are matched once.
+    hits = materialize(hits.select("payment_id", "ts", "event_id", "event_type", "capture_id",
+                                   *(["payload"] if payloads else [])), "payment-events")
+    state, note = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, status in STATUS_OF.items():
+        state = F.when(kind == name, F.lit(status)).otherwise(state)
+        note = F.when(kind == name, F.lit(EVENT_NOTES[name])).otherwise(note)
+    # Largest refund time, and the first completion's capture id (by the least time, negated).
     moves = transitions(
         hits.withColumn("_status", state), "payment_id", "ts", "event_id", "_status", "captured",
         extras={"_refunded": F.when(kind == REFUNDED, F.col("ts")),
                 "_capture": F.when(kind == COMPLETED, F.struct(
                     (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"),
-                    (-F.col("event_id")).alias("i"), "capture_id"))}, minutes=minutes)
+                    (-F.col("event_id")).alias("i"), "capture_id"))},
+        carry={"note": note, **({"payload": F.col("payload")} if payloads else {})})
     after = moves.withColumnRenamed("payment_id", "id")
     values = {
         "status": F.coalesce("last_state", F.col("status")),
@@ -99,14 +112,26 @@ def payment_state(events: DataFrame, payments: DataFrame, strict: bool = False,
     if learn:
         values["provider_capture_id"] = F.coalesce(F.col("provider_capture_id"),
                                                    F.col("_capture.capture_id"))
+    # Completions of a captured payment change nothing, so its last change is the last entry:
+    # a later event's, or else the first event's, unless the payment was captured before all.
+    was = F.coalesce(F.col("status") == "captured", F.lit(False))
+    changed = (F.when(F.col("last_state") != "captured", F.col("last"))
+               .when(F.col("entered").isNotNull(), F.col("entered"))
+               .when((F.col("first_state") == "captured") & ~was, F.col("first")))
+    if "notes" in payments.columns:
+        values["notes"] = F.coalesce(changed["note"], F.col("notes"))
+    if payloads:
+        values["provider_payload_json"] = F.coalesce(changed["payload"],
+                                                     F.col("provider_payload_json"))
     return payments.join(after, "id", "left").select(
         *[values[c].alias(c) if c in values else F.col(c) for c in payments.columns])
 
 
-def classify_actions(events: DataFrame, payments: DataFrame, learn: bool = True) -> DataFrame:
+def classify_actions(events: DataFrame, payments: DataFrame, learn: bool = True,
+                     matched: DataFrame | None = None) -> DataFrame:
     """What each event led to: (event_id, ok, action, reason)."""
     kind = F.col("event_type")
-    hit = match_payments(events, payments, learn)
+    hit = match_payments(events, payments, learn) if matched is None else matched
     completed = kind == COMPLETED
     lost = F.when(F.col("capture_id").isNull(), "missing_capture_id").when(
         F.col("payment_id").isNull(), "payment_not_found")

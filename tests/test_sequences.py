@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordflow.operators import agg, number, slugs
-from recordflow.streaming.entitlements import entitlement_ledger
+from recordflow.streaming.entitlements import CODE, GRANTED, REVOKED, entitlement_ledger
 
 START = datetime(2024, 1, 1)
 
@@ -25,14 +25,19 @@ def test_numbered_and_running_sum_across_blocks(spark):
     assert [r["n"] for r in everyone] == list(range(1, 201))
 
 
-def test_next_match_across_chunks(spark):
+@pytest.mark.parametrize("moments", [200, 1])
+def test_next_match_across_parts(spark, monkeypatch, moments):
     rng = random.Random(2)
-    data = [(rng.choice("ab"), i, rng.random() < 0.2) for i in range(200)]
-    df = spark.createDataFrame(data, "k string, i long, hit boolean")
-    got = number.next_match(df, ["k"], F.floor(F.col("i") / 10), F.col("i"), F.col("hit"), "nxt")
-    for r in got.collect():
-        later = [i for k, i, hit in data if k == r["k"] and hit and i > r["i"]]
-        assert r["nxt"] == (min(later) if later else None)
+    data = [(rng.choice("aaab"), i % moments, i, rng.random() < 0.2) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t long, i long, hit boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = number.placed_by_range(df, ["k"], F.struct("t", "i"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # A key whose events all have one time is spread as well.
+    assert placed.where("k = 'a'").select("_part").distinct().count() > 1
+    for r in number.next_match(placed, ["k"], F.col("hit"), "nxt").collect():
+        later = [(t, i) for k, t, i, hit in data if k == r["k"] and hit and (t, i) > (r["t"], r["i"])]
+        assert (r["nxt"] and tuple(r["nxt"])) == (min(later) if later else None)
 
 
 def greedy(names, taken):
@@ -71,7 +76,7 @@ def test_transitions_equal_a_walk(spark):
     df = spark.createDataFrame(events, "id long, ts timestamp_ntz, k long, state string")
     before = F.when(F.col("k") == 1, "captured").otherwise("created")
     got = {r["k"]: (r["last_state"], r["at"]) for r in agg.transitions(
-        df, "k", "ts", "id", "state", "captured").withColumn(
+        df, "k", "ts", "id", "state", "captured", carry={"n": F.col("id")}).withColumn(
         "at", agg.entered_since(before, "captured")).collect()}
     for k in range(4):
         state, entered = ("captured" if k == 1 else "created"), None
@@ -89,10 +94,10 @@ def walk_ledger(events):
     for i, ts, user, kind, pay in sorted(events, key=lambda e: (e[1], e[0])):
         if kind == "grant" and user not in active:
             active[user] = len(out)
-            out.append([user, pay, i, ts, None, "active"])
+            out.append([user, pay, i, ts, None, "active", CODE, GRANTED])
         elif kind == "revoke" and user in active and out[active[user]][1] == pay:
             row = out[active.pop(user)]
-            row[4], row[5] = ts, "revoked"
+            row[4], row[5], row[7] = ts, "revoked", REVOKED
     return sorted(map(tuple, out), key=repr)
 
 
@@ -106,7 +111,29 @@ def test_ledger_equals_a_walk(spark, rows, seed, times):
     df = spark.createDataFrame(
         events * times,
         "event_id long, ts timestamp_ntz, user_id long, kind string, payment_id long")
-    assert rows(entitlement_ledger(df, minutes=30 + seed * 60)) == walk_ledger(events)
+    assert rows(entitlement_ledger(df)) == walk_ledger(events)
+
+
+def test_carried_columns_of_transitions(spark):
+    events = list(random_events(6))
+    df = spark.createDataFrame(events, "id long, ts timestamp_ntz, k long, state string")
+    got = {r["k"]: r for r in agg.transitions(df, "k", "ts", "id", "state", "captured",
+                                              carry={"n": F.col("id")}).collect()}
+    for k in range(4):
+        mine = [(i, s) for i, _, key, s in sorted(events, key=lambda e: (e[1], e[0])) if key == k]
+        entered = [i for (_, was), (i, s) in zip(mine, mine[1:]) if s == "captured" != was]
+        assert got[k]["first"]["n"] == mine[0][0] and got[k]["last"]["n"] == mine[-1][0]
+        assert got[k]["entered"]["n"] == entered[-1]
+
+
+def test_ledger_counts_events_without_an_id(spark, rows):
+    """Two users with one grant each, both without an event id, and one delivered twice."""
+    data = [(None, START, 1, "grant", 5), (None, START, 2, "grant", 6), (None, START, 2, "grant", 6),
+            (None, None, 3, "grant", 7), (None, START, None, "grant", 7)]
+    df = spark.createDataFrame(
+        data, "event_id long, ts timestamp_ntz, user_id long, kind string, payment_id long")
+    assert rows(entitlement_ledger(df), "user_id", "payment_id", "status") == [
+        (1, 5, "active"), (2, 6, "active")]
 
 
 def test_positions_of_sparse_ids(spark, rows):
