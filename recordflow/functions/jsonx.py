@@ -27,26 +27,29 @@ def json_or_empty(c, empty: str = "{}") -> Column:
     return F.when(text.isNull() | text.isin("{}", "[]"), F.lit(empty)).otherwise(text)
 
 
-def is_json(c) -> Column:
-    """True where the text is one well-formed JSON value (a literal null included).
+def _checked(value: Column, use) -> Column:
+    """``use(parsed, whole)``: the text parsed once as the first of two items of a list, and whether
+    it is one well-formed JSON value.
 
-    The parser stops after the first value and ignores what follows. Read once as the only item
-    of a list and once as the only member of an object, text with anything after its first
-    value breaks one of the two.
+    The parser stops after the first value and ignores what follows. The second item is a hash of
+    the text: where the text holds anything but one value, that item is not where it should be.
     """
-    value = _col(c)
-    as_item = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit("}")))
-    return as_item.isNotNull() & as_member.isNotNull()
+    mark = F.hex(F.xxhash64(value))
+    listed = F.try_parse_json(F.concat(F.lit("["), value, F.lit(',"'), mark, F.lit('"]')))
+    return bind(F.struct(listed.alias("doc"), mark.alias("mark")), lambda s: use(
+        s["doc"], F.coalesce(F.try_variant_get(s["doc"], "$[1]", "string") == s["mark"], F.lit(False))))
+
+
+def is_json(c) -> Column:
+    """True where the text is one well-formed JSON value (a literal null included)."""
+    return _checked(_col(c), lambda doc, whole: whole)
 
 
 def json_parse_or(c, ddl: str, default: Column | None = None) -> Column:
     """Parse to ``ddl``; empty or malformed text gives the default, a valid null stays NULL."""
-    value = _col(c)
     fallback = F.lit(None).cast(ddl) if default is None else default
-    is_null = F.btrim(value, F.lit(" \t\r\n")) == "null"
-    return F.when(~is_json(value) | value.isNull(), fallback).when(
-        ~is_null, F.from_json(value, ddl))
+    return _checked(_col(c), lambda doc, whole: F.when(
+        whole, F.try_variant_get(doc, "$[0]", ddl)).otherwise(fallback))
 
 
 def capture_fields(payload) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from recordflow.operators.number import numbered
 from recordflow.operators.select import active
 from recordflow.operators.slugs import dedupe_slugs, taken_slugs
 from recordflow.schemas import DEFAULTS, Edge
+from recordflow.session import materialize
 
 
 def _lit(value, like) -> Column:
@@ -134,30 +137,35 @@ def delete_cascade(tables: dict[str, DataFrame], edges: list[Edge], name: str,
     blocked = []
     for table in _parents_first(edges, name):
         df = out[table]
-        own_key = next((e.key for e in edges if e.parent == table), None)
+        # Children may point at different columns of one table; each is looked up by its own.
+        wanted = sorted({e.key for e in edges if e.parent == table})
         gone = F.lit(False)
         flags = []
         if table == name:
-            df = _marked(df, own_key or keys.columns[0], keys, "_own")
+            given = keys.columns[0]
+            own = given if given in df.columns or not wanted else wanted[0]
+            df = _marked(df, own, keys, "_own")
             gone, flags = F.col("_own"), ["_own"]
-        cleared = {}
+        cleared: dict[str, list[str]] = {}
         for i, edge in enumerate(e for e in edges if e.child == table and e.parent in doomed):
             flag = f"_e{i}"
-            df = _marked(df, edge.fk, doomed[edge.parent], flag)
+            df = _marked(df, edge.fk, doomed[edge.parent].select(edge.key), flag)
             flags.append(flag)
             if edge.on_delete == "cascade":
                 gone = gone | F.col(flag)
             elif edge.on_delete == "set_null":
-                cleared[edge.fk] = flag
+                cleared.setdefault(edge.fk, []).append(flag)
             else:
                 label = f"{edge.child}.{edge.fk}->{edge.parent}.{edge.key}"
                 blocked.append(df.filter(flag).agg(F.count(F.lit(1)).alias("n"))
                                .select(F.lit(label).alias("edge"), "n"))
-        if own_key is not None:
-            doomed[table] = df.filter(gone).select(own_key)
+        if wanted:
+            # Written once: the tables below start from these keys, not from the tables above.
+            doomed[table] = materialize(df.filter(gone).select(*wanted), "doomed")
         kept = df.filter(~gone)
-        for fk, flag in cleared.items():
-            kept = kept.withColumn(fk, F.when(~F.col(flag), F.col(fk)))
+        for fk, marks in cleared.items():
+            hit = reduce(Column.__or__, [F.col(m) for m in marks])
+            kept = kept.withColumn(fk, F.when(~hit, F.col(fk)))
         out[table] = kept.drop(*flags)
     report = None
     for part in blocked:

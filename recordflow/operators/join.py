@@ -34,22 +34,67 @@ def theta(df: DataFrame, other: DataFrame, predicate: str,
     return df.join(other, test)
 
 
-def band_join(df: DataFrame, point: str, bands: DataFrame, low: str, high: str,
-              width: float) -> DataFrame:
-    """Rows of ``df`` with every band that holds their point (low <= point < high).
+#: The span of all bands is cut into 2 to this power cells.
+CELL_BITS = 44
 
-    Both sides meet on point buckets of ``width``; a band is listed once per bucket it spans,
-    so choose a width near the usual band length.
-    """
 
-    def bucket(c) -> Column:
-        return F.floor(F.col(c) / F.lit(width))
+def _measure(df: DataFrame, column: str) -> Column:
+    """Numbers, dates and times as doubles in their order; NULL where not finite."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        c = F.datediff(c, F.lit("1970-01-01").cast("date"))
+    c = c.cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def _pieces(first: Column, last: Column) -> Column:
+    """(level, node) of the aligned stretches of 2^level cells that first..last falls into, at most
+    two a level."""
+    def at(level: Column) -> Column:
+        size = F.expr("1L").cast("bigint")
+        a = F.call_function("shiftright", first + F.call_function("shiftleft", size, level) - 1, level)
+        e = F.call_function("shiftright", last + 1, level)
+        left = F.when((a < e) & (a % 2 == 1), F.struct(level.alias("level"), a.alias("node")))
+        right = F.when((a < e) & (e % 2 == 1), F.struct(level.alias("level"), (e - 1).alias("node")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELL_BITS)), at))
 
-    listed = (bands.filter(F.col(low) < F.col(high))
-              .withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high)))))
-    return (df.withColumn("_bucket", bucket(point)).join(listed, "_bucket")
-            .filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
-            .drop("_bucket"))
+
+def band_join(df: DataFrame, point: str, bands: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows of ``df`` with every band that holds their point (low <= point < high).
+
+    The span of the bands is cut into fine cells, and a band into aligned stretches of 1, 2, 4, …
+    cells, at most two of each size. A point looks up the one stretch of each size it lies in, of
+    the sizes that occur. So wide and narrow bands cost alike, and one over the whole span is one
+    row. Bands without a low or high end have no points, nor do those that end where they begin.
+    """
+    real = bands.filter(F.col(low) < F.col(high))
+    ends = [_measure(bands, c) for c in (low, high)]
+    least, most = real.agg(F.min(F.least(*ends)), F.max(F.greatest(*ends))).first()
+    least = 0.0 if least is None else least
+    unit = ((most - least) if most is not None else 0.0) / (1 << CELL_BITS) or 1.0
+
+    def cell(side: DataFrame, column: str) -> Column:
+        # Grows with the column; ends that are not finite, or out of the span, go to its edges.
+        c = F.floor((_measure(side, column) - F.lit(least)) / F.lit(unit))
+        edge = F.when(F.col(column) < F.lit(0).cast(side.schema[column].dataType), 0).otherwise(
+            (1 << CELL_BITS) - 1) if isinstance(
+            side.schema[column].dataType, (T.FloatType, T.DoubleType)) else F.lit(0)
+        inside = F.greatest(F.lit(0), F.least(F.lit((1 << CELL_BITS) - 1), c))
+        return F.when(c.isNull(), edge).otherwise(inside).cast("bigint")
+
+    listed = real.withColumn("_at", F.explode(_pieces(cell(real, low), cell(real, high))))
+    levels = sorted(r[0] for r in listed.select("_at.level").distinct().collect())
+    probes = [F.struct(F.lit(n).alias("level"),
+                       F.shiftright(cell(df, point), n).alias("node")) for n in levels]
+    kind = "array<struct<level: int, node: bigint>>"
+    at = F.array(*probes).cast(kind)
+    return (df.filter(F.col(point).isNotNull()).withColumn("_at", F.explode(at))
+            .join(listed, "_at")
+            .filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_at"))
 
 
 class Hop(NamedTuple):
@@ -103,18 +148,33 @@ def linked(parent: DataFrame, key: str, child: DataFrame, fk: str,
         name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
 
 
+def _kids(key: str, child: DataFrame, fk: str, order: str, fields: list[str]) -> DataFrame:
+    kids = child.filter(F.col(fk).isNotNull()).select(
+        F.col(fk).alias(key), F.col(order).alias("_order"),
+        F.struct(*fields).alias("_child"))
+    return numbered(kids, [key], "_order", "_position")
+
+
+def child_rows(parent: DataFrame, key: str, child: DataFrame, fk: str, order: str,
+               fields: list[str], name: str = "child") -> DataFrame:
+    """Every parent once per child: its columns, ``position`` 1, 2, 3, … in order of ``order``, a
+    unique integer column of the child, and the child's ``fields`` as a struct. A parent without
+    children has one row, with both NULL. The grain is the same however many children there are.
+    """
+    kids = _kids(key, child, fk, order, fields).select(
+        key, F.col("_position").alias("position"), F.col("_child").alias(name))
+    return parent.join(kids, key, "left")
+
+
 def with_children(parent: DataFrame, key: str, child: DataFrame, fk: str, order: str,
-                  fields: list[str], name: str = "children", per_part: int = 10_000) -> DataFrame:
-    """Every parent with its children as an ordered array of structs.
+                  fields: list[str], per_part: int, name: str = "children") -> DataFrame:
+    """Every parent with its children as ordered arrays of structs, for readers that want arrays.
 
     An array holds at most ``per_part`` children; a parent with more gets several rows,
-    ``part`` 0, 1, 2, …, so no child is dropped and no array grows with the table. ``order``
-    is a unique integer column of the child.
+    ``part`` 0, 1, 2, …, so no child is dropped and no array grows with the table. For one row per
+    child see :func:`child_rows`.
     """
-    kids = child.filter(F.col(fk).isNotNull()).select(
-        F.col(fk).alias(key), F.col(order).alias("_order"),
-        F.struct(*fields).alias("_child"))
-    placed = numbered(kids, [key], "_order", "_position").withColumn(
+    placed = _kids(key, child, fk, order, fields).withColumn(
         "part", F.floor((F.col("_position") - 1) / per_part))
     item = F.struct("_position", "_child")
     arrays = placed.groupBy(key, "part").agg(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordflow.session import materialize
+
 
 class NotFound(LookupError):
     """No row has the requested key."""
@@ -78,10 +80,42 @@ def first_row(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def page(df: DataFrame, cols: list[str], start: int = 0, step: int = 100) -> DataFrame:
-    """Rows [start, start + step) in this order. For deep pages prefer :func:`page_after`."""
+    """Rows [start, start + step) in this order. Deep pages are read through
+    :class:`Paged`, or by key with :func:`page_after`."""
     return df.orderBy(*order_columns(cols)).offset(start).limit(step)
 
 
+class Paged:
+    """A table written once in some order, of which any page can be read.
+
+    The rows are dealt out by ranges of the order, one folder to a range, and counted per range. A
+    page reads the ranges it lies in and nothing else, however deep; all that reaches the driver
+    is one number per range. End the order with a key so that equal rows have a fixed place.
+    """
+
+    def __init__(self, df: DataFrame, cols: list[str]):
+        self.cols, self.names = order_columns(cols), df.columns
+        dealt = df.repartitionByRange(*self.cols).withColumn("_range", F.spark_partition_id())
+        self.rows = materialize(dealt, "paged", by=["_range"])
+        counts = dict(self.rows.groupBy("_range").count().collect())
+        self.counts = sorted(counts.items())
+        self.total = sum(counts.values())
+
+    def page(self, start: int = 0, step: int = 100) -> DataFrame:
+        """Rows [start, start + step)."""
+        before, wanted, skipped = 0, [], 0
+        for number, n in self.counts:
+            if before < start + step and before + n > start:
+                skipped = skipped if wanted else before
+                wanted.append(number)
+            before += n
+        held = self.rows.filter(F.col("_range").isin(wanted)).select(*self.names)
+        return held.orderBy(*self.cols).offset(max(start - skipped, 0)).limit(step)
+
+    def info(self, start: int = 0, step: int = 100) -> dict:
+        return {"total": self.total, "has_previous": start > 0, "has_next": self.total > start + step}
+
+
 def page_after(df: DataFrame, key: str, last=None, step: int = 100) -> DataFrame:
     """Next page by key: reads only what lies behind ``last``, however deep."""
     rest = df if last is None else df.filter(F.col(key) > last)

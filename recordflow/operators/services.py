@@ -23,6 +23,7 @@ from recordflow.operators.join import left_unique, with_children
 from recordflow.operators.select import active
 from recordflow.operators.slugs import dedupe_slugs, taken_slugs
 from recordflow.schemas import DEFAULTS
+from recordflow.session import materialize
 
 # Fixed value: the text of a scenario created without one.
 NEW_SCENARIO = 'TEST "New scenario"\nFIN'
@@ -83,15 +84,17 @@ def _no_access() -> Column:
 def _doubled(candidates: DataFrame, existing: DataFrame, keys: list[str],
              own: str | None = None) -> DataFrame:
     """Candidates with a ``duplicate`` verdict where an active row (other than ``own``) or an
-    earlier candidate has the name."""
+    earlier candidate (for another row than ``own``) has the name."""
     ids = active(existing).groupBy(*keys).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
-    first = candidates.groupBy(*keys).agg(F.min("request_id").alias("_first"))
+    who = F.col("request_id") if own is None else F.col(own)
+    first = candidates.groupBy(*keys).agg(F.min_by(who, "request_id").alias("_first"))
     verdict = first.join(ids, keys, "left")
     marked = left_unique(candidates, verdict, [(k, k) for k in keys], ["_first", "_lo", "_hi"])
     held = F.col("_lo").isNotNull()
     if own is not None:
         held = held & ~((F.col("_lo") == F.col(own)) & (F.col("_hi") == F.col(own)))
-    broken = held | (F.col("_first") != F.col("request_id"))
+    # Whoever asks first gets the name; its row may ask for it again.
+    broken = held | (F.col("_first") != who)
     return _check(marked, [("name", broken, "duplicate")]).drop("_first", "_lo", "_hi")
 
 
@@ -149,7 +152,8 @@ def create_projects(requests: DataFrame, projects: DataFrame, now, start_id: int
 def update_projects(requests: DataFrame, projects: DataFrame, now,
                     taken: str = "all") -> Outcome:
     """Requests: project_id and the settings to change, NULL for those to keep. A new name
-    brings a new slug; the slugs of renamed projects are free for the batch."""
+    brings a new slug, in order of the requests that won. Slugs held before the batch stay held
+    until it is done; a project's own one is free for itself."""
     fields = [c for c in ("name", "description", "base_url", "default_browser", "headed",
                           "retries", "timeout_ms", "trace_mode", "status")
               if c in requests.columns]
@@ -171,15 +175,38 @@ def update_projects(requests: DataFrame, projects: DataFrame, now,
         return Outcome(after, _rejected(checked))
 
     renamed = (accepted.filter("name IS NOT NULL").groupBy(F.col("project_id").alias("id")).agg(
-        F.max_by("name", "request_id").alias("_name")))
-    slugs = renamed.select("id", slugify("_name", "id").alias("_want"))
-    others = taken_slugs(projects.join(renamed.select("id"), "id", "left_anti"), taken=taken)
-    given = dedupe_slugs(slugs, "_want", "id", others, "_slug").select("id", "_slug")
+        F.max_by("name", "request_id").alias("_name"), F.max("request_id").alias("_at")))
+    slugs = materialize(renamed.select("id", "_at", slugify("_name", "id").alias("_want")), "renamed")
+    held = taken_slugs(projects, taken=taken)
+    kept = _own_slugs(slugs, projects, held)
+    fresh = slugs.join(kept.select("id"), "id", "left_anti")
+    given = dedupe_slugs(fresh.select("_want", "_at"), "_want", "_at", held, "_slug")
+    given = fresh.join(given.select("_at", "_slug"), "_at").select("id", "_slug").unionByName(kept)
     after = left_unique(after, given, [("id", "id")], ["_slug"])
     after = after.withColumn("slug", F.coalesce("_slug", F.col("slug"))).drop("_slug")
     return Outcome(after.select(*projects.columns), _rejected(checked))
 
 
+def _own_slugs(slugs: DataFrame, projects: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, _slug) of projects whose own slug is the first of s, s-2, s-3, … that nobody else holds."""
+    def number(slug, want):
+        rest = F.substr(slug, F.length(want) + 2)
+        return F.when(slug == want, F.lit(1)).when(
+            F.startswith(slug, F.concat(want, F.lit("-"))) & rest.rlike("^[1-9][0-9]{0,17}$")
+            & (rest != "1"), rest.try_cast("bigint"))
+
+    own = slugs.join(projects.select("id", "slug"), "id").withColumn(
+        "_n", number(F.col("slug"), F.col("_want"))).filter("_n IS NOT NULL")
+    # Held slugs by the name they may be a suffix of: themselves, and without their last number.
+    family = held.select(F.explode(F.array_distinct(F.array(
+        F.col("slug"), F.regexp_replace("slug", "-[1-9][0-9]{0,17}$", "")))).alias("_want"),
+        F.col("slug").alias("_other")).withColumn("_k", number(F.col("_other"), F.col("_want")))
+    smaller = (own.select("id", "_want", "_n").join(family, "_want").filter("_k < _n")
+               .groupBy("id").agg(F.count("*").alias("_below")))
+    return (own.join(smaller, "id", "left").filter("coalesce(_below, 0) = _n - 1")
+            .select("id", F.col("slug").alias("_slug")))
+
+
 def create_pages(requests: DataFrame, pages: DataFrame, projects: DataFrame, now,
                  start_id: int) -> Outcome:
     """Requests: project_id, name, and any of route, notes, sort_order."""
@@ -341,11 +368,12 @@ def save_scenarios(requests: DataFrame, scenarios: DataFrame, projects: DataFram
                    _rejected(checked))
 
 
-def run_payloads(runs: DataFrame, artifacts: DataFrame, per_part: int = 10_000) -> DataFrame:
-    """Runs with their parsed JSON texts and their active artifacts in order of id."""
+def run_payloads(runs: DataFrame, artifacts: DataFrame, per_part: int) -> DataFrame:
+    """Runs with their parsed JSON texts and their active artifacts in order of id, at most
+    ``per_part`` of them in a row."""
     fields = ["id", "artifact_type", "file_path", "file_name", "mime_type", "size_bytes"]
     nested = with_children(runs, "id", active(artifacts).withColumn("_order", F.col("id")),
-                           "run_id", "_order", fields, "artifacts", per_part)
+                           "run_id", "_order", fields, per_part, "artifacts")
     empty = F.create_map().cast("map<string,string>")
     return nested.withColumns({
         "runtime_snapshot": json_parse_or("runtime_snapshot_json", "map<string,string>", empty),

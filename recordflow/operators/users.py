@@ -20,9 +20,10 @@ def _last(column: str, order: list[str], where=None):
 
 
 def _collapse(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key: the last values, and the last non-empty names."""
+    """One row per key: the first address, the last other values, and the last non-empty names."""
+    first = [] if key == "email" else [F.min_by("email", F.struct(*order)).alias("email")]
     return df.groupBy(key).agg(
-        *[_last(c, order) for c in ("sub", "email", "picture", *order) if c != key],
+        *first, *[_last(c, order) for c in ("sub", "picture", *order) if c != key],
         _last("given_name", order, F.col("given_name") != ""),
         _last("family_name", order, F.col("family_name") != ""))
 
@@ -35,7 +36,7 @@ def upsert_users(users: DataFrame, src: DataFrame, order: list[str], now,
     a subject and a verified address; it meets a user by subject, else by address. Users that
     are blocked, revoked or refunded are not touched. Rows of one batch meet the table as it
     was before; those that reach one user collapse to the last row, empty names keeping the
-    earlier ones. New users get the keys after ``start_id``, in order of the first order column,
+    earlier ones and the address being the first. New users get the keys after ``start_id``, in order of the first order column,
     a unique integer.
     """
     cleaned = src.withColumns({

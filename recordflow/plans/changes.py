@@ -30,11 +30,9 @@ def insert_rows(t):
 
 
 @query("assign_ids", """
-    SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders
-    WHERE o_orderstatus = 'F'""")
+    SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders""")
 def assign_ids(t):
-    return change.assign_ids(t.orders.filter("o_orderstatus = 'F'").select("o_orderkey"),
-                             "o_orderkey", 1000)
+    return change.assign_ids(t.orders.select("o_orderkey"), "o_orderkey", 1000)
 
 
 @query("patch_rows", """

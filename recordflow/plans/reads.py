@@ -105,6 +105,12 @@ def page_of_rows(t):
     return select.page(t.orders, ["-o_orderdate", "o_orderkey"], start=300)
 
 
+@query("page_deep", """
+    SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 1200""")
+def page_deep(t):
+    return select.Paged(t.orders, ["-o_orderdate", "o_orderkey"]).page(1200)
+
+
 @query("page_after_key", "SELECT * FROM orders WHERE o_orderkey > 400 ORDER BY 1 LIMIT 100")
 def page_after_key(t):
     return select.page_after(t.orders, "o_orderkey", 400)
@@ -140,7 +146,7 @@ def theta_join(t):
 def theta_join_small(t):
     bands = t.region.select("r_regionkey", (F.col("r_regionkey") * 2000).alias("low"),
                             (F.col("r_regionkey") * 2000 + 2500).alias("high"))
-    return join.band_join(t.supplier, "s_acctbal", bands, "low", "high", 2500.0).select(
+    return join.band_join(t.supplier, "s_acctbal", bands, "low", "high").select(
         "s_suppkey", "r_regionkey")
 
 
@@ -150,7 +156,7 @@ def theta_join_small(t):
 def band_join(t):
     bands = t.nation.select("n_nationkey", (F.col("n_nationkey") * 20000).alias("low"),
                             (F.col("n_nationkey") * 20000 + 30000).alias("high"))
-    return join.band_join(t.orders, "o_totalprice", bands, "low", "high", 20000.0).select(
+    return join.band_join(t.orders, "o_totalprice", bands, "low", "high").select(
         "o_orderkey", "n_nationkey")
 
 
@@ -238,6 +244,31 @@ def with_children(t):
     return nested.select("c_custkey", "part", text.alias("orders"))
 
 
+@query("child_rows", """
+    SELECT c_custkey, CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (
+               PARTITION BY o_custkey ORDER BY o_orderkey) END AS position, o_orderkey, o_orderstatus
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey""")
+def child_rows(t):
+    rows = join.child_rows(t.customer.select("c_custkey"), "c_custkey", t.orders, "o_custkey",
+                           "o_orderkey", ["o_orderkey", "o_orderstatus"])
+    return rows.select("c_custkey", "position", "child.*")
+
+
+@query("band_join_uneven", """
+    WITH bands AS (SELECT 0 AS band, 0.0 AS low, 1e9 AS high
+        UNION ALL SELECT c_custkey + 1, c_custkey * 300.0, c_custkey * 300.0 + 1 + c_custkey % 900
+        FROM customer)
+    SELECT o_orderkey, band FROM orders JOIN bands ON o_totalprice >= low AND o_totalprice < high""")
+def band_join_uneven(t):
+    """One band over everything beside many narrow ones."""
+    low = F.col("c_custkey") * 300.0
+    bands = t.customer.select((F.col("c_custkey") + 1).alias("band"), low.alias("low"),
+                              (low + 1 + F.col("c_custkey") % 900).alias("high"))
+    wide = t.spark.sql("SELECT 0L AS band, 0D AS low, 1e9D AS high")
+    return join.band_join(t.orders, "o_totalprice", wide.unionByName(bands), "low", "high").select(
+        "o_orderkey", "band")
+
+
 def key_number(column="props"):
     """The number in an event's properties."""
     return F.get_json_object(column, "$.k").cast("bigint")

@@ -130,6 +130,27 @@ def event_stream(t):
     return t.spark.read.schema(schema_of("events")).parquet(out).drop("batch")
 
 
+@query("page_artifacts", r"""
+    WITH f AS (SELECT page_id, url, length(html) AS size, regexp_extract(url, '[^/]*$') AS name
+               FROM pages),
+    e AS (SELECT *, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '[^.]*$')) END AS ext
+          FROM f)
+    SELECT page_id, name AS file_name, url AS file_path,
+           CASE ext WHEN 'zip' THEN 'trace' WHEN 'png' THEN 'screenshot' WHEN 'jpg' THEN 'screenshot'
+                WHEN 'webm' THEN 'video' WHEN 'mp4' THEN 'video' WHEN 'out' THEN 'stdout'
+                WHEN 'err' THEN 'stderr' WHEN 'html' THEN 'report' WHEN 'pdf' THEN 'report'
+                ELSE 'other' END AS artifact_type,
+           CASE ext WHEN 'zip' THEN 'application/zip' WHEN 'png' THEN 'image/png'
+                WHEN 'jpg' THEN 'image/jpeg' WHEN 'webm' THEN 'video/webm' WHEN 'mp4' THEN 'video/mp4'
+                WHEN 'out' THEN 'text/plain' WHEN 'err' THEN 'text/plain' WHEN 'html' THEN 'text/html'
+                WHEN 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime_type,
+           coalesce(size, 0)::BIGINT AS size_bytes FROM e""")
+def page_artifacts(t):
+    """Web pages as artifacts, by what their address ends in."""
+    columns = sources.artifact_columns("url", F.length("html"))
+    return t.pages.select("page_id", *[c.alias(n) for n, c in columns.items()])
+
+
 @query("artifact_manifest")
 def artifact_manifest(t):
     return sources.artifact_manifest(t.spark, t.folder)

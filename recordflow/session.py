@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,10 +20,17 @@ SETTINGS = {
 }
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings the operators rely on; sizes stay as the cluster set them."""
+    """Pin the runtime settings the operators rely on; sizes stay as the cluster set them. Python
+    workers import the library by its path."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, paths]))
     return spark
 
 
@@ -44,8 +52,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/recordflow-{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str = "step", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: short lineage, survives lost executors.
+    With ``by``, a reader that asks for some values of these columns reads their folders only."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

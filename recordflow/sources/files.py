@@ -112,12 +112,13 @@ def ingest_messy(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return raw.select(*cells).dropna("all")
 
 
-def artifact_manifest(spark: SparkSession, folder: str, kinds: dict | None = None) -> DataFrame:
-    """One row per file below ``folder``: name, type, media type, size. Contents are not read;
-    files without any content are not listed by the source."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-             .select("path", "length"))
-    name = F.element_at(F.split("path", "/"), -1)
+def artifact_columns(path, size, kinds: dict | None = None) -> dict[str, Column]:
+    """Name, path, type, media type and size of a file, from columns with its path and size. The
+    name is what follows the last slash, and what follows its last dot tells the type; a NULL
+    size is 0."""
+    path = F.col(path) if isinstance(path, str) else path
+    size = F.col(size) if isinstance(size, str) else size
+    name = F.element_at(F.split(path, "/"), -1)
     ext = F.when(name.contains("."), F.lower(F.substring_index(name, ".", -1)))
     table = (kinds or ARTIFACT_KINDS).items()
 
@@ -125,10 +126,14 @@ def artifact_manifest(spark: SparkSession, folder: str, kinds: dict | None = Non
         return reduce(lambda rest, kind: F.when(ext == kind[0], kind[1][index]).otherwise(rest),
                       table, F.lit(other))
 
-    return files.select(
-        name.alias("file_name"),
-        F.col("path").alias("file_path"),
-        pick(0, "other").alias("artifact_type"),
-        pick(1, "application/octet-stream").alias("mime_type"),
-        F.coalesce("length", F.lit(0).cast("bigint")).alias("size_bytes"),
-    )
+    return {"file_name": name, "file_path": path, "artifact_type": pick(0, "other"),
+            "mime_type": pick(1, "application/octet-stream"),
+            "size_bytes": F.coalesce(size.cast("bigint"), F.lit(0).cast("bigint"))}
+
+
+def artifact_manifest(spark: SparkSession, folder: str, kinds: dict | None = None) -> DataFrame:
+    """One row per file below ``folder``: name, type, media type, size. Contents are not read;
+    files without any content are not listed by the source."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+             .select("path", "length"))
+    return files.select(*[c.alias(n) for n, c in artifact_columns("path", "length", kinds).items()])

@@ -63,6 +63,31 @@ def test_slugs_equal_greedy(spark, seed):
     assert [r["unique_slug"] for r in got] == greedy(names, taken)
 
 
+@pytest.mark.parametrize("fold", [3, 4096])
+def test_many_interleaved_rivals_equal_greedy(spark, fold):
+    """Owners of a-2 to a-400 and rows of a in random order; every walk crosses many cuts."""
+    rng = random.Random(fold)
+    names = ["a"] * 300 + [f"a-{k}" for k in range(2, 400)] + ["a-7-2", "a-7-3", "a-7"] * 5
+    rng.shuffle(names)
+    df = spark.createDataFrame(list(enumerate(names)), "i long, slug string")
+    got = slugs.dedupe_slugs(df, "slug", "i", spark.createDataFrame([("a-9",)], "slug string"),
+                             block=64, fold=fold).orderBy("i").collect()
+    assert [r["unique_slug"] for r in got] == greedy(names, ["a-9"])
+
+
+def test_composed_steps_equal_single_ones():
+    rng = random.Random(8)
+    for _ in range(200):
+        limits = [rng.randint(-3, 25) for _ in range(rng.randint(0, 20))]
+        one = slugs.composed(limits)
+        assert one == sorted(one)
+        for start in range(-2, 30):
+            h = start
+            for t in limits:
+                h += h < t
+            assert h == start + sum(v > start for v in one)
+
+
 def random_events(seed, n=300, users=4):
     rng = random.Random(seed)
     at = START

@@ -167,7 +167,7 @@ def test_scenarios(spark, app, rows):
 
 def test_run_payloads(app):
     got = {r["id"]: r for r in services.run_payloads(
-        app["scenario_run"], app["run_artifact"]).collect()}
+        app["scenario_run"], app["run_artifact"], per_part=100).collect()}
     assert [a["file_name"] for a in got[1]["artifacts"]] == ["a", "b"]
     assert got[1]["runtime_snapshot"] == {"os": "linux"} and got[1]["result_summary"] == {}
     assert got[2]["artifacts"] == [] and got[2]["runtime_snapshot"] == {}
