@@ -55,5 +55,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"_{name}".lower() in held:
+            name += "_"
+        out.append(f"_{name}")
+    return out
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()

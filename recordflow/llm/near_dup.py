@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.llm import golay
-from recordflow.llm.common import stored, whole
+from recordflow.llm.common import stored, unused, whole
 from recordflow.llm.graph import components
 
 # Fixed value: the seed of the shingle hashes.
@@ -33,6 +33,8 @@ CROWD = 4
 SHINGLES_AT_ONCE = 1 << 14
 #: Members of a set whose values under all hash functions are made at a time.
 ITEMS_AT_ONCE = 1 << 10
+#: Leaders are drawn as long as a round links one row in so many.
+FEW_LINKS = 50
 #: Fingerprints whose keys are made at a time.
 FINGERPRINTS_AT_ONCE = 1000
 #: The filters of crowded keys and of wanted sets have 2 to this power bits.
@@ -430,6 +432,43 @@ def _star(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def _mixed_keys(rest: DataFrame) -> DataFrame:
+    """Rows of the keys that hold several roots."""
+    mixed = (rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("lo != hi").select("key"))
+    return stored(rest.select("key", "node", "root").join(mixed, "key", "left_semi"), "near-mixed")
+
+
+def _led(rest: DataFrame, roots: DataFrame, scheme: Sets,
+         items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rest, roots) after rounds of leaders.
+
+    In every round each key has a leader, drawn by hash from the rows outside of the key's largest
+    class, and all rows of other classes are compared with it: as many comparisons as rows, and as
+    many links at most. Dense groups are tied in a few rounds. When a round ties few of the rows,
+    those left are hardly alike, and comparing them pair by pair lists few links.
+    """
+    turn = 0
+    while (size := rest.count()):
+        turn += 1
+        largest = (rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+                   .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("_largest")))
+        leaders = (rest.join(largest, "key").where("root != _largest").groupBy("key")
+                   .agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("_l"))
+                   .select("key", F.col("_l.node").alias("lead"), F.col("_l.root").alias("lead_root")))
+        pairs = (rest.join(leaders, "key").where("root != lead_root")
+                 .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+        links = stored(pairs.join(items.toDF("a", "_sa"), "a").join(items.toDF("b", "_sb"), "b")
+                       .where(scheme.alike("_sa", "_sb")).select("a", "b"), "near-led")
+        found = links.count()
+        if found:
+            roots = stored(components(_star(roots).unionAll(links)), "near-classes")
+            rest = _mixed_keys(_rooted(rest.select("key", "node"), roots))
+        if found * FEW_LINKS < size:
+            break
+    return rest, roots
+
+
 def classes(nodes: DataFrame, scheme: Scheme | Sets = EXACT, sets=None) -> DataFrame:
     """(node, root) of nodes (node, fp) that link to others, root being the smallest of its class.
     For ``Sets``, ``sets`` gives (node, items) of a table of nodes.
@@ -454,10 +493,10 @@ def classes(nodes: DataFrame, scheme: Scheme | Sets = EXACT, sets=None) -> DataF
     crowded = found.where("key is not null").select("key")
     rest = stored(_crowded_rows(_rooted(nodes, roots), scheme, crowded), "near-crowded")
     if isinstance(scheme, Sets):
-        mixed = (rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                 .where("lo != hi").select("key"))
-        rest = stored(rest.drop("fp").join(mixed, "key", "left_semi"), "near-mixed")
-        rest = rest.join(sets(rest.select("node")), "node").select("key", "node", "root", "items")
+        rest = _mixed_keys(rest.drop("fp"))
+        items = sets(rest.select("node"))
+        rest, roots = _led(rest, roots, scheme, items)
+        rest = rest.join(items, "node").select("key", "node", "root", "items")
         close = scheme.alike("_fa", "_fb")
     else:
         close = _differing("_fa", "_fb", scheme) <= scheme.radius
@@ -502,19 +541,20 @@ def keep_one(docs: DataFrame, scheme: Scheme | Sets, doc_id: str = "doc_id",
     labelled = stored(label(docs, scheme, doc_id, text), "near-labels")
     odd = (labelled.groupBy("doc_id").agg(F.count("*").alias("n"))
            .where("n > 1 or doc_id is null").select("doc_id"))
+    gone_id, odd_id, fp, c = unused(docs, "gone", "odd", "fp", "component")
     gone = (labelled.where("doc_id != component_id").select("doc_id").distinct()
-            .withColumnRenamed("doc_id", "_gone"))
+            .withColumnRenamed("doc_id", gone_id))
     if not odd.limit(1).count():  # the usual case: an id tells which row
-        return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    several = odd.where("doc_id is not null").withColumnRenamed("doc_id", "_odd")
+        return docs.join(gone, F.col(doc_id) == F.col(gone_id), "left_anti")
+    several = odd.where("doc_id is not null").withColumnRenamed("doc_id", odd_id)
     single = (docs.where(F.col(doc_id).isNotNull())
-              .join(several, F.col(doc_id) == F.col("_odd"), "left_anti")
-              .join(gone, F.col(doc_id) == F.col("_gone"), "left_anti"))
+              .join(several, F.col(doc_id) == F.col(odd_id), "left_anti")
+              .join(gone, F.col(doc_id) == F.col(gone_id), "left_anti"))
     others = docs.where(F.col(doc_id).isNull()).unionAll(
-        docs.join(several, F.col(doc_id) == F.col("_odd"), "left_semi"))
-    known = labelled.select(F.col("fp").alias("_fp"), F.col("component_id").alias("_c")).distinct()
-    others = fingerprints(others, scheme, text, "_fp").join(known, "_fp")
-    owned = others.where(F.col(doc_id) == F.col("_c")).dropDuplicates(["_c"])
-    void = others.where(F.col("_c").isNull()).dropDuplicates(["_fp"])
-    return (single.unionByName(owned.drop("_fp", "_c")).unionByName(void.drop("_fp", "_c"))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+        docs.join(several, F.col(doc_id) == F.col(odd_id), "left_semi"))
+    known = labelled.select(F.col("fp").alias(fp), F.col("component_id").alias(c)).distinct()
+    others = fingerprints(others, scheme, text, fp).join(known, fp)
+    owned = others.where(F.col(doc_id) == F.col(c)).dropDuplicates([c])
+    void = others.where(F.col(c).isNull()).dropDuplicates([fp])
+    return (single.unionByName(owned.drop(fp, c)).unionByName(void.drop(fp, c))
+            .select(*[F.col(f"`{name}`") for name in docs.columns]))

@@ -214,3 +214,45 @@ def test_components(spark):
     got = graph.components(df).collect()
     assert {r.node: r.root for r in got} == {n: top(n) for n in at} and len(got) == len(at)
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_a_crowded_key_of_sets_that_hardly_link(spark, rows, monkeypatch):
+    """Many sets under one min-hash key, a chain of links among them and most of them alone: every
+    link is found, and rounds of leaders don't lose any."""
+    rng = random.Random(11)
+    common = list(range(60))
+    sets = [set(common + [1000 * i + j for j in range(40)]) for i in range(300)]
+    for i in range(0, 60, 3):  # chains: neighbours are alike, ends need not be
+        step = sorted(sets[i])
+        sets[i + 1] = set(step[6:] + [9_000_000 + 1000 * i + j for j in range(6)])
+        sets[i + 2] = set(sorted(sets[i + 1])[6:] + [8_000_000 + 1000 * i + j for j in range(6)])
+    scheme = N.similar(0.8, bands=2, rows=1)
+    fps = [[i + 1, len(s), 77, 78] for i, s in enumerate(sets)]  # all share both keys
+    nodes = spark.createDataFrame([(fp[0], fp) for fp in fps], "node bigint, fp array<bigint>")
+    items = spark.createDataFrame([(i + 1, sorted(s)) for i, s in enumerate(sets)],
+                                  "node bigint, items array<bigint>")
+    got = dict(N.classes(nodes, scheme, lambda wanted: items.join(
+        wanted.select("node").distinct(), "node", "left_semi")).collect())
+    parent = list(range(len(sets) + 1))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                x, y = sorted((top(i + 1), top(j + 1)))
+                parent[y] = x
+    want = {i: top(i) for i in range(1, len(sets) + 1)}
+    assert {i: got.get(i, i) for i in want} == want
+    assert len(set(want.values())) < len(sets)
+
+
+def test_clashing_names_stay(make_docs, rows):
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "x")],
+                     _gone="g", _odd="o", _fp="p", _component="c")
+    kept = N.keep_one(docs, N.similar(0.8))
+    assert set(kept.columns) == set(docs.columns)
+    assert rows(kept, "doc_id", "_gone", "_fp") == [(1, "g", "p"), (3, "g", "p")]
