@@ -33,8 +33,8 @@ CROWD = 4
 SHINGLES_AT_ONCE = 1 << 14
 #: Members of a set whose values under all hash functions are made at a time.
 ITEMS_AT_ONCE = 1 << 10
-#: Leaders are drawn as long as a round links one row in so many.
-FEW_LINKS = 50
+#: Leaders of a crowded key in one round.
+LEADERS = 8
 #: Fingerprints whose keys are made at a time.
 FINGERPRINTS_AT_ONCE = 1000
 #: The filters of crowded keys and of wanted sets have 2 to this power bits.
@@ -439,34 +439,45 @@ def _mixed_keys(rest: DataFrame) -> DataFrame:
     return stored(rest.select("key", "node", "root").join(mixed, "key", "left_semi"), "near-mixed")
 
 
-def _led(rest: DataFrame, roots: DataFrame, scheme: Sets,
-         items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rest, roots) after rounds of leaders.
+def _loose(rest: DataFrame) -> int:
+    """Rows outside of the largest class of their key."""
+    sizes = (rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+             .groupBy("key").agg((F.sum("n") - F.max("n")).alias("loose")))
+    return sizes.agg(F.coalesce(F.sum("loose"), F.lit(0))).first()[0]
 
-    In every round each key has a leader, drawn by hash from the rows outside of the key's largest
-    class, and all rows of other classes are compared with it: as many comparisons as rows, and as
-    many links at most. Dense groups are tied in a few rounds. When a round ties few of the rows,
-    those left are hardly alike, and comparing them pair by pair lists few links.
+
+def _led(rest: DataFrame, scheme: Sets, items: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rest, links) after rounds of leaders.
+
+    In every round each key has a few leaders, drawn by hash from its rows, and all rows of other
+    classes are compared with them: a few comparisons and links a row. Classes that a link joins go
+    on under the smallest of their names, so dense groups are tied in a few rounds. When a round
+    leaves most of the rows outside of their key's largest class where they were, those are hardly
+    alike, and comparing them pair by pair lists few links.
     """
-    turn = 0
-    while (size := rest.count()):
+    turn, every, loose = 0, None, _loose(rest)
+    while loose:
         turn += 1
-        largest = (rest.groupBy("key", "root").agg(F.count("*").alias("n"))
-                   .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("_largest")))
-        leaders = (rest.join(largest, "key").where("root != _largest").groupBy("key")
-                   .agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("_l"))
+        draw = F.xxhash64("node", F.lit(turn))
+        leaders = (rest.groupBy("key", F.pmod(draw, F.lit(LEADERS)).alias("slot"))
+                   .agg(F.min_by(F.struct("node", "root"), draw).alias("_l"))
                    .select("key", F.col("_l.node").alias("lead"), F.col("_l.root").alias("lead_root")))
         pairs = (rest.join(leaders, "key").where("root != lead_root")
-                 .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+                 .select(F.col("node").alias("a"), "root", F.col("lead").alias("b"), "lead_root")
+                 .distinct())
         links = stored(pairs.join(items.toDF("a", "_sa"), "a").join(items.toDF("b", "_sb"), "b")
-                       .where(scheme.alike("_sa", "_sb")).select("a", "b"), "near-led")
-        found = links.count()
-        if found:
-            roots = stored(components(_star(roots).unionAll(links)), "near-classes")
-            rest = _mixed_keys(_rooted(rest.select("key", "node"), roots))
-        if found * FEW_LINKS < size:
+                       .where(scheme.alike("_sa", "_sb")).select("a", "b", "root", "lead_root"),
+                       "near-led")
+        every = links.select("a", "b") if every is None else every.unionAll(links.select("a", "b"))
+        name = (links.select(F.greatest("root", "lead_root").alias("root"),
+                             F.least("root", "lead_root").alias("to"))
+                .groupBy("root").agg(F.min("to").alias("to")))
+        rest = _mixed_keys(rest.join(name, "root", "left").select(
+            "key", "node", F.coalesce("to", "root").alias("root")))
+        was, loose = loose, _loose(rest)
+        if 10 * loose > 9 * was:
             break
-    return rest, roots
+    return rest, every
 
 
 def classes(nodes: DataFrame, scheme: Scheme | Sets = EXACT, sets=None) -> DataFrame:
@@ -490,20 +501,27 @@ def classes(nodes: DataFrame, scheme: Scheme | Sets = EXACT, sets=None) -> DataF
         links = _verified(found.where("key is null"), scheme, sets)
         roots = stored(components(_star(roots).unionAll(links)), "near-classes")
 
+    led = None
     crowded = found.where("key is not null").select("key")
     rest = stored(_crowded_rows(_rooted(nodes, roots), scheme, crowded), "near-crowded")
     if isinstance(scheme, Sets):
         rest = _mixed_keys(rest.drop("fp"))
         items = sets(rest.select("node"))
-        rest, roots = _led(rest, roots, scheme, items)
-        rest = rest.join(items, "node").select("key", "node", "root", "items")
-        close = scheme.alike("_fa", "_fb")
+        rest, led = _led(rest, scheme, items)
+        # Two sets are compared under the smallest key they share: each knows all of its keys here.
+        keys = rest.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        rest = rest.join(keys, "node").join(items, "node").select(
+            "key", "node", "root", F.struct("keys", "items").alias("fp"))
+        common = F.array_min(F.array_intersect("_fa.keys", "_fb.keys"))
+        close = (common == F.col("key")) & scheme.alike("_fa.items", "_fb.items")
     else:
         close = _differing("_fa", "_fb", scheme) <= scheme.radius
     # The whole fingerprints or sets are compared in the join: what comes out are links.
     more = (rest.toDF("key", "a", "_ra", "_fa").join(rest.toDF("key", "b", "_rb", "_fb"), "key")
             .where((F.col("_ra") < F.col("_rb")) & close)
             .select("a", "b").distinct())
+    if led is not None:
+        more = more.unionAll(led)
     return components(_star(roots).unionAll(more))
 
 
