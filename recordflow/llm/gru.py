@@ -128,12 +128,14 @@ def _at_target(x: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def gradients(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, live: np.ndarray,
-              h: np.ndarray, sizes: Sizes) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+              h: np.ndarray, sizes: Sizes,
+              keep: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradients of the mean loss over the ``live`` targets of a stretch (steps, lanes), the state
-    after it, and the summed loss. Back-propagation ends where the stretch begins."""
+    after it, and the summed loss. Back-propagation ends where the stretch begins, and where
+    ``keep`` is 0, at the beginning of a text."""
     steps, lanes = symbols.shape
     n, trace = sizes.hidden, []
-    keep = np.ones(symbols.shape, FLOAT)
+    keep = np.ones(symbols.shape, FLOAT) if keep is None else keep.astype(FLOAT)
     out = states(w, symbols, keep, h, trace)
     flat_h, t, on = out.reshape(-1, n), target.ravel(), live.ravel()
     cls = class_of(t, sizes)
@@ -173,7 +175,7 @@ def gradients(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray,
         dx[s, :, :n], dx[s, :, n:2 * n], dx[s, :, 2 * n:] = dr, dz, dnew
         du = np.concatenate([dr, dz, dnew * r], axis=1)
         g["state"] += before.T @ du
-        back = dhs * z + du @ w["state"].T
+        back = (dhs * z + du @ w["state"].T) * keep[s][:, None]
     rows = dx.reshape(-1, 3 * n)
     g["state_bias"] += rows.sum(0)
     order = np.argsort(symbols.ravel(), kind="stable")

@@ -1,8 +1,9 @@
 """LM scoring: word counts of the whole corpus, a recurrent model trained on it, whole texts scored.
 
 Counts of all training words are an aggregate. The recurrent model is trained in every partition on
-a stretch of each training text and averaged, round by round. Scoring carries the state of a text
-from window to window, many texts side by side. Counts of frequent words travel with the model, a
+whole texts, window by window with the state carried on, and averaged; every text belongs to one of
+several rounds, so that what one partition has learned reaches the others. Scoring carries the
+state of a text from window to window in the same way, many texts side by side. Counts of frequent words travel with the model, a
 table of fixed size; those of rare words are joined.
 """
 
@@ -25,16 +26,16 @@ from recordflow.llm import gru
 from recordflow.llm.common import stored, whole
 
 #: Frequent symbols of the softmax, the end of a text among them, and spelling classes.
-HEADS, TAILS = 2400, 64
+HEADS, TAILS = 2400, 96
 #: Size of the state.
-HIDDEN = 24
+HIDDEN = 32
 #: Words whose counts travel with the model, and the longest of them in bytes.
 KNOWN, LONGEST = 200_000, 48
 #: Words counted in a worker before they are handed on.
 WORDS_AT_ONCE = 400_000
-#: Training: words taken of each text and round, back-propagation through so many, texts side by
-#: side, learning rate of each round.
-STRETCH, TRUNCATED, SIDE_BY_SIDE, RATES = 48, 24, 64, (0.12, 0.06)
+#: Training: tokens of a window, which back-propagation goes through, texts side by side, and the
+#: learning rate of each round; a text is learned from in one of the rounds, as its hash says.
+TRUNCATED, SIDE_BY_SIDE, RATES = 32, 128, (0.12, 0.1, 0.08, 0.06, 0.04)
 #: Scoring: tokens gone through together, texts side by side, steps whose outputs are made at once.
 TOKENS_AT_ONCE, LANES, WINDOW = 1_500_000, 256, 48
 #: Numbers of a model that travel in one row while models are averaged, and models per first group.
@@ -164,49 +165,63 @@ def learn_vocabulary(train: DataFrame, text: str = "text") -> tuple[Vocabulary,
 # -------------------------------------------------------------------- training
 
 
-def _stretch(vocabulary: Vocabulary, ws: list[bytes], at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets of ``STRETCH`` steps of a text from a place set by ``at``; -1 beyond.
-    The text has an end before its first word and after its last one."""
-    steps = len(ws) + 1
-    first = at % (steps - STRETCH + 1) if steps > STRETCH else 0
-    _, symbol, _ = vocabulary.encode(ws[max(first - 1, 0):first + STRETCH])
-    part = np.concatenate([[0] * (first == 0), symbol, [0] * (first + STRETCH >= steps)])
-    inputs = np.zeros(STRETCH, np.int64)
-    target = np.full(STRETCH, -1, np.int64)
-    inputs[:len(part) - 1], target[:len(part) - 1] = part[:-1], part[1:]
-    return inputs, target
+def windows(texts: Iterator[np.ndarray], lanes: int, steps: int) -> Iterator[tuple]:
+    """(inputs, target, live, keep, on) of consecutive windows over the symbols of whole texts.
+
+    Every lane goes through one text after the other, each with its end, and takes the next text
+    where one ends. Arrays are (steps, lanes in use); ``on`` are the numbers of those lanes. An
+    input is the symbol before the target; ``keep`` is 0 where a text begins.
+    """
+    texts = iter(texts)
+    rest = [np.zeros(0, np.int64)] * lanes
+    before = np.zeros(lanes, np.int64)
+    while True:
+        target = np.zeros((lanes, steps), np.int64)
+        live = np.zeros((lanes, steps), bool)
+        keep = np.ones((lanes, steps), bool)
+        for i in range(lanes):
+            part, got = rest[i], 0
+            while got < steps:
+                if not len(part):
+                    symbols = next(texts, None)
+                    if symbols is None:
+                        break
+                    part = np.append(symbols, 0)
+                    keep[i, got] = False
+                n = min(len(part), steps - got)
+                target[i, got:got + n] = part[:n]
+                live[i, got:got + n] = True
+                part, got = part[n:], got + n
+            rest[i] = part
+        on = np.flatnonzero(live[:, 0])
+        if not len(on):
+            return
+        inputs = np.concatenate([before[:, None], target[:, :-1]], axis=1)
+        inputs *= keep  # the symbol before a text is an end
+        before = target[:, -1].copy()
+        yield inputs[on].T, target[on].T, live[on].T, keep[on].T, on
 
 
 def train_round(train: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, rate: float,
-                number: int, text: str = "text") -> np.ndarray:
-    """One round: every partition goes on from ``vector`` over its texts, a stretch of each at a
-    place that its hash and the round set; the results are averaged by their tokens."""
+                text: str = "text") -> np.ndarray:
+    """One round: every partition goes on from ``vector`` over its whole texts; the results are
+    averaged by their tokens."""
     sizes = vocabulary.sizes
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = gru.shaped(vector, sizes)
-        adagrad, waiting, seen = gru.Adagrad(weights, rate), [], 0
-
-        def update() -> None:
-            inputs, target = (np.stack(x, axis=1) for x in zip(*waiting))
-            h = np.zeros((len(waiting), sizes.hidden), gru.FLOAT)
-            for s in range(0, STRETCH, TRUNCATED):
-                live = target[s:s + TRUNCATED] >= 0
-                if live.any():
-                    g, h, _ = gru.gradients(weights, inputs[s:s + TRUNCATED],
-                                            np.maximum(target[s:s + TRUNCATED], 0), live, h, sizes)
-                    adagrad.step(g)
-            waiting.clear()
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                ws, at = words(t), zlib.crc32(t.encode("utf-8", "surrogatepass")) + 7919 * number
-                waiting.append(_stretch(vocabulary, ws, at))
-                seen += min(len(ws) + 1, STRETCH)
-                if len(waiting) == SIDE_BY_SIDE:
-                    update()
-        if waiting:
-            update()
+        adagrad, seen = gru.Adagrad(weights, rate), 0
+        h = np.zeros((SIDE_BY_SIDE, sizes.hidden), gru.FLOAT)
+
+        def symbols() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for t in batch.column(0):
+                    yield vocabulary.encode(words(t.as_py()))[1]
+
+        for inputs, target, live, keep, on in windows(symbols(), SIDE_BY_SIDE, TRUNCATED):
+            g, h[on], _ = gru.gradients(weights, inputs, target, live, h[on], sizes, keep)
+            adagrad.step(g)
+            seen += int(live.sum())
         if seen:
             out, part = gru.flat(weights).astype(np.float64) * seen, TaskContext.get().partitionId()
             n = -(-len(out) // PIECE)
@@ -243,13 +258,16 @@ class Model:
 def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """A model of the texts, and the counts (word, tail, n) it goes with.
 
-    All texts are counted, and each gives a stretch to every round of training. NULL texts are
-    empty ones: an end. Without any rows every symbol is unseen.
+    All texts are counted, and each is learned from as a whole, once. NULL texts are empty ones: an
+    end. Without any rows every symbol is unseen. How the rows lie in partitions has a small
+    influence on the model, as partitions are trained side by side.
     """
     vocabulary, counts = learn_vocabulary(train, text)
     vector = gru.flat(gru.start(vocabulary.sizes, vocabulary.symbol_counts)).astype(np.float64)
+    turn = F.pmod(F.xxhash64(whole(text)), F.lit(len(RATES)))
     for number, rate in enumerate(RATES):
-        vector = train_round(train, vocabulary, vector.astype(np.float32), rate, number, text)
+        vector = train_round(train.where(turn == number), vocabulary, vector.astype(np.float32),
+                             rate, text)
     return Model(vocabulary, vector.astype(np.float32)), counts
 
 
