@@ -89,9 +89,14 @@ def states(w: dict[str, np.ndarray], symbols: np.ndarray, keep: np.ndarray, h: n
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row, in place of it, and its log at one place."""
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    mine = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    return x, mine - np.log(total[:, 0])
 
 
 def class_of(symbols: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -143,20 +148,17 @@ def gradients(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray,
     scale = (on / count).astype(FLOAT)[:, None]
     g = {k: np.zeros_like(v) for k, v in w.items()}
 
-    lp = _log_softmax(flat_h @ w["class_weight"] + w["class_bias"])
-    at = np.arange(len(t))
-    loss = -float((lp[at, cls] * on).sum())
-    d = np.exp(lp)
-    d[at, cls] -= 1
+    d, logs = _softmax(flat_h @ w["class_weight"] + w["class_bias"], cls)
+    loss = -float((logs * on).sum())
+    d[np.arange(len(t)), cls] -= 1
     d *= scale
     g["class_weight"] += flat_h.T @ d
     g["class_bias"] += d.sum(0)
     dh = d @ w["class_weight"].T
     for rows, a, b, place in _by_class(np.where(on, t, sizes.heads), cls, sizes):
         hr = flat_h[rows]
-        inner = _log_softmax(hr @ w["word_weight"][:, a:b] + w["word_bias"][a:b])
-        loss -= float(inner[np.arange(len(rows)), place].sum())
-        e = np.exp(inner)
+        e, logs = _softmax(hr @ w["word_weight"][:, a:b] + w["word_bias"][a:b], place)
+        loss -= float(logs.sum())
         e[np.arange(len(rows)), place] -= 1
         e *= scale[rows]
         g["word_weight"][:, a:b] += hr.T @ e

@@ -28,14 +28,14 @@ from recordflow.llm.common import stored, whole
 #: Frequent symbols of the softmax, the end of a text among them, and spelling classes.
 HEADS, TAILS = 2400, 96
 #: Size of the state.
-HIDDEN = 32
+HIDDEN = 24
 #: Words whose counts travel with the model, and the longest of them in bytes.
 KNOWN, LONGEST = 200_000, 48
 #: Words counted in a worker before they are handed on.
 WORDS_AT_ONCE = 400_000
 #: Training: tokens of a window, which back-propagation goes through, texts side by side, and the
 #: learning rate of each round; a text is learned from in one of the rounds, as its hash says.
-TRUNCATED, SIDE_BY_SIDE, RATES = 32, 128, (0.12, 0.1, 0.08, 0.06, 0.04)
+TRUNCATED, SIDE_BY_SIDE, RATES = 32, 128, (0.12, 0.08, 0.05)
 #: Scoring: tokens gone through together, texts side by side, steps whose outputs are made at once.
 TOKENS_AT_ONCE, LANES, WINDOW = 1_500_000, 256, 48
 #: Numbers of a model that travel in one row while models are averaged, and models per first group.
@@ -203,10 +203,12 @@ def windows(texts: Iterator[np.ndarray], lanes: int, steps: int) -> Iterator[tup
 
 
 def train_round(train: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, rate: float,
-                text: str = "text") -> np.ndarray:
+                text: str = "text", replicas: int | None = None) -> np.ndarray:
     """One round: every partition goes on from ``vector`` over its whole texts; the results are
-    averaged by their tokens."""
+    averaged by their tokens. Partitions are joined to ``replicas`` of them, as many as the cluster
+    has cores by default, so that models are few and each sees much text."""
     sizes = vocabulary.sizes
+    replicas = replicas or train.sparkSession.sparkContext.defaultParallelism
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = gru.shaped(vector, sizes)
@@ -223,30 +225,32 @@ def train_round(train: DataFrame, vocabulary: Vocabulary, vector: np.ndarray, ra
             adagrad.step(g)
             seen += int(live.sum())
         if seen:
-            out, part = gru.flat(weights).astype(np.float64) * seen, TaskContext.get().partitionId()
+            out, part = gru.flat(weights), TaskContext.get().partitionId()
             n = -(-len(out) // PIECE)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part % GROUP), pa.int32()), pa.array(np.arange(n), pa.int32()),
                  pa.array(np.full(n, float(seen)), pa.float64()),
                  pa.array([out[i * PIECE:(i + 1) * PIECE].tobytes() for i in range(n)], pa.binary())],
-                names=["part", "piece", "seen", "total"])
+                names=["part", "piece", "seen", "mean"])
 
-    shape = "part int, piece int, seen double, total binary"
+    shape = "part int, piece int, seen double, mean binary"
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float64) for b in table["total"].to_pylist())
-        seen = sum(table["seen"].to_pylist())
+        weight = table["seen"].to_pylist()
+        seen = sum(weight)
+        total = sum(np.frombuffer(b, np.float32) * (w / seen)
+                    for b, w in zip(table["mean"].to_pylist(), weight))
         return pa.table({"part": pa.array([0], pa.int32()),
                          "piece": table["piece"].slice(0, 1).combine_chunks(),
                          "seen": pa.array([seen], pa.float64()),
-                         "total": pa.array([total.tobytes()], pa.binary())})
+                         "mean": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    summed = (train.select(whole(text)).mapInArrow(learn, shape)
+    summed = (train.select(whole(text)).coalesce(replicas).mapInArrow(learn, shape)
               .groupBy("part", "piece").applyInArrow(add, shape)
               .groupBy("piece").applyInArrow(add, shape).orderBy("piece").collect())
     if not summed:
         return vector
-    return np.concatenate([np.frombuffer(r["total"], np.float64) / r["seen"] for r in summed])
+    return np.concatenate([np.frombuffer(r["mean"], np.float32) for r in summed])
 
 
 @dataclass

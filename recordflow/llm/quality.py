@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import bind
-from recordflow.llm.common import SPACE_CLASS, is_empty, stored, whole
+from recordflow.llm.common import SPACE_CLASS, is_empty, stored, unused, whole
 
 # The characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -169,14 +169,16 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     # The struct has two consumers below, and one of them decides about the cascade.
     judged = bind(stats, lambda s: F.struct(
         s.alias("s"), base_fails(s["n_words"], s["n_repeat_words"]).alias("base_failed")))
-    out = docs.withColumn("_quality", bind(judged, lambda j: F.struct(
+    held, = unused(docs, "quality")
+    q = F.col(held)
+    out = docs.withColumn(held, bind(judged, lambda j: F.struct(
         j["s"].alias("s"), j["base_failed"].alias("base_failed"),
         F.when(j["base_failed"], F.lit(False)).otherwise(verdict.isNull()).alias("kept"))))
-    return (out.withColumn("n_words", F.col("_quality.s.n_words"))
+    return (out.withColumn("n_words", q["s"]["n_words"])
             .withColumn("word_chars", word_chars(t))
             .withColumn("n_symbols", n_symbols(t))
             .withColumn("n_dup_lines", n_dup_lines(t))
-            .withColumn("n_repeat_words", F.col("_quality.s.n_repeat_words"))
-            .withColumn("base_failed", F.col("_quality.base_failed"))
-            .withColumn("kept", F.col("_quality.kept"))
-            .drop("_quality"))
+            .withColumn("n_repeat_words", q["s"]["n_repeat_words"])
+            .withColumn("base_failed", q["base_failed"])
+            .withColumn("kept", q["kept"])
+            .drop(held))

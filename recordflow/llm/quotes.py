@@ -68,9 +68,12 @@ def _passages(lines: Column) -> Column:
 
 
 def _hashed(items: Column) -> Column:
-    """(level, hash), each once."""
-    return F.array_distinct(F.transform(items, lambda p: F.struct(
-        p["level"].alias("level"), F.md5(p["text"]).alias("hash"))))
+    """(level, hash), each once. They are told apart as strings, which are hashed, not compared two
+    by two."""
+    named = F.array_distinct(F.transform(items, lambda p: F.concat(
+        F.md5(p["text"]), p["level"].cast("string"))))
+    return F.transform(named, lambda s: F.struct(
+        F.substring(s, 33, 10).cast("int").alias("level"), F.substring(s, 1, 32).alias("hash")))
 
 
 def parse(messages: DataFrame, text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.llm.common import whole
+from recordflow.llm.common import unused, whole
 
 #: Kinds in the order in which spans that start together are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -143,9 +143,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
 
     Texts without secrets, NULL ones too, stay as they are; all columns stay.
     """
-    spans = scan(docs, text, "_spans")
+    found, = unused(docs, "spans")
+    spans = scan(docs, text, found)
     merged = F.aggregate(
-        "_spans",
+        found,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["start"] < acc["at"],
@@ -158,5 +159,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
                      F.lit(mark)).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(
             F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text)))))
-    return (spans.withColumn(text, F.when(F.size("_spans") > 0, merged).otherwise(F.col(text)))
-            .drop("_spans"))
+    return (spans.withColumn(text, F.when(F.size(found) > 0, merged).otherwise(F.col(text)))
+            .drop(found))

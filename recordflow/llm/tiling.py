@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.llm.common import stored
+from recordflow.llm.common import stored, unused
 
 #: Words of the shortest tile, and of the runs that seed the search.
 LEAST = 5
@@ -195,12 +195,15 @@ def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
 
     What the documents are filtered by has a fixed size. A document is tiled with items that its
     shared runs alone could cover well enough, so those it is held against at once are bounded by
-    its own length (times repeats of an item in the benchmark).
+    its own length.
     """
-    items = stored(benchmark.where(F.col(item_text).isNotNull())
-                   .select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item"))
-                   .distinct().withColumn("_s", _seeds(F.col("item")))
-                   .select("item_id", "item", "_s.runs", "_s.n").where(f"n >= {LEAST}"), "items")
+    given = (benchmark.where(F.col(item_text).isNotNull())
+             .select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item")).distinct())
+    # Equal texts of several ids are tiled once; their ids are joined to the result.
+    ids = given.select("item_id", F.md5("item").alias("_item"))
+    items = stored(given.select("item").distinct().withColumn("_s", _seeds(F.col("item")))
+                   .select("item", F.md5("item").alias("_item"), "_s.runs", "_s.n")
+                   .where(f"n >= {LEAST}"), "items")
     bitmap = _filter_of(items)
 
     @F.arrow_udf("array<bigint>")
@@ -219,17 +222,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
              .where(F.size("hits") > 0).withColumn("_text_key", text_key("text")))
     found = stored(found.groupBy("_text_key").agg(F.first("text").alias("text"),
                                                   F.first("hits").alias("hits")), "tiling-hits")
-    runs = items.select("item_id", F.md5("item").alias("_item"), "n", F.posexplode("runs"))
+    runs = items.select("_item", "n", F.posexplode("runs"))
     shared = (found.select("_text_key", F.explode("hits").alias("col")).join(runs, "col")
-              .groupBy("_text_key", "item_id", "_item")
+              .groupBy("_text_key", "_item")
               .agg(F.first("n").alias("n"), F.collect_set("pos").alias("places"))
               .where(_covered(F.col("places")) >= coverage * F.col("n")))
-    candidates = (shared.select("_text_key", "item_id", "_item", "n")
-                  .join(items.select(F.col("item_id").alias("_id"), F.md5("item").alias("_md5"),
-                                     "item"),
-                        F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("_item") == F.col("_md5")))
+    candidates = (shared.select("_text_key", "_item", "n").join(items.select("_item", "item"), "_item")
                   .groupBy("_text_key")
-                  .agg(F.collect_list(F.struct("item_id", "item", "n")).alias("items")))
+                  .agg(F.collect_list(F.struct("_item", "item", "n")).alias("items")))
     kind = "array<struct<doc_word:int,item_word:int,n_words:int>>"
 
     @F.arrow_udf(f"array<{kind}>")
@@ -246,9 +246,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
     tiled = (found.select("_text_key", "text").join(candidates, "_text_key")
              .withColumn("tiles", tilings("text", F.transform("items", lambda x: x["item"])))
              .select("_text_key", F.explode(F.arrays_zip("items", "tiles")).alias("z"))
-             .select("_text_key", "z.items.item_id", "z.items.n", "z.tiles"))
+             .select("_text_key", "z.items._item", "z.items.n", "z.tiles"))
     total = F.aggregate("tiles", F.lit(0), lambda acc, t: acc + t["n_words"])
-    scored = tiled.withColumn("coverage", total / F.col("n")).where(F.col("coverage") >= coverage)
+    scored = (tiled.withColumn("coverage", total / F.col("n")).where(F.col("coverage") >= coverage)
+              .join(ids, "_item"))
     return (scored.groupBy("_text_key", "item_id")
             .agg(F.max(F.struct("coverage", "tiles")).alias("b"))
             .select("_text_key", "item_id", "b.coverage", "b.tiles"))
@@ -262,15 +263,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
             text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain a benchmark item, once per item, with item_id, coverage
     and tiles in place of the text; columns of ``docs`` with these names are replaced."""
-    rest = docs.drop("item_id", "coverage", "tiles").withColumn("_text_key", text_key(text))
-    return (rest.drop(text).join(contained(docs, benchmark, coverage, text), "_text_key")
-            .drop("_text_key"))
+    key, = unused(docs, "key")
+    rest = docs.drop("item_id", "coverage", "tiles").withColumn(key, text_key(text))
+    found = contained(docs, benchmark, coverage, text).withColumnRenamed("_text_key", key)
+    return rest.drop(text).join(found, key).drop(key)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
            text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with all columns. Rows with a NULL or
     empty text stay."""
-    gone = contained(docs, benchmark, coverage, text).select("_text_key").distinct()
-    return (docs.withColumn("_text_key", text_key(text)).join(gone, "_text_key", "left_anti")
+    key, = unused(docs, "key")
+    gone = contained(docs, benchmark, coverage, text).select(F.col("_text_key").alias(key)).distinct()
+    return (docs.withColumn(key, text_key(text)).join(gone, key, "left_anti")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

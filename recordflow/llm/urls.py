@@ -31,11 +31,12 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def _expressions(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row per host suffix and path prefix of (host, path), of the lengths rules have."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _expressions(urls: DataFrame, lengths: list[int], labels: list[int]) -> DataFrame:
+    """One row per host suffix and path prefix of (host, path), of the numbers of labels and the
+    lengths that rules have."""
+    held = F.size(F.split("host", r"\."))
+    suffixes = F.array_compact(F.array(*[
+        F.when(held >= n, F.substring_index("host", ".", -n)) for n in labels]).cast("array<string>"))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     return (urls.select("host", "path", F.explode(suffixes).alias("_on"))
             .select("*", F.explode(sizes).alias("_size"))
@@ -53,12 +54,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     Rules with a NULL host or path are left out; an empty rule table gives ``default`` throughout.
 
     Work is done per distinct (host, path), so rows with one URL cost one look-up. The lengths of
-    rule paths, at most as many as the longest path has characters, are read first.
+    rule paths and the numbers of labels of rule hosts, at most as many as the longest path has
+    characters and the longest host labels, are read first; a URL gives no other expressions, so a
+    host of very many labels costs no more than its length.
     """
     rules = (rules.where("host is not null and path is not null and verdict is not null")
              .select(fold(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"),
                      F.col("verdict").alias("rule_verdict")))
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
+    labels = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect())
     base = pages.drop("host", "path", "rule", "verdict")
     base = base.select(*(F.col(f"`{c}`") for c in base.columns),
                        host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -66,7 +70,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
              .groupBy("rule_host", "rule_path", "_rule_digest")
              .agg(F.max("rule_verdict").alias("rule_verdict"))
              .withColumn("_short", F.substring("_rule_digest", 1, SHORT)))
-    found = (_expressions(base.select("host", "path").distinct(), lengths)
+    found = (_expressions(base.select("host", "path").distinct(), lengths, labels)
              .withColumn("_short", F.substring("_digest", 1, SHORT))
              .join(known, "_short").where("_digest = _rule_digest"))
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"),

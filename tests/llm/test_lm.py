@@ -130,3 +130,49 @@ def test_empty_training_and_empty_table(make_docs):
     assert [r.base_score for r in got] == pytest.approx([0.0, 0.0], abs=1e-12) and all(math.isfinite(r.score) for r in got)
     assert [r.n_known for r in got] == [0, 0]
     assert lm.score(docs.limit(0), model, counts).count() == 0
+
+
+def test_windows_go_through_whole_texts():
+    rnd = random.Random(6)
+    texts = [np.array([rnd.randint(1, 9) for _ in range(rnd.choice([0, 1, 3, 40]))], np.int64)
+             for _ in range(50)]
+    lanes, steps = 4, 5
+    got, before, count = [[] for _ in range(lanes)], [0] * lanes, 0
+    for inputs, target, live, keep, on in lm.windows(iter(texts), lanes, steps):
+        assert inputs.shape == (steps, len(on))
+        for col, lane in enumerate(on):
+            for s in range(steps):
+                if not live[s, col]:
+                    continue
+                assert inputs[s, col] == (before[lane] if keep[s, col] else 0)
+                if not keep[s, col]:
+                    got[lane].append([])
+                got[lane][-1].append(int(target[s, col]))
+                before[lane], count = target[s, col], count + 1
+    assert count == sum(len(t) + 1 for t in texts)
+    assert sorted(x for lane in got for x in lane) == sorted([*t.tolist(), 0] for t in texts)
+
+
+def test_score_of_a_plain_walk():
+    """The score of a text, step by step with plain loops, from the weights alone."""
+    model = _model(["a b c a", "b b d"])
+    v, w = model.vocabulary, gru.shaped(model.vector, model.vocabulary.sizes)
+    n, sizes = v.sizes.hidden, v.sizes
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for text in ("a b", "d c c a b b", ""):
+        h, total, last = np.zeros(n), 0.0, 0
+        for target in [*v.encode(lm.words(text))[1].tolist(), 0]:
+            x, u = w["inputs"][last] + w["state_bias"], h @ w["state"]
+            r, z = sig(x[:n] + u[:n]), sig(x[n:2 * n] + u[n:2 * n])
+            new = np.tanh(x[2 * n:] + r * u[2 * n:])
+            h = z * h + (1 - z) * new
+            scores = np.exp(h @ w["class_weight"] + w["class_bias"])
+            head = target < sizes.heads
+            c = target // sizes.width if head else target - sizes.heads + sizes.head_classes
+            total += math.log10(scores[c] / scores.sum())
+            if head:
+                at = slice(c * sizes.width, min((c + 1) * sizes.width, sizes.heads))
+                words = np.exp(h @ w["word_weight"][:, at] + w["word_bias"][at])
+                total += math.log10(words[target - at.start] / words.sum())
+            last = target
+        assert lm.sequence_logs(model, [v.encode(lm.words(text))[1]])[0] == pytest.approx(total, rel=1e-4)
