@@ -449,8 +449,9 @@ def _loose(rest: DataFrame) -> int:
 def _led(rest: DataFrame, scheme: Sets, items: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(rest, links) after rounds of leaders.
 
-    In every round each key has a few leaders, drawn by hash from its rows, and all rows of other
-    classes are compared with them: a few comparisons and links a row. Classes that a link joins go
+    In every round each key has a few leaders, drawn by hash from its rows, and every row is compared
+    with one of them, picked by another hash, if it is of another class: one comparison and link a
+    row, and a hot key is spread over its leaders. Classes that a link joins go
     on under the smallest of their names, so dense groups are tied in a few rounds. When a round
     leaves most of the rows outside of their key's largest class where they were, those are hardly
     alike, and comparing them pair by pair lists few links.
@@ -461,8 +462,11 @@ def _led(rest: DataFrame, scheme: Sets, items: DataFrame) -> tuple[DataFrame, Da
         draw = F.xxhash64("node", F.lit(turn))
         leaders = (rest.groupBy("key", F.pmod(draw, F.lit(LEADERS)).alias("slot"))
                    .agg(F.min_by(F.struct("node", "root"), draw).alias("_l"))
-                   .select("key", F.col("_l.node").alias("lead"), F.col("_l.root").alias("lead_root")))
-        pairs = (rest.join(leaders, "key").where("root != lead_root")
+                   .select("key", "slot", F.col("_l.node").alias("lead"),
+                           F.col("_l.root").alias("lead_root")))
+        slot = F.pmod(F.xxhash64("node", F.lit(-turn)), F.lit(LEADERS))
+        pairs = (rest.withColumn("slot", slot).join(leaders, ["key", "slot"])
+                 .where("root != lead_root")
                  .select(F.col("node").alias("a"), "root", F.col("lead").alias("b"), "lead_root")
                  .distinct())
         links = stored(pairs.join(items.toDF("a", "_sa"), "a").join(items.toDF("b", "_sb"), "b")
