@@ -187,6 +187,16 @@ def update_projects(requests: DataFrame, projects: DataFrame, now,
     return Outcome(after.select(*projects.columns), _rejected(checked))
 
 
+def touch_projects(requests: DataFrame, projects: DataFrame, now) -> Outcome:
+    """Requests: project_id. Projects opened by their owner get the time of the batch."""
+    checked = _check(_with_owner(requests, projects, "project_id"), [
+        ("project_id", _no_user(), "authentication_required"),
+        ("project_id", _no_access(), "no_access")])
+    values = {"last_opened_on": _lit(now, "timestamp_ntz")}
+    return Outcome(_update(projects, _accepted(checked), "project_id", values, now),
+                   _rejected(checked))
+
+
 def _own_slugs(slugs: DataFrame, projects: DataFrame, held: DataFrame) -> DataFrame:
     """(id, _slug) of projects whose own slug is the first of s, s-2, s-3, … that nobody else holds."""
     def number(slug, want):

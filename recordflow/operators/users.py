@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import clean, norm_email, short_id
-from recordflow.operators.change import _lit, assign_ids, insert_rows
+from recordflow.operators.change import _lit, assign_ids, insert_rows, starter_rows
 from recordflow.operators.join import left_unique, match_priority
+from recordflow.session import materialize
 
 # Names of users whose profile has none, and the provider they come from.
 FIRST_NAME, LAST_NAME, PROVIDER = "Google", "User", "google"
@@ -87,3 +88,17 @@ def upsert_users(users: DataFrame, src: DataFrame, order: list[str], now,
         short_id(32, "email", "sub").alias("uuid"))
     new = assign_ids(new, "_order", start_id).drop("_order")
     return insert_rows(updated, new, now=now), rejects
+
+
+def sign_in(users: DataFrame, projects: DataFrame, src: DataFrame, order: list[str], now,
+            start_user: int, start_project: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, projects, rejected): sign-ins as in :func:`upsert_users`; then each user whose last
+    login is ``now`` and who never had a project, active or not, gets a starter project."""
+    after, rejected = upsert_users(users, src, order, now, start_user)
+    here = materialize(after.filter(F.col("last_login_at") == _lit(now, "timestamp_ntz"))
+                       .select("id"), "signed-in")
+    fresh, _ = starter_rows(here, "id", projects, active_only=False)
+    fresh = fresh.drop("description").withColumn("last_opened_on", _lit(now, "timestamp_ntz"))
+    new = assign_ids(fresh, "owner_id", start_project)
+    kept = [c for c in new.columns if c in projects.columns]
+    return after, insert_rows(projects, new.select(*kept), now=now), rejected

@@ -219,9 +219,11 @@ def starter_projects(t):
            'Starter scenario' AS name, 'TEST "Starter scenario"' || chr(10) || 'FIN' AS source_text,
            'draft' AS status, '{}' AS ast_json, '[]' AS steps_json, '{}' AS validation_json,
            '' AS generated_code
-    FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+    FROM customer WHERE NOT EXISTS (
+        SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 def starter_scenarios(t):
-    projects = t.orders.select(F.col("o_custkey").alias("owner_id"))
+    projects = t.orders.select(F.col("o_custkey").alias("owner_id"),
+                               (F.col("o_orderstatus") == "P").alias("is_active"))
     return change.starter_rows(t.customer, "c_custkey", projects)[1].drop("owner_id")
 
 

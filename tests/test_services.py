@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from recordflow.operators import billing, change, run_services, services
+from recordflow.operators import billing, change, run_services, services, users
 from recordflow.schemas import schema_of
 
 NOW = "2024-02-01 12:00:00"
@@ -268,3 +268,44 @@ def test_orders_open_payments(spark, rows):
                 "gross_amount", "currency", "status") == [
         (1, 1, 5, "O1", "a@b.c", 79.0, "EUR", "created")]
     assert rows(rejected, "request_id", "reason") == [(4, "incomplete")]
+
+
+def test_touch_projects(spark, app, rows):
+    asks = spark.createDataFrame(
+        [(1, 10, 1), (2, 11, 1), (3, 10, 3), (4, None, 2), (5, 10, None), (6, 10, 1)],
+        "request_id long, user_id long, project_id long")
+    table, rejected = services.touch_projects(asks, app["project"], NOW)
+    assert rows(table.selectExpr("id", "string(last_opened_on)", "modified_by")) == rows(
+        spark.createDataFrame([(1, NOW, 10), (2, None, None), (3, None, None)],
+                              "id long, at string, who long"))
+    got = {r.request_id: r.reason for r in rejected.collect()}
+    assert got == {2: "no_access", 3: "no_access", 4: "authentication_required", 5: "no_access"}
+    empty, _ = services.touch_projects(asks.limit(0), app["project"], NOW)
+    assert empty.filter("last_opened_on is not null").count() == 0
+
+
+def test_sign_in_gives_a_project_once(spark, app):
+    users_ = spark.createDataFrame(
+        [(10, "a@x.y", "s10", "active"), (11, "b@x.y", None, "active"),
+         (12, "c@x.y", None, "blocked"), (13, "d@x.y", None, "active")],
+        "id long, email string, google_sub string, account_status string")
+    users_ = users_.selectExpr(
+        "*", "'F' first_name", "'L' last_name", "cast(null as string) auth_provider",
+        "cast(null as string) google_picture_url", "false email_verified", "true is_active",
+        "cast(null as timestamp_ntz) last_login_at", "cast(null as string) uuid")
+    src = spark.createDataFrame(
+        [(1, "s10", "a@x.y"), (2, "s12", "c@x.y"), (3, "s13", "D@x.y"), (4, "new", "e@x.y"),
+         (5, "new", "e@x.y"), (6, None, "f@x.y")], "n long, sub string, email string").selectExpr(
+        "*", "true email_verified", "'' given_name", "'' family_name", "'' picture")
+    owned = app["project"].filter("id <> 1")  # user 10 has an archived project left
+    after, projects, rejected = users.sign_in(users_, owned, src, ["n"], NOW, 100, 500)
+    assert {r.id for r in after.filter("last_login_at is not null").collect()} == {10, 13, 101}
+    fresh = projects.filter("id > 500").selectExpr(
+        "owner_id", "name", "status", "string(last_opened_on) at", "slug").collect()
+    assert {tuple(r)[:4] for r in fresh} == {
+        (13, "My first project", "draft", NOW), (101, "My first project", "draft", NOW)}
+    assert len(fresh) == len({r.slug for r in fresh}) == 2
+    assert projects.count() == 4
+    assert {r.n: r.reason for r in rejected.collect()} == {2: "disabled", 6: "incomplete"}
+    again = users.sign_in(after, projects, src, ["n"], NOW, 200, 600)[1]
+    assert again.filter("id > 600").count() == 0
