@@ -4,7 +4,8 @@ Every window of ``LENGTH`` bytes is filed under its minimizer, the smallest hash
 in it, so equal windows are filed alike. Consecutive windows with one minimizer make a piece of
 text. Pieces whose minimizer occurs in one text only are left out by a filter of fixed size; of the
 others, distinct ones meet by minimizer, their suffixes are put in order, and neighbours that agree
-in ``LENGTH`` bytes show which windows are shared, and with which document first.
+in ``LENGTH`` bytes show which windows are shared, and with which document first. The distinct pieces
+of a minimizer with more than ``GROUP_BYTES`` of them never meet in one task: their windows are spread.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LENGTH, GRAM = 50, 24
 #: The filter has 2 to this power bits: 16 MB.
 FILTER_BITS = 27
 #: Hashes in one task of the filter, bytes of pieces in one task of ordering, bytes ordered at once,
-#: and bytes of one minimizer up to which its pieces are ordered as they are.
+#: and bytes of one minimizer up to which its pieces are ordered in one task.
 HASHES_AT_ONCE, PIECES_AT_ONCE, ORDERED_AT_ONCE, GROUP_BYTES = 1 << 20, 1 << 20, 300_000, 1_200_000
 #: Rows of (id, key) up to which a side is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -173,9 +174,7 @@ def window_owners(contents: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
 def _ordered(contents: list[bytes], owner: np.ndarray, h: np.ndarray) -> list[np.ndarray | None]:
     """``window_owners`` by minimizer, None where all windows have the content's own owner.
 
-    Minimizers with one content need no order. The others are ordered a few at a time; one with very
-    many contents is cut into single windows dealt out by their hashes, so that no more than
-    ``GROUP_BYTES`` or so are ordered together.
+    Minimizers with one content need no order. The others are ordered a few at a time.
     """
     out: list[np.ndarray | None] = [None] * len(contents)
     order = np.argsort(h, kind="stable")
@@ -196,10 +195,6 @@ def _ordered(contents: list[bytes], owner: np.ndarray, h: np.ndarray) -> list[np
             continue
         group = order[a:b].tolist()
         n = sum(len(contents[i]) for i in group)
-        if n > GROUP_BYTES:
-            for i, least in _one_by_one(group, contents, owner, n):
-                out[i] = least
-            continue
         if load + n > ORDERED_AT_ONCE:
             settle()
             load = 0
@@ -209,25 +204,40 @@ def _ordered(contents: list[bytes], owner: np.ndarray, h: np.ndarray) -> list[np
     return out
 
 
-def _one_by_one(group: list[int], contents: list[bytes], owner: np.ndarray, n: int):
-    """The same for one minimizer with many contents, window by window."""
-    parts = 1 + n * LENGTH // 16 // ORDERED_AT_ONCE
-    least = {i: np.full(len(contents[i]) - LENGTH + 1, owner[i]) for i in group}
-    for part in range(parts):
-        found: dict[bytes, list[tuple[int, int]]] = {}
-        for i in group:
-            c = contents[i]
-            for k in range(len(c) - LENGTH + 1):
-                w = c[k:k + LENGTH]
-                if xxhash.xxh32_intdigest(w) % parts == part:
-                    found.setdefault(w, []).append((i, k))
-        if not found:
-            continue
-        smallest = np.array([min(owner[i] for i, _ in at) for at in found.values()])
-        for at, m in zip(found.values(), window_owners(list(found), smallest)):
-            for i, k in at:
-                least[i][k] = m[0]
-    return [(i, x) for i, x in least.items() if (x < owner[i]).any()]
+def _crowded(dealt: DataFrame) -> DataFrame:
+    """(h) of the minimizers whose contents have more than ``GROUP_BYTES``.
+
+    Only parts that have more can hold one, so few rows are counted by minimizer."""
+    dealt = dealt.select("part", "h", F.octet_length("content").cast("bigint").alias("bytes"))
+    full = stored(dealt.groupBy("part").agg(F.sum("bytes").alias("load"))
+                  .where(F.col("load") > GROUP_BYTES).select("part"), "dedup-full")
+    return stored(dealt.join(full, "part", "left_semi").groupBy("h")
+                  .agg(F.sum("bytes").alias("load")).where(F.col("load") > GROUP_BYTES)
+                  .select("h"), "dedup-crowded")
+
+
+def _digest(contents: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh128_digest(c) for c in contents.to_pylist()], pa.binary())
+
+
+def _by_window(hot: DataFrame) -> DataFrame:
+    """(digest, first, least) of contents (content, owner, n) of any number under one minimizer.
+
+    Their windows, at most ``LENGTH`` a content, are spread by their own bytes; the smallest owner of
+    each is an aggregate, and goes back to the contents that hold the window."""
+    digest = F.arrow_udf(_digest, "binary")
+    hot = stored(hot.select(digest("content").alias("digest"), "content", "owner", "n"),
+                 "dedup-hot")
+    starts = F.sequence(F.lit(1), F.octet_length("content") - F.lit(LENGTH - 1))
+    windows = hot.select("digest", "owner", "n", F.posexplode(
+        F.transform(starts, lambda i: F.substring("content", i, F.lit(LENGTH)))).alias("place", "w"))
+    least = windows.groupBy("w").agg(F.min("owner").alias("m"))
+    whole_ = (windows.join(least, "w").groupBy("digest", "owner", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("place", "m")))["m"].alias("least")))
+    shared = F.array_min("least") < F.col("owner")
+    return (whole_.where(shared | (F.col("n") > 1))
+            .select("digest", F.col("owner").alias("first"), F.when(shared, F.col("least"))
+                    .alias("least")))
 
 
 # -------------------------------------------------------------------- operator
@@ -323,9 +333,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             "first": pa.array(owner[keep], pa.int64()),
             "least": pa.array([least[i] for i in keep], pa.list_(pa.int64()))})
 
-    judged = stored(distinct.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
-                    .groupBy("part").applyInArrow(
-                        order, "digest binary, first bigint, least array<bigint>"), "dedup-windows")
+    dealt = distinct.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+    crowded = _crowded(dealt)
+    judged = dealt.join(crowded, "h", "left_anti").groupBy("part").applyInArrow(
+        order, "digest binary, first bigint, least array<bigint>")
+    judged = stored(judged.unionByName(_by_window(dealt.join(crowded, "h", "left_semi"))),
+                    "dedup-windows")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,18 +91,34 @@ def test_against_brute_force(make_docs, monkeypatch):
                   for r in got) == want
 
 
-def test_crowded_minimizers_window_by_window(monkeypatch):
-    rnd = random.Random(5)
-    contents = list(dict.fromkeys(
-        bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))) + b"m" * 48
-        + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(2, 12))) for _ in range(200)))
-    owner = np.array([rnd.randrange(1000) for _ in contents])
-    h = np.zeros(len(contents), np.int64)
-    together = S._ordered(contents, owner, h)
+def _same(docs, rows):
+    want = sorted((repr(i), *w) for (i, _), w in zip(rows, brute(rows)))
+    got = S.removals(docs).collect()
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+                  for r in got) == want
+
+
+def test_crowded_minimizers_window_by_window(make_docs, monkeypatch):
+    """A bound so low that every shared minimizer is crowded."""
     monkeypatch.setattr(S, "GROUP_BYTES", 10)
-    alone = S._ordered(contents, owner, h)
-    for a, b in zip(together, alone):
-        assert (a is None) == (b is None) and (a is None or a.tolist() == b.tolist())
+    rows = _rows()
+    _same(make_docs(rows).repartition(3), rows)
+
+
+def test_one_passage_in_thousands_of_contexts(make_docs, monkeypatch):
+    """One minimizer with thousands of distinct contents goes by windows, the others by order."""
+    monkeypatch.setattr(S, "GROUP_BYTES", 20_000)
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rnd.choice(letters) for _ in range(60))
+    text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    rows = [(k, text(30) + passage + text(30)) for k in range(3000)]
+    rows += [(5000 + k, text(5) + passage[:55] + rnd.choice("XY") * 20) for k in range(500)]
+    crowds = []
+    real = S._by_window
+    monkeypatch.setattr(S, "_by_window", lambda hot: crowds.append(hot.count()) or real(hot))
+    _same(make_docs(rows).repartition(4), rows)
+    assert crowds[0] > 2000
 
 
 def test_empty_table(make_docs):
