@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from recordflow.operators.number import numbered
 from recordflow.operators.select import active
+from recordflow.session import materialize
+
 
 def inner(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other, on)
@@ -36,6 +38,10 @@ def theta(df: DataFrame, other: DataFrame, predicate: str,
 
 #: The span of all bands is cut into 2 to this power cells.
 CELL_BITS = 44
+#: Bits of a stretch's key that hold its level.
+LEVEL_BITS = 6
+#: Up to so many stretches may be broadcast.
+FEW_STRETCHES = 100_000
 
 
 def _measure(df: DataFrame, column: str) -> Column:
@@ -63,6 +69,11 @@ def _pieces(first: Column, last: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELL_BITS)), at))
 
 
+def _stretch(node: Column, level: Column) -> Column:
+    """Level and node as one number."""
+    return F.shiftleft(node, LEVEL_BITS).bitwiseOR(level.cast("bigint"))
+
+
 def band_join(df: DataFrame, point: str, bands: DataFrame, low: str, high: str) -> DataFrame:
     """Rows of ``df`` with every band that holds their point (low <= point < high).
 
@@ -70,6 +81,9 @@ def band_join(df: DataFrame, point: str, bands: DataFrame, low: str, high: str)
     cells, at most two of each size. A point looks up the one stretch of each size it lies in, of
     the sizes that occur. So wide and narrow bands cost alike, and one over the whole span is one
     row. Bands without a low or high end have no points, nor do those that end where they begin.
+
+    The stretches are written and counted first. The planner takes their number for that of the
+    bands, and goes by the few bytes they have in the file: it would broadcast tables of any size.
     """
     real = bands.filter(F.col(low) < F.col(high))
     ends = [_measure(bands, c) for c in (low, high)]
@@ -86,14 +100,21 @@ def band_join(df: DataFrame, point: str, bands: DataFrame, low: str, high: str)
         inside = F.greatest(F.lit(0), F.least(F.lit((1 << CELL_BITS) - 1), c))
         return F.when(c.isNull(), edge).otherwise(inside).cast("bigint")
 
-    listed = real.withColumn("_at", F.explode(_pieces(cell(real, low), cell(real, high))))
-    levels = sorted(r[0] for r in listed.select("_at.level").distinct().collect())
-    probes = [F.struct(F.lit(n).alias("level"),
-                       F.shiftright(cell(df, point), n).alias("node")) for n in levels]
-    kind = "array<struct<level: int, node: bigint>>"
-    at = F.array(*probes).cast(kind)
-    return (df.filter(F.col(point).isNotNull()).withColumn("_at", F.explode(at))
-            .join(listed, "_at")
+    spread = real.withColumns({"_first": cell(real, low), "_last": cell(real, high)}).repartition(
+        "_first", "_last")
+    pieces = spread.withColumn("_piece", F.explode(_pieces(F.col("_first"), F.col("_last"))))
+    listed = materialize(pieces.withColumn("_at", _stretch(F.col("_piece.node"), F.col("_piece.level")))
+                         .drop("_first", "_last", "_piece"), "bands")
+    level = F.col("_at").bitwiseAND((1 << LEVEL_BITS) - 1)
+    counts = dict(listed.groupBy(level.alias("n")).agg(F.count("*")).collect())
+    levels = sorted(counts)
+    if sum(counts.values()) > FEW_STRETCHES:
+        listed = listed.hint("merge")
+    points = (df.filter(F.col(point).isNotNull()).withColumn("_cell", cell(df, point))
+              .withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+              .withColumn("_at", _stretch(F.call_function("shiftright", "_cell", "_level"), F.col("_level")))
+              .drop("_cell", "_level"))
+    return (points.join(listed, "_at")
             .filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_at"))
 
 

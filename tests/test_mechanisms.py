@@ -44,6 +44,17 @@ def test_a_band_is_few_rows_and_no_bands_give_none(spark):
     assert join.band_join(spark.range(3), "id", none, "low", "high").count() == 0
 
 
+def test_many_bands_are_not_broadcast(spark):
+    bands = spark.range(4000).select(F.col("id").alias("b"), (F.col("id") * 300.0).alias("low"),
+                                     (F.col("id") * 300.0 + 901).alias("high"))
+    points = spark.range(500).select(F.col("id").alias("p"), (F.col("id") * 2400.0).alias("x"))
+    got = join.band_join(points, "x", bands, "low", "high")
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    want = sorted((p, b) for p in range(500) for b in range(max(0, 8 * p - 4), min(8 * p + 1, 4000))
+                  if b * 300 <= p * 2400 < b * 300 + 901)
+    assert sorted((r.p, r.b) for r in got.collect()) == want
+
+
 def test_pages_at_any_depth(spark):
     data = [(i, i % 7 if i % 5 else None) for i in range(500)]
     paged = select.Paged(spark.createDataFrame(data, "i long, v long"), ["-v", "i"])
