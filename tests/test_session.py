@@ -41,3 +41,7 @@ def test_steps_go_to_the_named_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.scratch(spark, "x").startswith(f"{folder}/recordflow-")
     assert session.materialize(spark.range(3)).count() == 3
+
+
+def test_joined_partitions_stay_small(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
