@@ -23,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar to 0.8 or more."""
+    """One document of each group whose sets of five-word shingles are similar to 0.8 or more, found
+    by SimHash and Golay keys first, and by min-hash keys what these leave."""
     ready(spark)
     return near_dup.keep_one(docs, near_dup.similar(0.8, shingle=5))
 

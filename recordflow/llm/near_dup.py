@@ -4,8 +4,9 @@ similarity.
 A SimHash fingerprint is cut into segments of at most 23 bits. Each segment is decoded to the
 codewords of the Golay code nearby, whose indices two segments share whenever they differ in two
 bits at most. Keys made of several segments meet in one sorted pass, and fingerprints that share a
-key are compared. Sets of shingles have min-hash keys, which only choose the candidates: the sets
-themselves are compared. Links become components.
+key are compared. Sets of shingles have a SimHash too, which ties the closest ones in the same way;
+min-hash keys find the rest. Both only choose the candidates: the sets themselves are compared.
+Links become components.
 """
 
 from __future__ import annotations
@@ -81,8 +82,9 @@ class Sets:
     """Sets of distinct shingles, which link at a Jaccard similarity of ``least`` or more.
 
     A fingerprint is a digest of the whole set, its size, and ``bands`` keys made of the smallest
-    values of ``rows`` hash functions each; -1 for keys of an empty set. Sets that share a key are
-    candidates, and the sets decide. The keys of ``first`` bands are gone through first.
+    values of ``rows`` hash functions each, -1 for keys of an empty set; behind these words comes
+    the set's SimHash. Sets tied by SimHash or sharing a key are candidates, and the sets decide.
+    SimHash comes first, then the keys of ``first`` bands, then all.
     """
 
     least: Fraction
@@ -152,15 +154,19 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
                      for a, b in zip(starts.tolist(), ends[last:].tolist())], np.uint64)
 
 
-def fingerprint(text: str, scheme: Scheme = EXACT) -> list[int]:
-    """64 bits: a bit is set where over half of the hashes have it; 0 without words."""
-    h = shingle_hashes(text, scheme.shingle)
+def simhash(h: np.ndarray) -> int:
+    """64 bits, signed: a bit is set where over half of the hashes have it; 0 without any."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), SHINGLES_AT_ONCE):
         part = h[i:i + SHINGLES_AT_ONCE]
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
                               bitorder="little").sum(0, dtype=np.int32)
-    return [int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])]
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, scheme: Scheme = EXACT) -> list[int]:
+    """The SimHash of a text's shingles, repeats included."""
+    return [simhash(shingle_hashes(text, scheme.shingle))]
 
 
 def _digest(items: np.ndarray) -> int:
@@ -169,9 +175,9 @@ def _digest(items: np.ndarray) -> int:
 
 
 def set_fingerprint(items: np.ndarray, scheme: Sets) -> np.ndarray:
-    """Digest, size and keys of a sorted set of shingle hashes."""
-    out = np.full(scheme.words, -1, np.int64)
-    out[0], out[1] = _digest(items), len(items)
+    """Digest, size, keys and SimHash of a sorted set of shingle hashes."""
+    out = np.full(scheme.words + 1, -1, np.int64)
+    out[0], out[1], out[-1] = _digest(items), len(items), simhash(items)
     if len(items):
         count = scheme.bands * scheme.rows
         turn = _mixed(np.arange(count, dtype=np.uint64), 1)[:, None]
@@ -182,7 +188,7 @@ def set_fingerprint(items: np.ndarray, scheme: Sets) -> np.ndarray:
         key = np.arange(scheme.bands, dtype=np.uint64)
         for row in least.reshape(scheme.bands, scheme.rows).T:
             key = _mixed(key ^ row, 3)
-        out[2:] = (key >> np.uint64(1)).astype(np.int64)
+        out[2:-1] = (key >> np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -484,19 +490,34 @@ def _led(rest: DataFrame, scheme: Sets, items: DataFrame) -> tuple[DataFrame, Da
     return rest, every
 
 
+def _by_simhash(nodes: DataFrame, scheme: Sets, sets) -> DataFrame:
+    """(node, root) of sets that SimHash ties and that are similar themselves.
+
+    Sets of one SimHash are one node there, under the smallest of them. What a class holds is
+    compared with its root: members that are only similar to each other are left to the keys.
+    """
+    heads = stored(nodes.groupBy("sim").agg(F.min("node").alias("head")), "near-simhashes")
+    tied = classes(heads.select(F.col("head").alias("node"), F.array("sim").alias("fp")))
+    links = (nodes.select("node", "sim").join(heads, "sim").join(tied.withColumnRenamed("node", "head"), "head", "left")
+             .select(F.col("node").alias("a"), F.coalesce("root", "head").alias("b")).where("a != b"))
+    return stored(components(_verified(links, scheme, sets)), "near-classes")
+
+
 def classes(nodes: DataFrame, scheme: Scheme | Sets = EXACT, sets=None) -> DataFrame:
     """(node, root) of nodes (node, fp) that link to others, root being the smallest of its class.
-    For ``Sets``, ``sets`` gives (node, items) of a table of nodes.
+    For ``Sets``, ``sets`` gives (node, items) of a table of nodes, and these may have their SimHash
+    in ``sim``.
 
     Nodes must be distinct, and so must be their fingerprints. The keys are dealt out by ranges of
     (key, node), so one much-used key is spread over several tasks. The keys of the first tables
-    alone tie most of what belongs together; then those of all tables are gone through, and only
-    rows not yet tied are compared. In groups too large for comparing all their rows at once, a
+    alone tie most of what belongs together, of ``Sets`` after SimHash has; then those of all tables
+    are gone through, and only rows not yet tied are compared. In groups too large for comparing all their rows at once, a
     join compares what is still not tied. So no link that matters is missed, and a dense group
     isn't listed pair by pair.
     """
     crowd = CROWD
-    roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    roots = (_by_simhash(nodes, scheme, sets) if "sim" in nodes.columns
+             else nodes.select("node", F.col("node").alias("root")).limit(0))
     for tables in scheme.rounds:
         rows = _keyed(_rooted(nodes, roots), scheme, tables)
         found = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
@@ -543,7 +564,9 @@ def label(docs: DataFrame, scheme: Scheme | Sets = EXACT, doc_id: str = "doc_id"
     node = F.get("fp", 0)
     nodes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least"))
                    .select("fp", node.alias("node"), "least"), "near-nodes")
-    root = classes(nodes.select("node", "fp"), scheme,
+    words = ([F.slice("fp", 1, scheme.words).alias("fp"), F.element_at("fp", -1).alias("sim")]
+             if isinstance(scheme, Sets) else ["fp"])
+    root = classes(nodes.select("node", *words), scheme,
                    lambda wanted: sets_of(docs, scheme, text, wanted))
     rooted = nodes.join(root, "node", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("root", "node").alias("root"), "least")

@@ -250,6 +250,23 @@ def test_a_crowded_key_of_sets_that_hardly_link(spark, rows, monkeypatch):
     assert len(set(want.values())) < len(sets)
 
 
+def test_simhash_ties_sets_without_a_common_key(make_docs):
+    rnd = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    docs = []
+    for i in range(6):
+        base = fresh(2000).split()
+        docs.append((2 * i, " ".join(base)))
+        docs.append((2 * i + 1, " ".join(base[:-1] + ["other"])))
+    shared = [(20, fresh(100)), (21, fresh(100))]
+    scheme = N.similar(0.8, bands=1, rows=4000)  # a key that only equal sets share
+    near = sum(np.bitwise_count(np.uint64((N.simhash(a) ^ N.simhash(b)) & (1 << 64) - 1)) <= 2
+               for a, b in ((np.unique(N.shingle_hashes(docs[2 * i + k][1], 5)) for k in (0, 1))
+                            for i in range(6)))
+    kept = {r.doc_id for r in N.keep_one(make_docs(docs + shared), scheme).collect()}
+    assert near and len(kept) == 12 - near + 2
+
+
 def test_clashing_names_stay(make_docs, rows):
     docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "x")],
                      _gone="g", _odd="o", _fp="p", _component="c")
