@@ -22,9 +22,13 @@ def _lit(value, like) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast(like)
 
 
+#: Order values whose rows are numbered in one task: these are whole rows, with their texts.
+ROWS_AT_ONCE = 1 << 14
+
+
 def assign_ids(new: DataFrame, order: str, start: int, key: str = "id") -> DataFrame:
     """Consecutive keys after ``start``, in order of a unique integer column."""
-    return numbered(new, [], order, key).withColumn(key, F.col(key) + start)
+    return numbered(new, [], order, key, ROWS_AT_ONCE).withColumn(key, F.col(key) + start)
 
 
 def insert_rows(base: DataFrame, new: DataFrame, defaults: dict | None = None, now=None,

@@ -144,3 +144,14 @@ def test_new_users_keep_their_first_address(spark, rows):
     after, _ = users.upsert_users(table, src, ["n"], datetime(2024, 1, 1), 0)
     assert rows(after, "email", "google_sub", "first_name") == [
         ("one@x", "s1", "B"), ("two@x", "s2", "C")]
+
+
+def test_rows_to_number_are_spread(spark):
+    rows = spark.range(0, 100_000, 1, 4).select("id", F.lit("x" * 20).alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        given = change.assign_ids(rows, "id", 7, "n").withColumn("part", F.spark_partition_id())
+        assert given.where("n != id + 8").count() == 0
+        assert given.groupBy("part").count().agg(F.max("count")).first()[0] < 100_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
