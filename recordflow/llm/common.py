@@ -24,6 +24,9 @@ def ready(spark: SparkSession) -> SparkSession:
     """Pin the settings the operators rely on; Python workers import the library by its path."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # Steps are written down by `stored`: what a step shuffled goes when it has ended, not when the
+    # driver happens to collect garbage. With many partitions that is a file each, hundreds of times.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, paths]))

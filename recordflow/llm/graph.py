@@ -32,12 +32,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m"))
+        # Without a distinct here: an edge gives one row, and repeated ones go at the end.
         large = (both.where("v > u").join(least, "u")
-                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
-        small = (joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                 .unionAll(joined.select("hi", F.col("m").alias("lo"))).distinct())
+        small = (large.join(least, "hi").where("lo != m")
+                 .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+                 .unionAll(least.select("hi", F.col("m").alias("lo"))).distinct())
         after = stored(small, "components")
         was, mark = mark, _mark(after)
         if mark == was:

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -273,3 +275,19 @@ def test_clashing_names_stay(make_docs, rows):
     kept = N.keep_one(docs, N.similar(0.8))
     assert set(kept.columns) == set(docs.columns)
     assert rows(kept, "doc_id", "_gone", "_fp") == [(1, "g", "p"), (3, "g", "p")]
+
+
+def test_a_step_leaves_no_shuffle_behind(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        held = blocks.getAllFiles().toString()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", held))
+
+    before = shuffled()
+    kept = graph.components(spark.range(100).selectExpr("id as a", "id div 10 as b"))
+    assert kept.count() == 100
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
