@@ -249,19 +249,32 @@ def _left_by(rows: DataFrame, side: DataFrame, on: list[str], how: str) -> DataF
     return rows.join(F.broadcast(side) if small else side, on, how)
 
 
-def _without(data: bytes, starts: list[int], counts: list[int],
-             hits: list[list[bool] | None]) -> tuple[int, int, str]:
-    """Removed bytes, maximal removed runs, and sha256 of the rest, for a text of whose pieces some
-    windows are hit."""
-    change = np.zeros(len(data) + 1, np.int64)
-    for s, n, hit in zip(starts, counts, hits):
-        if hit is None:  # all windows of the piece
-            change[s] += 1
-            change[s + n + LENGTH - 1] -= 1
-        else:
-            at = s + np.flatnonzero(hit)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + LENGTH, -1)
+def _stretches(marked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first bytes, bytes after the last, cuts) of what goes: those from cuts[i] to cuts[i + 1] are
+    of the i-th text. Where a piece has no hits of its own, all of it goes."""
+    marks = marked.flatten()
+    start, n, hit = (marks.field(k) for k in ("start", "n", "hit"))
+    start, n = start.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+    whole_ = hit.is_null().to_numpy(zero_copy_only=False)
+    flat = np.flatnonzero(hit.flatten().to_numpy(zero_copy_only=False).astype(bool))
+    size = np.where(whole_, 0, hit.value_lengths().fill_null(0).to_numpy())
+    ends = np.cumsum(size)
+    of = np.searchsorted(ends, flat, "right")
+    all_of = np.flatnonzero(whole_)
+    first = start[of] + flat - (ends - size)[of]
+    mark = np.concatenate([of, all_of])
+    order = np.argsort(mark, kind="stable")
+    cuts = np.cumsum(np.concatenate([[0], marked.value_lengths().fill_null(0).to_numpy()]))
+    return (np.concatenate([first, start[all_of]])[order],
+            np.concatenate([first + LENGTH, (start + n + LENGTH - 1)[all_of]])[order],
+            np.searchsorted(mark[order], cuts))
+
+
+def _without(data: bytes, first: np.ndarray, after: np.ndarray) -> tuple[int, int, str]:
+    """Removed bytes, maximal removed runs, and sha256 of the rest, for a text that loses the bytes
+    of some stretches, given by their first byte and the one after their last."""
+    change = (np.bincount(first, minlength=len(data) + 1)
+              - np.bincount(after, minlength=len(data) + 1))
     gone = np.cumsum(change[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
     rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -370,9 +383,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     @F.arrow_udf("struct<n_removed: bigint, n_spans: bigint, sha: string>")
     def cut(column: pa.Array, marked: pa.Array) -> pa.Array:
         out = []
-        for t, m in zip(column.to_pylist(), marked.to_pylist()):
-            a, b, c = _without(t.encode("utf-8", "surrogatepass"), [x["start"] for x in m],
-                               [x["n"] for x in m], [x["hit"] for x in m])
+        first, after, cuts = _stretches(marked)
+        for t, x, y in zip(column.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            a, b, c = _without(t.encode("utf-8", "surrogatepass"), first[x:y], after[x:y])
             out.append({"n_removed": a, "n_spans": b, "sha": c})
         return pa.array(out, pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()),
                                         ("sha", pa.string())]))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from recordflow.llm import lyndon
 from recordflow.llm import substring_dedup as S
@@ -124,3 +125,21 @@ def test_one_passage_in_thousands_of_contexts(make_docs, monkeypatch):
 def test_empty_table(make_docs):
     assert S.removals(make_docs([])).count() == 0
     assert [r.n_removed for r in S.removals(make_docs([(1, None)])).collect()] == [0]
+
+
+def test_hits_of_many_texts_at_once():
+    marks = [[(0, 3, None), (5, 4, [False, True, False, True])], [], [(2, 2, [True, False])],
+             [(60, 5, None)]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()),
+                               ("hit", pa.list_(pa.bool_()))]))
+    made = pa.array([[{"start": s, "n": n, "hit": h} for s, n, h in m]
+                     for m in [[(1, 1, None)], *marks]], kind).slice(1)
+    first, after, cuts = S._stretches(made)
+    data = random.Random(5).randbytes(130)
+    for m, x, y in zip(marks, cuts[:-1], cuts[1:]):
+        gone = {s + i + k for s, n, hit in m for i in range(n) if hit is None or hit[i]
+                for k in range(S.LENGTH)}
+        runs = sum(i in gone and i - 1 not in gone for i in range(len(data)))
+        rest = bytes(b for i, b in enumerate(data) if i not in gone)
+        assert S._without(data, first[x:y], after[x:y]) == (
+            len(gone), runs, hashlib.sha256(rest).hexdigest())
