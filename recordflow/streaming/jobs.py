@@ -48,11 +48,11 @@ _ACTION = "event_id bigint, ok boolean, action string, reason string"
 def payment_store(spark: SparkSession, path: str, payments: DataFrame,
                   full_every: int = 20) -> Store:
     """The tables of a payment job, seeded with ``payments`` as they are before all events."""
-    log = T.StructType.fromDDL(f"name string, {_EVENT}")
+    log = T.StructType.fromDDL(f"name bigint, {_EVENT}")
     store = Store(spark, path, {
         "origins": Table(payments.schema, ["id"]),
         "payments": Table(payments.schema, ["id"]),
-        "names": Table(T.StructType.fromDDL("name string, id bigint"), ["name"]),
+        "names": Table(T.StructType.fromDDL("name bigint, id bigint"), ["name"]),
         "events": Table(log, ["name", "event_id"], by=["name"]),
         "actions": Table(T.StructType.fromDDL(_ACTION), ["event_id"]),
         "ledger": Table(T.StructType.fromDDL(entitlements.SCHEMA), ["user_id"]),
@@ -62,8 +62,10 @@ def payment_store(spark: SparkSession, path: str, payments: DataFrame,
 
 
 def _named(prefix: str, column: str):
+    """The name as a 64-bit hash. Two names of one hash are followed together, which brings in
+    more histories than needed and changes none."""
     return F.when(F.col(column).isNotNull() & (F.col(column).cast("string") != ""),
-                  F.concat(F.lit(prefix), F.col(column).cast("string")))
+                  F.xxhash64(F.lit(prefix), F.col(column).cast("string")))
 
 
 def _exploded(df: DataFrame, *names) -> DataFrame:
@@ -84,17 +86,20 @@ def _event_names(events: DataFrame) -> DataFrame:
 def _together(store: Store, batch_id: int, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, payments) of all that hangs together with these names: events and payments that
     share a capture or order id, and all payments of a user. Found name by name, in a few rounds,
-    each looking up only names that are new."""
+    each looking up only names and payments that are new; what a round found is kept."""
     known = fresh = materialize(names.select("name").distinct(), "job-names")
+    origins, events = store.empty("origins"), store.empty("events")
     while not fresh.isEmpty():
-        ids = store.current("names", batch_id, fresh).select("id").distinct()
-        met = _payment_names(store.current("origins", batch_id, ids)).select("name").unionByName(
-            _event_names(store.current("events", batch_id, fresh).drop("name")).select("name"))
+        ids = store.current("names", batch_id, fresh).select("id").distinct().join(
+            origins.select("id"), "id", "left_anti")
+        found = materialize(store.current("origins", batch_id, ids), "job-payments")
+        past = materialize(store.current("events", batch_id, fresh), "job-history")
+        met = _payment_names(found).select("name").unionByName(
+            _event_names(past.drop("name")).select("name"))
         fresh = materialize(met.distinct().join(known, "name", "left_anti"), "job-names")
-        known = known.unionByName(fresh)
-    ids = store.current("names", batch_id, known).select("id").distinct()
-    events = store.current("events", batch_id, known).drop("name").dropDuplicates(["event_id"])
-    return events, store.current("origins", batch_id, ids)
+        known, origins = known.unionByName(fresh), origins.unionByName(found)
+        events = events.unionByName(past)
+    return events.drop("name").dropDuplicates(["event_id"]), origins
 
 
 def payment_step(store: Store, strict: bool = False):
@@ -117,8 +122,7 @@ def payment_step(store: Store, strict: bool = False):
         new = materialize(new.join(seen, "event_id", "left_anti").select(*fields), "job-batch")
         named = _event_names(new)
         before, origins = _together(store, batch_id, named)
-        events = materialize(before.unionByName(new), "job-events")
-        origins = materialize(origins, "job-payments")
+        events = materialize(before, "job-history").unionByName(new)
         matched = materialize(match_payments(events, origins), "job-matched")
         after = payment_state(events, origins, strict, matched=matched)
         users = origins.select(F.col("id").alias("payment_id"), "user_id")

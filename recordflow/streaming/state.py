@@ -107,21 +107,24 @@ class Store:
                                T.StructField("_batch", T.LongType()),
                                T.StructField("_folder", T.StringType()),
                                T.StructField("_bucket", T.IntegerType())])
-        if not folders:
-            return self.spark.createDataFrame([], layout)
         base = f"{self.path}/{name}"
         return (self.spark.read.schema(layout).option("basePath", base)
                 .parquet(*[f"{base}/_folder={f}" for f in folders]))
 
+    def empty(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], self.tables[name].schema)
+
     def current(self, name: str, before: int | None = None,
                 keys: DataFrame | None = None) -> DataFrame:
         """A table as of the batches before this one, of all by default; with ``keys``, values of
         the columns it is looked up by, only the rows that have them."""
         table, folders = self.tables[name], self._state(before)["tables"][name]
+        if not folders:
+            return self.empty(name)
         rows = self._read(name, folders)
         if keys is not None:
             # Equal buckets let the scan leave out partitions that hold none of the keys.
-            wanted = keys.select(*table.spread).distinct().withColumn("_bucket", self._bucket(table))
+            wanted = keys.select(*table.spread).withColumn("_bucket", self._bucket(table))
             rows = rows.join(wanted, ["_bucket", *table.spread], "left_semi")
         if len(folders) < 2:
             return rows.filter("not _gone").select(*table.schema.names)
@@ -154,12 +157,15 @@ class Store:
         for name, table in self.tables.items():
             change = changes.get(name)
             if full and (change is not None or tables[name]):
-                rest = self.current(name, batch)
-                rows = rest
-                if change is not None:
-                    replaced = (change.rows if change.keys is None else change.keys).select(*table.keys)
-                    rows = rest.join(replaced, table.keys, "left_anti").unionByName(
-                        change.rows.select(*table.schema.names))
+                if change is None:
+                    rows = self.current(name, batch)
+                else:
+                    rows = change.rows.select(*table.schema.names)
+                    if tables[name]:
+                        replaced = (change.rows if change.keys is None else change.keys).select(
+                            *table.keys)
+                        rows = self.current(name, batch).join(
+                            replaced, table.keys, "left_anti").unionByName(rows)
                 tables[name] = [self._write(name, rows.withColumn("_gone", F.lit(False)), batch)]
             elif not full and change is not None:
                 rows = change.rows.select(*table.schema.names).withColumn("_gone", F.lit(False))

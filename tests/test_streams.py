@@ -152,6 +152,61 @@ def test_payment_job_over_batches_gives_the_batch_answer(spark, rows, seed):
     assert rows(store.current("ledger")) == rows(entitlement_ledger(moves))
 
 
+def chained_payments(spark):
+    """Payments of user 1 lead to those of user 2 by an order id they share; user 3 stands apart."""
+    return spark.createDataFrame(
+        [(1, 1, "O1", None, "created", None, None, "{}", ""),
+         (2, 1, "O2", "C2", "created", None, None, "{}", ""),
+         (3, 2, "O2", None, "created", None, None, "{}", ""),
+         (4, 2, "O4", "C4", "created", None, None, "{}", ""),
+         (5, 3, "O5", "C5", "created", None, None, "{}", "")], PAYMENTS)
+
+
+def completions(spark, *numbers):
+    return spark.createDataFrame([(n, datetime(2024, 1, 1, 0, n), payments.COMPLETED, f"L{n}",
+                                   f"O{n}") for n in numbers], EVENTS)
+
+
+def test_a_batch_reads_each_payment_it_touches_once(spark, rows, monkeypatch):
+    start = chained_payments(spark)
+    store = jobs.payment_store(spark, scratch(spark, "p"), start)
+    read, current = [], store.current
+
+    def counted(name, before=None, keys=None):
+        found = current(name, before, keys)
+        if name == "origins":
+            read.extend(r["id"] for r in found.select("id").collect())
+        return found
+
+    monkeypatch.setattr(store, "current", counted)
+    jobs.payment_step(store)(completions(spark, 1), 0)
+    monkeypatch.undo()
+    assert sorted(read) == [1, 2, 3, 4]
+    every = completions(spark, 1).withColumn("payload", F.lit(None).cast("string"))
+    assert rows(store.current("payments")) == rows(payments.payment_state(every, start))
+
+
+def test_names_of_one_hash_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(jobs, "_named", lambda prefix, column: F.when(
+        F.col(column).isNotNull(), F.lit(7).cast("bigint")))
+    start = chained_payments(spark)
+    store = jobs.payment_store(spark, scratch(spark, "p"), start)
+    step = jobs.payment_step(store)
+    step(completions(spark, 1, 4), 0)
+    step(completions(spark, 2, 5), 1)
+    every = completions(spark, 1, 2, 4, 5).withColumn("payload", F.lit(None).cast("string"))
+    assert rows(store.current("payments")) == rows(payments.payment_state(every, start))
+
+
+def test_the_first_whole_tables_look_nothing_up(spark, rows, monkeypatch):
+    store = Store(spark, scratch(spark, "s"), {"a": Table(STATE, ["k"])})
+    frame = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], STATE)
+    monkeypatch.setattr(store, "current", None)
+    store.seed(a=frame)
+    monkeypatch.undo()
+    assert rows(store.current("a")) == rows(frame)
+
+
 def test_notes_and_payloads_are_those_of_the_last_change(spark):
     start = spark.createDataFrame([(1, 5, "O1", "X", "created", None, None, "{}", "")], PAYMENTS)
 
