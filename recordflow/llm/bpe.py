@@ -8,9 +8,9 @@ of words. Words with a pair that fails are merged step by step.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.llm.common import whole
+from recordflow.llm.common import give_back, whole
 
 # How byte-level vocabularies split text before merging.
 SPLIT = regex.compile(
@@ -296,25 +296,32 @@ class _Store:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(file: str) -> Vocabulary:
     return Vocabulary(file)
 
 
-@functools.lru_cache(maxsize=2)
-def _store(file: str) -> _Store:
-    return _Store(vocabulary(file))
+def _with_store(batches: Iterator[pa.Array], file: str, made) -> Iterator[pa.Array]:
+    """``made(store, batch)`` of every batch of a task. The store lasts as long as the task: workers
+    live on, and what they keep counts for whatever runs in the executor next."""
+    store = None
+    try:
+        for batch in batches:
+            store = store or _Store(vocabulary(file))
+            yield made(store, batch)
+    finally:
+        store = None
+        give_back()
 
 
-def _id_arrays(texts: pa.Array, file: str) -> pa.Array:
-    ids = _store(file).encode(texts.to_pylist())
+def _id_arrays(store: _Store, texts: pa.Array) -> pa.Array:
+    ids = store.encode(texts.to_pylist())
     ends = np.cumsum([0, *map(len, ids)])
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _texts(column: pa.Array, file: str) -> pa.Array:
-    pieces = vocabulary(file).text
+def _texts(store: _Store, column: pa.Array) -> pa.Array:
+    pieces = store.vocabulary.text
     flat = column.values.to_numpy(zero_copy_only=False)
     ends = column.offsets.to_pylist()
     return pa.array([b"".join(map(pieces.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")
@@ -330,8 +337,8 @@ def encode(docs: DataFrame, file: str, text: str = "text", out: str = "ids") ->
     """
 
     @F.arrow_udf("array<int>")
-    def ids_of(texts: pa.Array) -> pa.Array:
-        return _id_arrays(texts, file)
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _with_store(batches, file, _id_arrays)
 
     return docs.withColumn(out, ids_of(whole(text)))
 
@@ -344,8 +351,8 @@ def decode(docs: DataFrame, file: str, ids: str = "ids", out: str = "decoded") -
     """
 
     @F.arrow_udf("string")
-    def text_of(column: pa.Array) -> pa.Array:
-        return _texts(column, file)
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _with_store(batches, file, _texts)
 
     return docs.withColumn(out, text_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
@@ -356,9 +363,12 @@ def round_trip(docs: DataFrame, file: str, text: str = "text", ids: str = "ids",
     through one Python worker a task."""
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def both(texts: pa.Array) -> pa.Array:
-        made = _id_arrays(texts, file)
-        return pa.StructArray.from_arrays([made, _texts(made, file)], names=["ids", "decoded"])
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def made(store: _Store, texts: pa.Array) -> pa.Array:
+            ids = _id_arrays(store, texts)
+            return pa.StructArray.from_arrays([ids, _texts(store, ids)], names=["ids", "decoded"])
+
+        return _with_store(batches, file, made)
 
     return (docs.withColumn("_coded", both(whole(text))).withColumn(ids, F.col("_coded.ids"))
             .withColumn(decoded, F.col("_coded.decoded")).drop("_coded"))

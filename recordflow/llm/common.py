@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def give_back() -> None:
+    """In a Python worker: memory that is free again goes back to the system. Workers outlive their
+    tasks, and an executor is charged with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that ``df`` does not have."""
     held = {c.lower() for c in df.columns}

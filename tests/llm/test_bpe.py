@@ -1,10 +1,13 @@
 """BPE against the tokenizers library, and back."""
 
+import gc
 import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recordflow.llm import bpe
@@ -74,3 +77,17 @@ def test_merging_short_and_long_words_alike(monkeypatch):
     monkeypatch.setattr(bpe, "SHORT_WORD", 0)
     assert [vocabulary.merge(w) for w in words] == short
     assert vocabulary.encode_words(words)[0] == short
+
+
+def test_workers_keep_nothing_of_a_task(make_docs):
+    docs = make_docs(list(enumerate(_texts(50)))).repartition(4)
+
+    @F.arrow_udf("int")
+    def kept(ids: pa.Array) -> pa.Array:
+        held = sum(type(o).__module__ == "recordflow.llm.bpe" and not isinstance(o, type)
+                   for o in gc.get_objects())
+        return pa.array([held] * len(ids), pa.int32())
+
+    for coded in (bpe.round_trip(docs, FILE), bpe.decode(bpe.encode(docs, FILE), FILE)):
+        assert len(coded.collect()) == 50
+        assert {r.n for r in docs.select(kept("doc_id").alias("n")).collect()} == {0}
