@@ -37,14 +37,16 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _symbols(packed: np.ndarray, size: np.ndarray, valid: np.ndarray) -> np.ndarray:
+def _symbols(packed: np.ndarray, size: np.ndarray, valid: np.ndarray, zeros: bool) -> np.ndarray:
     """Symbols (strings, places), 0 beyond the end. In no string a symbol occurs twice: where that
-    happens, symbols of twice as many bytes are taken."""
+    happens, symbols of twice as many bytes are taken. ``zeros``: strings may hold zero bytes."""
     out = np.zeros((len(packed), packed.shape[1]), np.int64)
     columns = np.arange(packed.shape[1])
     first = _dense(packed[valid])
-    rest = np.minimum(size[:, None] - columns, BLOCK)[valid]  # a zero byte is more than the end
-    out[valid] = _dense(first * (BLOCK + 1) + rest)
+    if zeros:  # a zero byte is more than the end
+        rest = np.minimum(size[:, None] - columns, BLOCK)[valid]
+        first = _dense(first * (BLOCK + 1) + rest)
+    out[valid] = first
     width = BLOCK
     while True:
         placed = np.sort(np.where(valid, out, -1 - columns), axis=1)
@@ -110,7 +112,8 @@ def suffix_ranks(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """
     width = data.shape[1] - BLOCK
     valid = np.arange(width) < size[:, None]
-    symbol = _symbols(blocks(data, width), size, valid)
+    zeros = not data[:, :width][valid].all()
+    symbol = _symbols(blocks(data, width), size, valid, zeros)
     after, before = _smaller(np.pad(symbol, ((0, 0), (0, 1))), size)
 
     # From here on places are numbers in one row, the last of them standing for an end.

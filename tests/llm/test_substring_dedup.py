@@ -143,3 +143,62 @@ def test_hits_of_many_texts_at_once():
         rest = bytes(b for i, b in enumerate(data) if i not in gone)
         assert S._without(data, first[x:y], after[x:y]) == (
             len(gone), runs, hashlib.sha256(rest).hexdigest())
+
+
+def test_pieces_of_many_texts_are_those_of_each(monkeypatch):
+    rnd = random.Random(7)
+    texts = [b"", b"x" * 49, b"ab" * 100, b"q" * 50, b"",
+             *(bytes(rnd.choice(b"abc ") for _ in range(rnd.choice([0, 3, 60, 700])))
+               for _ in range(60)), b"y" * 30]
+    want = [(k, *p) for k, t in enumerate(texts) for p in zip(*(x.tolist() for x in S.pieces(t)))]
+    cuts = np.cumsum([5, *map(len, texts)])
+    for at_once in (1, 7, 64, 1 << 15):
+        monkeypatch.setattr(S, "WINDOWS_AT_ONCE", at_once)
+        h, first, n, text = S.pieces_of(b"-" * 5 + b"".join(texts), cuts)
+        assert list(zip(text.tolist(), h.tolist(), (first - cuts[text]).tolist(), n.tolist())) == want
+    assert len(S.pieces_of(b"", np.array([0]))[0]) == 0
+
+
+def test_filter_grows_with_the_texts(monkeypatch):
+    """With 10 GB of texts few pieces pass it that are found in one text only."""
+    assert S.filter_bits(0) == S.filter_bits(850_000_000) == S.FILTER_BITS
+    rnd = np.random.default_rng(8)
+    monkeypatch.setattr(S, "FILTER_BITS", 12)
+    for n_bytes, bits in ((1 << 20, 15), (1 << 40, S.BITS_AT_MOST)):
+        assert S.filter_bits(n_bytes) == bits
+    top, bitmap = 4, np.zeros(1 << 12, np.uint8)  # 2^15 bits
+    held, other = rnd.integers(0, 1 << 64, (2, 1000), np.uint64)
+    base = (held >> np.uint64(64 - top)).astype(np.int64) << (15 - top)
+    for p in S._places(held, 15 - top):
+        np.bitwise_or.at(bitmap, base + p >> 3, (128 >> (base + p & 7)).astype(np.uint8))
+    assert S._passes(held, bitmap, top).all() and S._passes(other, bitmap, top).mean() < 0.05
+
+
+def test_only_stretches_that_may_be_shared_are_ordered(monkeypatch):
+    rnd = random.Random(9)
+    text = lambda n: bytes(rnd.choice(b"abcdefghijk") for _ in range(n))
+    gram, passage = text(S.GRAM), text(55)
+    contents = [text(20) + gram + text(26) for _ in range(200)]  # one minimizer, no window in common
+    contents += [bytes([x]) * 3 + passage + bytes([x]) * 10 for x in b"opqrst"]
+    owner = np.arange(len(contents))[::-1].copy()
+    seen = []
+    real = S.window_owners
+    monkeypatch.setattr(S, "window_owners", lambda c, o: seen.extend(c) or real(c, o))
+    got = S._ordered(contents, owner, np.zeros(len(contents), np.int64))
+    assert seen == [passage]
+    first = {}
+    for c, o in sorted(zip(contents, owner.tolist()), key=lambda x: x[1]):
+        for k in range(len(c) - S.LENGTH + 1):
+            first.setdefault(c[k:k + S.LENGTH], o)
+    for c, o, least in zip(contents, owner.tolist(), got):
+        want = [first[c[k:k + S.LENGTH]] for k in range(len(c) - S.LENGTH + 1)]
+        assert (least is None and set(want) == {o}) or least.tolist() == want
+
+
+def test_many_later_copies_leave_the_texts_to_one_shuffle(make_docs, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    labels, rows = [], _rows()
+    real = S.stored
+    monkeypatch.setattr(S, "stored", lambda df, label: labels.append(label) or real(df, label))
+    _same(make_docs(rows), rows)
+    assert labels.count("dedup-texts") == 1
